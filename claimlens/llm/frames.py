@@ -62,8 +62,8 @@ def steady_heap() -> None:
     """Keep freed buffers in this worker: numpy's temporaries else cost page faults."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 26)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 27)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 25)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):
         pass
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import frames, units
 
 #: Bytes of text whose anchors meet in one bucket of step 1, and of steps 3 and 4.
-FILTER_BYTES, BUCKET_BYTES = 48 << 20, 12 << 20
+FILTER_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 #: Documents whose anchors are sampled for the splitters; they only affect balance.
 SAMPLE_DOCS = 2000
 #: Anchors, and bytes of contexts, that a task gathers before it sends them.
@@ -358,7 +358,8 @@ def removed_spans(docs: DataFrame, spec: Spec) -> DataFrame:
     order = spec.plan(_sample(spec, docs, rows), many)
     repeated = docs.select("did", "th", "text").mapInArrow(_filter_rows(spec, few), "bucket int, payload binary").groupBy("bucket").applyInPandas(_filter_bucket, "did long, th long, pos binary")
     hits = repeated.groupBy("did", "th").agg(F.collect_list("pos").alias("pos"))
-    contexts = docs.join(hits, ["did", "th"]).select("did", "th", "text", "pos").mapInArrow(_context_rows(spec, order, many), "bucket int, payload binary")
+    # all columns stay, so that this join and the last one share one exchange of docs
+    contexts = docs.join(hits, ["did", "th"]).mapInArrow(_context_rows(spec, order, many), "bucket int, payload binary")
     found = contexts.groupBy("bucket").applyInPandas(_equal_windows(spec, order, many), "slot int, did long, th long, spans binary")
     if order.hot:
         found = frames.staged(found, "repeats")

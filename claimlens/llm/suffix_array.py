@@ -91,5 +91,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 yield frames.batch(own=own.slice(a, b - a), n_bytes=pa.array(sizes, pa.int64()), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array(runs, pa.int64()), kept=pa.array(rest, pa.binary()))
 
     own = keyed.schema["own"].dataType.simpleString()
-    out = repeats.removed_spans(keyed, s).select("own", "text", "spans").mapInArrow(kept, f"own {own}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = repeats.removed_spans(keyed, s).mapInArrow(kept, f"own {own}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select("own.*", "n_bytes", "n_removed", "n_spans", "kept")

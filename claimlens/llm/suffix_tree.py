@@ -104,5 +104,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 yield frames.batch(own=own.slice(a, b - a), n_words=pa.array(np.diff(at), pa.int64()), n_removed=pa.array(gone, pa.int64()), kept=pa.array(rest, pa.binary()).cast(pa.string()))
 
     own = keyed.schema["own"].dataType.simpleString()
-    out = repeats.removed_spans(keyed, s).select("own", "text", "spans").mapInArrow(kept, f"own {own}, n_words long, n_removed long, kept string")
+    out = repeats.removed_spans(keyed, s).mapInArrow(kept, f"own {own}, n_words long, n_removed long, kept string")
     return out.select("own.*", "n_words", "n_removed", "kept")
