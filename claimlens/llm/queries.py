@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, media, mixing, packing, suffix_array, suffix_tree, toxicity
+from . import ann, jaccard, licenses, media, mixing, packing, suffix_array, suffix_tree, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(_read(spark, sf_dir, "documents")))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_nearest_neighbours": op3_nearest_neighbours,
         "op5_packing": op5_packing,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_media_columns": op8_media_columns,
         "op9_license_scan": op9_license_scan,
         "op10_source_mix": op10_source_mix,
