@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, licenses, media, mixing, packing, suffix_array, suffix_tree, toxicity
+from . import ann, jaccard, licenses, media, mixing, packing, site_style, suffix_array, suffix_tree, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_style.extract(_read(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def tokenizer_path() -> str:
     """Where the vocabulary of the packed ids lies; a parameter of the operator."""
     import public_tokenizers
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_nearest_neighbours": op3_nearest_neighbours,
+        "op4_html_extraction": op4_html_extraction,
         "op5_packing": op5_packing,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_jaccard_join": op7_jaccard_join,
