@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 from . import frames, units
 
 #: Bytes of text whose anchors meet in one bucket of step 1, and of steps 3 and 4.
-FILTER_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+FILTER_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
+#: A prefix with more suffixes than so many buckets hold on average is dealt over several.
+SPREAD = 4
 #: Documents whose anchors are sampled for the splitters; they only affect balance.
 SAMPLE_DOCS = 2000
 #: Anchors, and bytes of contexts, that a task gathers before it sends them.

@@ -36,13 +36,13 @@ class SuffixOrder:
         keys = np.sort(_keys(sample, self.width))
         at = np.arange(1, buckets) * len(keys) // buckets if len(keys) else np.zeros(0, np.int64)
         self.splitters = keys[at]
-        self.hot = bool(len(at) and (self.splitters[1:] == self.splitters[:-1]).any())
+        self.hot = bool(len(at) > repeats.SPREAD and (self.splitters[repeats.SPREAD :] == self.splitters[: -repeats.SPREAD]).any())
 
     def route(self, right: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = _keys(right, self.width)
         to = np.searchsorted(self.splitters, keys, "right")
         many = to - np.searchsorted(self.splitters, keys, "left")
-        hot = many > 1
+        hot = many > repeats.SPREAD
         return to - np.where(hot, (units.mix(salt.astype(np.uint64)) % np.maximum(many, 1).astype(np.uint64)).astype(np.int64), 0), hot
 
     def sort(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +63,7 @@ def spec(window: int = WINDOW) -> repeats.Spec:
     return repeats.Spec("bytes", window, max(8, window * GRAM // WINDOW) if window >= 26 else max(1, window // 2), True, SuffixOrder)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per row of docs: id, the columns in `keep`, n_bytes, n_removed, n_spans and
     `kept`, the remaining bytes.
 
@@ -71,6 +71,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     in a row with a smaller id, or in the same id at an earlier byte. Null texts
     are empty; null ids come last; rows that repeat an id count as one document,
     and where they agree at the same byte both stay. Columns not named are left out.
+    as_text: `kept` is a string, without what is left of characters that a cut has split.
     """
     s = spec(window)
     keyed = docs.select(frames.id_column(id_col).alias("did"), frames.row_key(text_col).alias("th"), frames.text_column(text_col).alias("text"), F.struct(F.col(id_col), *(F.col(c) for c in keep)).alias("own"))
@@ -88,8 +89,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                     sizes.append(len(text))
                     gone.append(int(mask.sum()))
                     runs.append(int(np.count_nonzero(mask[1:] & ~mask[:-1]) + (len(mask) > 0 and mask[0])))
-                yield frames.batch(own=own.slice(a, b - a), n_bytes=pa.array(sizes, pa.int64()), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array(runs, pa.int64()), kept=pa.array(rest, pa.binary()))
+                yield frames.batch(own=own.slice(a, b - a), n_bytes=pa.array(sizes, pa.int64()), n_removed=pa.array(gone, pa.int64()), n_spans=pa.array(runs, pa.int64()), kept=pa.array([x.decode("utf-8", "ignore") for x in rest] if as_text else rest, pa.string() if as_text else pa.binary()))
 
     own = keyed.schema["own"].dataType.simpleString()
-    out = repeats.removed_spans(keyed, s).mapInArrow(kept, f"own {own}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = repeats.removed_spans(keyed, s).mapInArrow(kept, f"own {own}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
     return out.select("own.*", "n_bytes", "n_removed", "n_spans", "kept")

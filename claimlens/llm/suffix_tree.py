@@ -40,9 +40,10 @@ class PrefixTrees:
                 break
             h = _prefix(rest, words)
             found, back, count = np.unique(h, return_inverse=True, return_counts=True)
+            if words == sample.shape[1]:  # what is far too frequent with all words of a gram
+                most = repeats.SPREAD * len(sample) // buckets
             self.long.append(found[count > most])
             rest = rest[count[back] > most]
-        # what is still too frequent with all words of a gram fills several buckets
         self.hot = bool(len(rest))
 
     def route(self, right: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -64,6 +64,7 @@ def dealt(request, monkeypatch):
     if request.param == "many buckets":
         monkeypatch.setattr(repeats, "FILTER_BYTES", 2000)
         monkeypatch.setattr(repeats, "BUCKET_BYTES", 1000)
+        monkeypatch.setattr(repeats, "SPREAD", 1)
         monkeypatch.setattr(repeats, "FLUSH_ANCHORS", 100)
         monkeypatch.setattr(repeats, "FLUSH_BYTES", 5000)
     return request.param
