@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components, frames, units
@@ -329,8 +329,9 @@ def _unpacked(batches):
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """One row for each row of docs: id, th (tells texts of one id apart), n_shingles and
-    component_id, the least id reachable by links (100 * overlap >= share * union).
+    """One row for each row of docs: id, th (tells texts of one id apart), n_shingles,
+    component_id, the least id reachable by links (100 * overlap >= share * union), and
+    component, a number of the linked group (null: empty).
 
     Words are [^ \\\\t-\\\\r]+ with A-Z in lower case. A text of fewer words than a shingle is one
     shingle; without words it is empty and linked with nothing. Null texts are empty; a null
@@ -372,8 +373,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         labels = frames.staged(components.components(links.toDF("u", "v")), "labels")
     named = classes.select("c", "did").join(labels.withColumnRenamed("u", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("did").alias("least"))
-    named = named.join(least, "label").select("c", "least").groupBy("c").agg(F.min("least").alias("least"))
+    named = named.join(least, "label").groupBy("c").agg(F.min("least").alias("least"), F.min("label").alias("component"))
     out = profile.select("did", "th", "n", "c").join(named, "c", "left")
     own = F.when(F.col("did") != frames.LAST_ID, F.col("did"))
     component = F.when(F.col("n") > 0, F.least("did", "least")).otherwise(F.col("did"))
-    return out.select(own.alias(id_col), "th", F.col("n").alias("n_shingles"), F.when(component != frames.LAST_ID, component).alias("component_id"))
+    return out.select(own.alias(id_col), "th", F.col("n").alias("n_shingles"), F.when(component != frames.LAST_ID, component).alias("component_id"), "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """The rows of docs that stay if one row of each linked group does: the one with the least id
+    (null last). Empty texts all stay; of rows that repeat wholly in id and text one does."""
+    found = join(docs, id_col, text_col, words, share).withColumn("did", frames.id_column(id_col))
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("did", "th")).alias("least")).select("least.did", "least.th", F.lit(False).alias("empty"))
+    empty = found.where("n_shingles = 0").select("did", "th", F.lit(True).alias("empty")).distinct()
+    keyed = docs.withColumns({"__did": frames.id_column(id_col), "__th": frames.row_key(text_col)})
+    kept = keyed.join(first.union(empty).toDF("__did", "__th", "__empty"), ["__did", "__th"])
+    place = F.row_number().over(Window.partitionBy("__did", "__th").orderBy("__empty"))
+    return kept.withColumn("__place", place).where("__empty OR __place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

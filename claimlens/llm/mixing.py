@@ -61,7 +61,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = S
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, epochs: int = EPOCHS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, source, size, source_size, target and taken (words
-    that the mix takes of the row, repeats counted: size times `repeats`).
+    that the mix takes of the row, repeats counted: size times `repeats`), repeats, and th, which
+    tells texts of one id apart.
 
     The rows that are taken once more than the others of their source are the first in
     the order of a seeded hash of the id, as long as the middle of the row's words is
@@ -69,7 +70,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE,
     ones first. Null texts have size 0; null sources are one source; null ids are one id.
     Other columns are left out.
     """
-    sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), _draw(id_col, seed).alias("draw"))
+    sized = docs.select(F.col(id_col), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), _draw(id_col, seed).alias("draw"), frames.row_key(text_col).alias("th"))
     sized = frames.staged(sized, "sizes")
     wanted = targets(sized, weights, share, epochs)
     # words of each source that are still wanted after its whole repetitions
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE,
     same = F.col("g.source").eqNullSafe(F.col("w.source"))
     groups = groups.alias("g").join(wanted.alias("w"), same).select("g.source", "g.group", "g.words", "g.before", "w.source_size", "w.target", "w.whole", "w.rest")
     rows = sized.alias("s").join(groups.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")) & (F.col("s.group") == F.col("g.group")))
-    rows = rows.select(f"s.{id_col}", "s.source", "s.size", "s.draw", "s.group", "g.words", "g.before", "g.source_size", "g.target", "g.whole", "g.rest")
+    rows = rows.select(f"s.{id_col}", "s.source", "s.size", "s.draw", "s.th", "s.group", "g.words", "g.before", "g.source_size", "g.target", "g.whole", "g.rest")
     # of the 4,096 groups in the seeded order of a source, those before the target are taken, those
     # behind it not, and only rows of the one that holds it are sorted
     edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
@@ -91,7 +92,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE,
     cut = cut.withColumn("more", (F.col("at") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("at")
     rest = rows.where(~edge).withColumn("more", (F.col("before") + F.col("words") <= F.col("rest")).cast("long"))
     out = cut.unionByName(rest).withColumn("repeats", F.col("whole") + F.when(F.col("rest") > 0, F.col("more")).otherwise(F.lit(0)))
-    return out.select(id_col, "source", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "repeats")
+    return out.select(id_col, "source", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"), "repeats", "th")
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, epochs: int = EPOCHS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: each row of docs as many times as mix() takes it."""
+    times = mix(docs, weights, share, epochs, seed, id_col, source_col, text_col)
+    times = times.groupBy(frames.id_column(id_col).alias("__did"), F.col("th").alias("__th")).agg(F.sum("repeats").alias("__times"))
+    keyed = docs.withColumns({"__did": frames.id_column(id_col), "__th": frames.row_key(text_col)})
+    place = F.row_number().over(Window.partitionBy("__did", "__th").orderBy(F.lit(0)))
+    once = keyed.withColumn("__place", place).where("__place = 1").join(times.where("__times > 0"), ["__did", "__th"])
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle() -> str:
