@@ -1,11 +1,645 @@
-"""Queries over the reference tables, and the same in SQL."""
+"""Queries over the given tables, one or more for each operator, and the same in SQL.
+
+Documents stand for articles (their lines are numbered), benchmark items for
+claims whose gold articles are the documents that contain them, embeddings for
+points whose gold is their label.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import vectors as V
+from .operators import chunkers, metrics, prompts, retrieval, sampling, stats
+from .sources import collections
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+KS = (1, 3, 5, 10, 20)
+_CLEAN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+# documents with cleaned text and sentences
+_PREPARED = f"""docs AS (SELECT doc_id::VARCHAR AS article_id, {_CLEAN.format('text')} AS clean,
+    list_filter(list_transform(string_split(trim(text, ' ' || chr(10) || chr(9) || chr(13)), chr(10)), lambda s: {_CLEAN.format('s')}), lambda s: s <> '') AS sentences
+    FROM documents)"""
+_SENTENCES = f"""{_PREPARED}, sents AS (SELECT article_id, clean, generate_subscripts(sentences, 1) - 1 AS i, unnest(sentences) AS text FROM docs WHERE clean <> '')"""
+_TOKENS = "len(list_filter(string_split({0}, ' '), lambda t: t <> ''))"
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def articles(spark: SparkSession, sf: str) -> DataFrame:
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda s, i: F.concat(i.cast("string"), F.lit("\t"), s)), "\n")
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", lines.alias("lines"))
+
+
+def joined(c: str):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+# --- projections, predicates ----------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_CLEAN.format('text')} AS clean FROM documents")
+def text_clean_ws(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.clean(F.col("text"), entities=False).alias("clean"))
+
+
+@query()
+def text_clean_full(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.clean(F.col("html")).alias("clean"))
+
+
+@query("SELECT page_id, NOT (" + " OR ".join(f"contains(html, '{a}')" for a in T.ARTIFACTS) + ") AS clean FROM pages")
+def text_validate(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.validate(F.col("html")).alias("clean"))
+
+
+_FLAGS = " UNION ALL ".join(f"SELECT '{a}' AS artifact, count(*) FILTER (contains(html, '{a}')) AS articles, round(100.0 * avg(contains(html, '{a}')::INT), 6) AS percentage FROM pages" for a in ("&amp;", "&quot;", *T.PROFILED))
+
+
+@query(_FLAGS)
+def text_artifact_counts(spark, sf):
+    return stats.artifacts(table(spark, sf, "pages"), F.col("html"), ("&amp;", "&quot;", *T.PROFILED)).withColumn("percentage", F.round("percentage", 6))
+
+
+@query("SELECT token, count(*) AS count FROM (SELECT unnest(regexp_extract_all(html, '&[a-zA-Z]+;')) AS token FROM pages) GROUP BY token ORDER BY count DESC, token LIMIT 20")
+def pattern_top20(spark, sf):
+    return stats.pattern_top(table(spark, sf, "pages"), F.col("html"), "&[a-zA-Z]+;")
+
+
+@query("SELECT token, count(*) AS count FROM (SELECT unnest(regexp_extract_all(html, '-[A-Z]+-')) AS token FROM pages) GROUP BY token ORDER BY count DESC, token LIMIT 20")
+def pattern_brackets_top20(spark, sf):
+    return stats.pattern_top(table(spark, sf, "pages"), F.col("html"), "-[A-Z]+-")
+
+
+@query(f"WITH {_SENTENCES} SELECT article_id, i::BIGINT AS sentence_id, text FROM sents")
+def parse_lines(spark, sf):
+    df = chunkers.prepared(articles(spark, sf), entities=False)
+    return df.select("article_id", F.posexplode("sentences").alias("sentence_id", "text")).withColumn("sentence_id", F.col("sentence_id").cast("long"))
+
+
+@query("""SELECT doc_id::VARCHAR AS id, x.i::VARCHAR AS line_num, x.s AS sentence, 0::BIGINT AS n_entities FROM
+    (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda s, i: {i: i - 1, s: s}), lambda x: true)) AS x FROM documents)""")
+def parse_lines_field(spark, sf):
+    df = articles(spark, sf).select("id", F.explode(T.annotated_lines(F.col("lines"))).alias("l"))
+    return df.select("id", "l.line_num", "l.sentence", F.size("l.entities").cast("long").alias("n_entities"))
+
+
+@query("SELECT item_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS shown FROM benchmark")
+def truncate_text(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", T.truncate(F.col("text"), 100).alias("shown"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN contains(upper(text), 'SUPPORTS') THEN 'SUPPORTS' WHEN contains(upper(text), 'REFUTES') THEN 'REFUTES' ELSE 'NOT ENOUGH INFO' END AS label FROM conversations""")
+def label_parse(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.parse_label(F.col("text")).alias("label"))
+
+
+@query("""SELECT DISTINCT 'x/' || source || '-MiniLM-L6' AS model, 'minilm_sentence_chunks' AS name FROM documents
+    UNION ALL SELECT DISTINCT 'y/' || source || '-v2', lower(source) || '_sentence_chunks' FROM documents""")
+def collection_names(spark, sf):
+    s = table(spark, sf, "documents").select("source").distinct()
+    models = s.select(F.concat(F.lit("x/"), "source", F.lit("-MiniLM-L6")).alias("model")).union(s.select(F.concat(F.lit("y/"), "source", F.lit("-v2"))))
+    return models.select("model", collections.name_column(F.col("model"), F.lit("sentence")).alias("name"))
+
+
+@query(f"SELECT doc_id, {_CLEAN.format('text')} <> '' AS cleaned FROM documents")
+def cleaned_flag(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", (T.clean(F.col("text"), entities=False) != "").alias("cleaned"))
+
+
+def _claims(spark, sf):
+    """benchmark items as claims with nested evidence made of the documents of equal id."""
+    b = table(spark, sf, "benchmark")
+    four = F.array(F.lit("1"), F.lit("2"), F.concat(F.lit("D"), F.col("item_id").cast("string")), F.lit("0"))
+    two = F.array(F.concat(F.lit("E"), (F.col("item_id") % 7).cast("string")), F.lit("3"))
+    return b.select(F.col("item_id").alias("id"), F.col("text").alias("claim"), F.array(F.array(four, two), F.array(two)).alias("evidence"))
+
+
+@query("SELECT item_id AS id, unnest(['D' || item_id, 'E' || item_id % 7]) AS article_id FROM benchmark")
+def evidence_articles(spark, sf):
+    return _claims(spark, sf).select("id", F.explode(T.evidence_articles(F.col("evidence"))).alias("article_id"))
+
+
+@query("SELECT DISTINCT 'd' || item_id AS id FROM benchmark")
+def evidence_required_ids(spark, sf):
+    return sampling.required_ids(_claims(spark, sf))
+
+
+# --- chunkers -------------------------------------------------------------------------------
+
+
+@query(f"WITH {_SENTENCES} SELECT article_id, i::BIGINT AS chunk_index, text, i::VARCHAR AS sentence_ids FROM sents")
+def chunk_sentence(spark, sf):
+    return chunkers.sentence(articles(spark, sf), entities=False).select("article_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", joined("sentence_ids").alias("sentence_ids"))
+
+
+@query(f"WITH {_SENTENCES} SELECT article_id, i::BIGINT AS chunk_index, 'sentence' AS chunk_type, length(text) AS chunk_size, {_TOKENS.format('text')} AS token_count, text <> '' AS cleaned FROM sents")
+def chunk_sentence_meta(spark, sf):
+    df = chunkers.with_metadata(chunkers.sentence(articles(spark, sf), entities=False), "sentence")
+    return df.select("article_id", *(F.col(c).cast("long").alias(c) for c in ("chunk_index", "chunk_size", "token_count")), "chunk_type", "cleaned")
+
+
+_CHARS = f"""{_PREPARED}, raw AS (SELECT article_id, clean, sentences, unnest(generate_series(0, length(clean) - 1, 450)) AS s FROM docs WHERE clean <> ''),
+    chunks AS (SELECT article_id, clean, s, row_number() OVER (PARTITION BY article_id ORDER BY s) - 1 AS chunk_index, trim(substr(clean, s + 1, 500)) AS text FROM raw WHERE trim(substr(clean, s + 1, 500)) <> '')"""
+
+
+@query(f"WITH {_CHARS} SELECT article_id, chunk_index, text FROM chunks")
+def chunk_fixed_char(spark, sf):
+    return chunkers.fixed_char(articles(spark, sf), entities=False).select("article_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+@query(f"""WITH {_SENTENCES}, at AS (SELECT article_id, i, sum(length(text) + 1) OVER (PARTITION BY article_id ORDER BY i) - length(text) - 1 AS s, length(text) AS n FROM sents),
+    raw AS{_CHARS.split(', raw AS', 1)[1]} SELECT c.article_id, c.chunk_index, c.text, string_agg(a.i::VARCHAR, ',' ORDER BY a.i) AS sentence_ids
+    FROM chunks c JOIN at a ON a.article_id = c.article_id AND a.s < c.s + 500 AND a.s + a.n > c.s GROUP BY ALL""")
+def chunk_fixed_char_sentence_ids(spark, sf):
+    return chunkers.fixed_char(articles(spark, sf), entities=False).select("article_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", joined("sentence_ids").alias("sentence_ids"))
+
+
+@query(f"""WITH {_PREPARED}, toks AS (SELECT article_id, string_split(clean, ' ') AS t FROM docs WHERE clean <> ''),
+    raw AS (SELECT article_id, t, unnest(generate_series(0, len(t) - 1, 108)) AS s FROM toks)
+    SELECT article_id, row_number() OVER (PARTITION BY article_id ORDER BY s) - 1 AS chunk_index, array_to_string(t[s + 1 : s + 128], ' ') AS text FROM raw""")
+def chunk_fixed_token(spark, sf):
+    return chunkers.fixed_token(articles(spark, sf), entities=False).select("article_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+# units of the rule that SQL can express: one unit for each sentence
+_EDUS = f"""{_PREPARED}, units AS (SELECT article_id, list_filter(list_transform(sentences, lambda s, i: {{t: s, i: i - 1}}), lambda x: length(x.t) > 1) AS u FROM docs WHERE clean <> '')"""
+
+
+class WholeSentences:
+    """A segmenter that never cuts."""
+
+    def boundaries(self, line: str) -> list[int]:
+        return []
+
+
+@query(f"""WITH {_EDUS}, raw AS (SELECT article_id, u, unnest(generate_series(0, len(u) - 1, 3)) AS s FROM units WHERE len(u) > 0)
+    SELECT article_id, row_number() OVER (PARTITION BY article_id ORDER BY s) - 1 AS chunk_index, array_to_string(list_transform(u[s + 1 : s + 5], lambda x: x.t), ' ') AS text,
+    array_to_string(list_transform(u[s + 1 : s + 5], lambda x: x.i), ',') AS sentence_ids FROM raw""")
+def chunk_edu_windows(spark, sf):
+    df = chunkers.custom_edu(articles(spark, sf), segmenter=WholeSentences, entities=False)
+    return df.select("article_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", joined("sentence_ids").alias("sentence_ids"))
+
+
+@query()
+def chunk_edu_rules(spark, sf):
+    return chunkers.custom_edu(articles(spark, sf), entities=False).select("article_id", "chunk_index", "text", joined("sentence_ids").alias("sentence_ids"))
+
+
+def _predictions(spark, sf):
+    """Token predictions of overlapping windows: 1 where a token ends in a comma, seen by the window's second half only."""
+    toks = table(spark, sf, "documents").select("doc_id", chunkers.token_windows(T.tokens(F.col("text")), 34, 16).alias("w"))
+    rows = toks.select("doc_id", F.explode("w").alias("w")).select("doc_id", F.col("w.start").alias("start"), F.posexplode("w.tokens").alias("at", "t"))
+    return rows.select("doc_id", (F.col("start") + F.col("at")).cast("long").alias("pos"), (F.col("t").endswith(",") & (F.col("at") >= 16)).cast("int").alias("pred"))
+
+
+_VOTES = """WITH toks AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '') AS t FROM documents),
+    w AS (SELECT doc_id, t, unnest(generate_series(0, greatest(ceil((len(t) - 32) / 16.0), 0)::BIGINT)) * 16 AS s FROM toks),
+    p AS (SELECT doc_id, s, unnest(generate_series(s, least(s + 32, len(t)) - 1)) AS pos, t FROM w),
+    votes AS (SELECT doc_id, pos, (t[pos + 1] LIKE '%,' AND pos - s >= 16)::INT AS pred FROM p)
+    SELECT doc_id, pos, {} AS pred FROM votes GROUP BY doc_id, pos"""
+
+
+@query(_VOTES.format("max(pred)"))
+def token_vote(spark, sf):
+    return chunkers.token_votes(_predictions(spark, sf), "max").select("doc_id", "pos", "pred")
+
+
+@query(_VOTES.format("(sum(pred) > count(*) - sum(pred))::INT"))
+def token_vote_majority(spark, sf):
+    return chunkers.token_votes(_predictions(spark, sf), "vote").select("doc_id", "pos", "pred")
+
+
+# --- statistics -----------------------------------------------------------------------------
+
+_BLOCK = "round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max, round(median(v), 6) AS median, count(v) AS count"
+
+
+def _rounded(df):
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query(f"""WITH {_SENTENCES}, m AS (SELECT 'chunk_characters' AS metric, length(text)::DOUBLE AS v FROM sents UNION ALL SELECT 'chunk_tokens', {_TOKENS.format('text')} FROM sents UNION ALL SELECT 'sentences_per_chunk', 1 FROM sents)
+    SELECT metric, {_BLOCK} FROM m GROUP BY metric""")
+def chunk_stats(spark, sf):
+    return _rounded(stats.chunk_stats(chunkers.sentence(articles(spark, sf), entities=False)))
+
+
+@query(f"""WITH {_SENTENCES}, m AS (SELECT 'sentence_characters' AS metric, length(text)::DOUBLE AS v FROM sents UNION ALL SELECT 'sentence_tokens', {_TOKENS.format('text')} FROM sents)
+    SELECT metric, {_BLOCK} FROM m GROUP BY metric""")
+def sentence_stats(spark, sf):
+    return _rounded(stats.sentence_stats(chunkers.sentence(articles(spark, sf), entities=False)))
+
+
+@query()
+def edu_stats(spark, sf):
+    return _rounded(stats.edu_stats(chunkers.edus(articles(spark, sf), entities=False)))
+
+
+@query(f"""WITH {_EDUS} SELECT 0::BIGINT AS count, 0.0::DOUBLE AS percentage""")
+def multi_edu_pct(spark, sf):
+    return stats.multiple_edus(chunkers.edus(articles(spark, sf), WholeSentences, entities=False))
+
+
+def _profile(spark, sf):
+    n = F.size(F.filter(F.split("text", "\n"), lambda s: s != ""))
+    return table(spark, sf, "documents").select("doc_id", "text", n.alias("sentences"), F.length("text").alias("chars"))
+
+
+_PROFILE = "p AS (SELECT doc_id, text, len(list_filter(string_split(text, chr(10)), lambda s: s <> '')) AS sentences, length(text) AS chars FROM documents)"
+
+
+@query(f"WITH {_PROFILE}, m AS (SELECT 'sentences' AS metric, sentences::DOUBLE AS v FROM p UNION ALL SELECT 'characters', chars FROM p) SELECT metric, {_BLOCK} FROM m GROUP BY metric")
+def corpus_profile(spark, sf):
+    return _rounded(stats.blocks(_profile(spark, sf), {"sentences": F.col("sentences"), "characters": F.col("chars")}))
+
+
+@query(f"WITH {_PROFILE} SELECT q AS share, round(quantile_cont(chars, q), 6) AS value FROM p, (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95])::DOUBLE AS q) GROUP BY q".replace("quantile_cont(chars, q)", "CASE q " + " ".join(f"WHEN {x} THEN quantile_cont(chars, {x})" for x in (0.25, 0.5, 0.75, 0.9, 0.95)) + " END"))
+def percentiles(spark, sf):
+    return _rounded(stats.percentiles(_profile(spark, sf), F.col("chars")))
+
+
+@query(f"""WITH {_PROFILE}, e AS (SELECT min(chars)::DOUBLE AS lo, max(chars)::DOUBLE AS hi FROM p)
+    SELECT CASE WHEN hi > lo THEN least(floor((chars - lo) / (hi - lo) * 50), 49) ELSE 0 END::BIGINT AS bin, count(*) AS count FROM p, e GROUP BY 1""")
+def histogram50(spark, sf):
+    return stats.histogram(_profile(spark, sf), F.col("chars"))
+
+
+@query(f"WITH {_PROFILE} SELECT count(*) FILTER (sentences < 3) AS very_short, count(*) FILTER (sentences > 200) AS very_long, count(*) FILTER (trim(text) = '') AS empty_lines FROM p")
+def edge_cases(spark, sf):
+    return stats.edge_cases(_profile(spark, sf), F.col("sentences"), F.col("text"))
+
+
+@query("""WITH n AS (SELECT len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS n FROM documents)
+    SELECT count(*) FILTER (n > 512) AS over, round(100.0 * avg((n > 512)::INT), 6) AS percentage, round(avg(n), 6) AS mean, max(n)::BIGINT AS most FROM n""")
+def token_overflow(spark, sf):
+    return _rounded(stats.overflow(table(spark, sf, "documents"), F.size(T.tokens(F.col("text"))))).withColumn("most", F.col("most").cast("long"))
+
+
+@query("SELECT round(avg(value) FILTER (a <= 10), 6) AS first, round(avg(value) FILTER (b <= 10), 6) AS last, round(avg(value) FILTER (b <= 10) / avg(value) FILTER (a <= 10), 6) AS slowdown FROM (SELECT value, row_number() OVER (ORDER BY event_id) AS a, row_number() OVER (ORDER BY event_id DESC) AS b FROM events WHERE user_id % 40 = 1)")
+def batch_slowdown(spark, sf):
+    return _rounded(stats.slowdown(table(spark, sf, "events").where("user_id % 40 = 1"), "event_id", "value"))
+
+
+# --- vectors --------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS t FROM documents),
+    c AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 7))::BIGINT % 256 AS bucket, count(*) AS n FROM t GROUP BY ALL)
+    SELECT doc_id, bucket, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS w FROM c""")
+def hash_embed(spark, sf):
+    return retrieval.hashed_weights(table(spark, sf, "documents"), "doc_id", F.col("text")).withColumn("w", F.round("w", 6))
+
+
+def _points(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").cast("string").alias("article_id"), F.col("embedding").alias("vector")).repartition(spark.sparkContext.defaultParallelism)
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("claim_id"), F.col("embedding").alias("vector"))
+
+
+_SCORED = """q AS (SELECT vec_id AS claim_id, embedding::DOUBLE[] AS q, label AS gold FROM embeddings WHERE vec_id % 50 = 0),
+    p AS (SELECT vec_id AS point_id, label::VARCHAR AS article_id, embedding::DOUBLE[] AS v FROM embeddings),
+    scored AS (SELECT claim_id, point_id, article_id, list_dot_product(q, v) / sqrt(list_dot_product(q, q) * list_dot_product(v, v)) AS score FROM q, p {}),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, point_id) AS rank FROM scored)"""
+
+
+def _hits(spark, sf, config=None, **kw):
+    return retrieval.search(_points(spark, sf), _asked(spark, sf), config or retrieval.RetrievalConfig(k=20), **kw)
+
+
+def _shown(hits):
+    return hits.select("claim_id", F.col("rank").cast("long").alias("rank"), "point_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_SCORED.format('')} SELECT claim_id, rank, point_id, round(score, 6) AS score FROM hits WHERE rank <= 20")
+def knn_topk(spark, sf):
+    return _shown(_hits(spark, sf))
+
+
+@query(f"WITH {_SCORED.format('')} SELECT claim_id, rank, point_id, round(score, 6) AS score FROM hits WHERE rank <= 5")
+def knn_topk_native(spark, sf):
+    return _shown(retrieval.search_native(_points(spark, sf), _asked(spark, sf), retrieval.RetrievalConfig(k=5)))
+
+
+@query(f"WITH {_SCORED.format('')}, r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, point_id) AS rk FROM scored WHERE score >= 0.3) SELECT claim_id, rk AS rank, point_id, round(score, 6) AS score FROM r WHERE rk <= 100")
+def knn_threshold(spark, sf):
+    return _shown(_hits(spark, sf, retrieval.RetrievalConfig("threshold", threshold=0.3)))
+
+
+@query(f"WITH {_SCORED.format(chr(10) + '    WHERE article_id IN (' + repr('1') + ', ' + repr('4') + ')')} SELECT claim_id, rank, point_id, round(score, 6) AS score FROM hits WHERE rank <= 20")
+def knn_filtered(spark, sf):
+    return _shown(_hits(spark, sf, where=F.col("article_id").isin("1", "4")))
+
+
+@query(f"WITH {_SCORED.format('')} SELECT claim_id, count(*) AS chunks, count(DISTINCT article_id) AS articles, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM hits WHERE rank <= 20 GROUP BY claim_id")
+def knn_scores_summary(spark, sf):
+    return _rounded(retrieval.summary(_hits(spark, sf)))
+
+
+@query(f"WITH {_SCORED.format('')}, a AS (SELECT claim_id, article_id, min(rank) AS f FROM hits WHERE rank <= 20 GROUP BY ALL) SELECT claim_id, article_id, row_number() OVER (PARTITION BY claim_id ORDER BY f) AS rank FROM a")
+def dedup_ranked_articles(spark, sf):
+    return retrieval.ranked_articles(_hits(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_SENTENCES} SELECT row_number() OVER (ORDER BY article_id, i) - 1 AS point_id, article_id, i::BIGINT AS chunk_index FROM sents")
+def point_ids(spark, sf):
+    return collections.numbered(chunkers.sentence(articles(spark, sf), entities=False)).select(F.col("point_id").cast("long").alias("point_id"), "article_id", F.col("chunk_index").cast("long").alias("chunk_index"))
+
+
+@query(f"WITH {_SENTENCES} SELECT i::BIGINT AS chunk_index, text FROM sents WHERE article_id = '7' ORDER BY i LIMIT 100")
+def scroll_article(spark, sf):
+    points = chunkers.sentence(articles(spark, sf), entities=False).withColumn("point_id", F.col("chunk_index"))
+    return retrieval.article_chunks(points, "7").select(F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+@query(f"WITH {_SENTENCES} SELECT article_id, i::BIGINT AS chunk_index, text, 'hashed' AS embedding_model, 'sentence' AS chunking_method FROM sents")
+def payload_project(spark, sf):
+    df = collections.enriched(chunkers.sentence(articles(spark, sf), entities=False), "hashed", "sentence")
+    return df.select("article_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", "embedding_model", "chunking_method")
+
+
+# --- evaluation -----------------------------------------------------------------------------
+
+
+def _gold_labels(spark, sf):
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("claim_id"), F.col("label").cast("string").alias("article_id"))
+
+
+_RANKED = f"""{_SCORED.format('')}, a AS (SELECT claim_id, article_id, min(rank) AS f FROM hits WHERE rank <= 20 GROUP BY ALL),
+    ranked AS (SELECT claim_id, article_id, row_number() OVER (PARTITION BY claim_id ORDER BY f) AS rank FROM a),
+    gold AS (SELECT claim_id, gold::VARCHAR AS article_id FROM q)"""
+_AT_K = """ks AS (SELECT unnest([1, 3, 5, 10, 20]) AS k), g AS (SELECT claim_id, count(*) AS gold FROM gold GROUP BY 1),
+    at_k AS (SELECT g.claim_id, k, count(r.rank) AS tp, count(r.rank) / k AS precision, count(r.rank) / any_value(gold) AS recall, (count(r.rank) > 0)::INT AS accuracy
+    FROM g CROSS JOIN ks LEFT JOIN (SELECT r.claim_id, r.rank FROM ranked r JOIN gold USING (claim_id, article_id)) r ON r.claim_id = g.claim_id AND r.rank <= k GROUP BY g.claim_id, k),
+    rr AS (SELECT g.claim_id, coalesce(1.0 / min(r.rank), 0)::DOUBLE AS rr FROM g LEFT JOIN (SELECT r.claim_id, r.rank FROM ranked r JOIN gold USING (claim_id, article_id)) r ON r.claim_id = g.claim_id GROUP BY 1)"""
+
+
+@query(f"WITH {_RANKED}, {_AT_K} SELECT claim_id, k, tp, round(precision, 6) AS precision, round(recall, 6) AS recall, accuracy FROM at_k")
+def metrics_at_k(spark, sf):
+    return _rounded(metrics.at_k(retrieval.ranked_articles(_hits(spark, sf)), _gold_labels(spark, sf)))
+
+
+@query(f"WITH {_RANKED}, {_AT_K} SELECT claim_id, round(rr, 6) AS rr FROM rr")
+def mrr(spark, sf):
+    return _rounded(metrics.reciprocal_rank(retrieval.ranked_articles(_hits(spark, sf)), _gold_labels(spark, sf)))
+
+
+@query(f"WITH {_RANKED}, {_AT_K} SELECT k, count(*) AS claims, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(accuracy), 6) AS accuracy FROM at_k GROUP BY k")
+def eval_summary(spark, sf):
+    return _rounded(metrics.averages(metrics.at_k(retrieval.ranked_articles(_hits(spark, sf)), _gold_labels(spark, sf))))
+
+
+def _contained(spark, sf):
+    """claim_id, article_id: documents that contain a benchmark item; both keep their white space.
+    Candidates share the item's first 32 characters' words, so no pair is made without one."""
+    items = table(spark, sf, "benchmark").where("length(text) > 0").select("item_id", "text")
+    first = F.get(T.tokens(F.col("text")), F.lit(1))
+    keyed = items.select(F.col("item_id").alias("claim_id"), F.col("text").alias("item"), F.concat_ws(" ", first, F.get(T.tokens(F.col("text")), F.lit(2)), F.get(T.tokens(F.col("text")), F.lit(3))).alias("key"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    toks = T.tokens(F.col("text"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(toks) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(toks, i + 1, 3))))
+    pairs = docs.select("doc_id", F.explode(grams).alias("key")).join(keyed, "key").select("doc_id", "claim_id", "item")
+    return pairs.join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("claim_id", F.col("doc_id").cast("string").alias("article_id"))
+
+
+_GOLD = "gold AS (SELECT item_id AS claim_id, doc_id::VARCHAR AS article_id FROM benchmark b, documents d WHERE length(b.text) > 0 AND contains(d.text, b.text))"
+
+
+@query(f"WITH {_GOLD} SELECT claim_id, article_id FROM gold")
+def gold_from_containment(spark, sf):
+    return _contained(spark, sf)
+
+
+_DOC_HITS = f"""{_CHARS}, {_GOLD}, pts AS (SELECT row_number() OVER (ORDER BY article_id, chunk_index) - 1 AS point_id, article_id, text FROM chunks),
+    pt AS (SELECT point_id, unnest(list_filter(string_split(lower(text), ' '), lambda t: t <> '')) AS t FROM pts),
+    pc AS (SELECT point_id, ('0x' || substr(md5(t), 1, 7))::BIGINT % 256 AS b, count(*) AS n FROM pt GROUP BY ALL),
+    pw AS (SELECT point_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY point_id)) AS w FROM pc),
+    ct AS (SELECT item_id AS claim_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS t FROM benchmark WHERE item_id IN (SELECT claim_id FROM gold)),
+    cc AS (SELECT claim_id, ('0x' || substr(md5(t), 1, 7))::BIGINT % 256 AS b, count(*) AS n FROM ct GROUP BY ALL),
+    cw AS (SELECT claim_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY claim_id)) AS w FROM cc),
+    scored AS (SELECT claim_id, point_id, round(sum(cw.w * pw.w), 9) AS score FROM cw JOIN pw USING (b) GROUP BY ALL),
+    hits AS (SELECT s.*, article_id, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, point_id) AS rank FROM scored s JOIN pts USING (point_id)),
+    a AS (SELECT claim_id, article_id, min(rank) AS f FROM hits WHERE rank <= 20 GROUP BY ALL),
+    ranked AS (SELECT claim_id, article_id, row_number() OVER (PARTITION BY claim_id ORDER BY f) AS rank FROM a)"""
+
+
+def _doc_ranking(spark, sf):
+    """Articles ranked for each claim with gold, and the gold: chunks of 500 characters, hashed
+    embeddings, 20 nearest chunks. Chunks and claims meet in the buckets that both fill."""
+    gold = _contained(spark, sf)
+    points = collections.numbered(chunkers.fixed_char(articles(spark, sf), entities=False)).select(F.col("point_id").cast("long").alias("point_id"), "article_id", "text")
+    chosen = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), "text").join(gold.select("claim_id").distinct(), "claim_id", "left_semi")
+    w = retrieval.hashed_weights(points, "point_id", F.col("text")).select("point_id", "bucket", F.col("w").alias("pw"))
+    c = retrieval.hashed_weights(chosen, "claim_id", F.col("text")).select("claim_id", "bucket", F.col("w").alias("cw"))
+    scored = w.join(c, "bucket").groupBy("claim_id", "point_id").agg(F.round(F.sum(F.col("cw") * F.col("pw")), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "point_id"))
+    best = scored.withColumn("rank", rank).where("rank <= 20")
+    return retrieval.ranked_articles(best.join(points.select("point_id", "article_id"), "point_id")), gold
+
+
+@query(f"WITH {_DOC_HITS}, {_AT_K} SELECT k, count(*) AS claims, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(accuracy), 6) AS accuracy, (SELECT round(avg(rr), 6) FROM rr) AS mrr FROM at_k GROUP BY k")
+def retrieval_docs_eval(spark, sf):
+    ranked, gold = _doc_ranking(spark, sf)
+    mean = metrics.reciprocal_rank(ranked, gold).agg(F.round(F.avg("rr"), 6).alias("mrr"))  # one row
+    return _rounded(metrics.averages(metrics.at_k(ranked, gold))).join(F.broadcast(mean))
+
+
+# --- labels, classification -----------------------------------------------------------------
+
+_LABEL = "CASE quality + 2 * toxic WHEN 1 THEN 'SUPPORTS' WHEN 3 THEN 'REFUTES' ELSE 'NOT ENOUGH INFO' END"
+
+
+def _labels(spark, sf):
+    code = F.col("quality") + 2 * F.col("toxic")
+    name = F.when(code == 1, "SUPPORTS").when(code == 3, "REFUTES").otherwise("NOT ENOUGH INFO")
+    return table(spark, sf, "labels").select("doc_id", name.alias("label"))
+
+
+@query(f"SELECT label, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM labels), 6) AS percentage FROM (SELECT {_LABEL} AS label FROM labels) GROUP BY label")
+def label_distribution(spark, sf):
+    return _rounded(stats.distribution(_labels(spark, sf), "label"))
+
+
+@query(f"SELECT DISTINCT label, round(count(*) OVER (PARTITION BY label) / count(*) OVER (), 6) AS proportion FROM (SELECT {_LABEL} AS label FROM labels)")
+def class_proportion(spark, sf):
+    return stats.distribution(_labels(spark, sf), "label").select("label", F.round(F.col("percentage") / 100, 6).alias("proportion"))
+
+
+def _judged(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.when(F.length("text") < 1000, "SUPPORTS").when(F.length("text") < 4000, "REFUTES").otherwise("NOT ENOUGH INFO").alias("predicted_label"))
+    return _labels(spark, sf).withColumnRenamed("label", "true_label").join(docs, "doc_id")
+
+
+_JUDGED = f"""j AS (SELECT {_LABEL} AS t, CASE WHEN length(text) < 1000 THEN 'SUPPORTS' WHEN length(text) < 4000 THEN 'REFUTES' ELSE 'NOT ENOUGH INFO' END AS p FROM labels JOIN documents USING (doc_id)),
+    names AS (SELECT unnest(['SUPPORTS', 'REFUTES', 'NOT ENOUGH INFO']) AS label),
+    c AS (SELECT label, count(*) FILTER (t = label AND p = label) AS tp, count(*) FILTER (t = label) AS support, count(*) FILTER (p = label) AS predicted FROM j, names GROUP BY label),
+    r AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall FROM c),
+    f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM r)"""
+
+
+@query(f"WITH {_JUDGED} SELECT round(avg((t = p)::INT), 6) AS accuracy, count(*) AS support FROM j")
+def clf_accuracy(spark, sf):
+    return _rounded(metrics.accuracy(_judged(spark, sf)))
+
+
+@query(f"WITH {_JUDGED} SELECT label, tp, support, predicted, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
+def clf_per_class(spark, sf):
+    return _rounded(metrics.per_class(_judged(spark, sf)).drop("place"))
+
+
+@query(f"WITH {_JUDGED} SELECT round(sum(precision * support) / sum(support), 6) AS precision, round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1, sum(support)::BIGINT AS support FROM f")
+def clf_weighted_prf(spark, sf):
+    return _rounded(metrics.weighted(_judged(spark, sf)))
+
+
+@query(f"""WITH {_JUDGED} SELECT label AS true_label, count(p) FILTER (p = 'SUPPORTS') AS "SUPPORTS", count(p) FILTER (p = 'REFUTES') AS "REFUTES", count(p) FILTER (p = 'NOT ENOUGH INFO') AS "NOT ENOUGH INFO" FROM names LEFT JOIN j ON t = label GROUP BY label""")
+def confusion_matrix(spark, sf):
+    return metrics.confusion(_judged(spark, sf)).drop("place")
+
+
+# --- sampling, sets -------------------------------------------------------------------------
+
+_DRAW = "md5('42:' || {})"
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_LABEL} AS label, {_DRAW.format('doc_id')} AS d FROM labels),
+    q AS (SELECT label, least(floor(100 * (count(*) / (SELECT count(*) FROM l))), count(*)) AS quota FROM l GROUP BY label),
+    r AS (SELECT l.*, quota, row_number() OVER (PARTITION BY label ORDER BY d, doc_id) AS place FROM l JOIN q USING (label)),
+    rest AS (SELECT doc_id, label FROM r WHERE place > quota ORDER BY d, doc_id LIMIT (SELECT greatest(0, 100 - sum(quota))::BIGINT FROM q))
+    SELECT doc_id, label FROM r WHERE place <= quota UNION ALL SELECT doc_id, label FROM rest""")
+def stratified_sample(spark, sf):
+    return sampling.stratified(_labels(spark, sf), 100, "doc_id")
+
+
+@query(f"SELECT doc_id, source FROM documents ORDER BY {_DRAW.format('doc_id')}, doc_id LIMIT 50")
+def reservoir_sample(spark, sf):
+    return sampling.simple(table(spark, sf, "documents").select("doc_id", "source"), 50, "doc_id")
+
+
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_DRAW.format('doc_id')}, doc_id) AS place FROM labels")
+def shuffle_rank(spark, sf):
+    df = table(spark, sf, "labels").select("doc_id", sampling.draw("doc_id").alias("d"))
+    # ranks of groups of the order first, so that no task sorts all rows
+    df = df.withColumn("g", F.substring("d", 1, 2))
+    base = df.groupBy("g").count().select("g", F.coalesce(F.sum("count").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("g").orderBy("d", "doc_id"))
+    return df.withColumn("inside", inside).join(base, "g").select("doc_id", (F.col("base") + F.col("inside")).cast("long").alias("place"))
+
+
+def _required(spark, sf):
+    return table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
+
+
+_NEEDED = "SELECT doc_id FROM labels WHERE toxic = 1"
+
+
+@query(f"SELECT doc_id, source FROM documents WHERE doc_id IN ({_NEEDED})")
+def required_docs_semi(spark, sf):
+    return sampling.matching(table(spark, sf, "documents").select("doc_id", "source"), _required(spark, sf), "doc_id")
+
+
+@query(f"SELECT doc_id, source FROM documents WHERE doc_id NOT IN ({_NEEDED})")
+def distractors_anti(spark, sf):
+    return sampling.matching(table(spark, sf, "documents").select("doc_id", "source"), _required(spark, sf), "doc_id", "left_anti")
+
+
+@query(f"""SELECT doc_id, source FROM documents WHERE doc_id IN ({_NEEDED}) UNION ALL
+    SELECT * FROM (SELECT doc_id, source FROM documents WHERE doc_id NOT IN ({_NEEDED}) ORDER BY {_DRAW.format('doc_id')}, doc_id LIMIT 40)""")
+def reduced_corpus(spark, sf):
+    return sampling.reduced(table(spark, sf, "documents").select("doc_id", "source"), _required(spark, sf), 40, "doc_id")
+
+
+@query(f"""SELECT count(*) AS required, count(d.doc_id) AS found, 100.0 * count(d.doc_id) / count(*) AS percentage FROM
+    (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE source < 'src3') d USING (doc_id)""".replace("100.0 * count(d.doc_id) / count(*)", "round(100.0 * count(d.doc_id) / count(*), 6)"))
+def coverage(spark, sf):
+    return _rounded(sampling.coverage(table(spark, sf, "documents").where("source < 'src3'"), _required(spark, sf), "doc_id"))
+
+
+@query("SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id FROM labels WHERE toxic = 1")
+def union_splits(spark, sf):
+    df = table(spark, sf, "labels")
+    return df.where("quality = 1").select("doc_id").unionByName(df.where("toxic = 1").select("doc_id"))
+
+
+@query("SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 1")
+def intersect_ids(spark, sf):
+    df = table(spark, sf, "labels")
+    return df.where("quality = 1").select("doc_id").intersect(df.where("toxic = 1").select("doc_id"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def except_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").exceptAll(table(spark, sf, "labels").select("doc_id")).distinct()
+
+
+@query("SELECT DISTINCT source FROM documents")
+def distinct_ids(spark, sf):
+    return table(spark, sf, "documents").select("source").distinct()
+
+
+@query(f"SELECT doc_id, label FROM (SELECT doc_id, {_LABEL} AS label, row_number() OVER (PARTITION BY {_LABEL} ORDER BY doc_id) AS r FROM labels) WHERE r <= 2")
+def fewshot_examples(spark, sf):
+    return sampling.first_of_each(_labels(spark, sf), 2, "doc_id", ("SUPPORTS", "REFUTES", "NOT ENOUGH INFO"))
+
+
+# --- prompts --------------------------------------------------------------------------------
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"SELECT item_id AS claim_id, {_sql_text(prompts.HEADER + 'Claim: ')} || text || {_sql_text(chr(10) * 2 + 'Label:')} AS prompt FROM benchmark")
+def prompt_build(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), prompts.prompt(F.col("text")).alias("prompt"))
+
+
+@query(f"""WITH {_DOC_HITS}, best AS (SELECT claim_id, rank, article_id FROM ranked WHERE rank <= 3),
+    e AS (SELECT claim_id, string_agg('[Evidence ' || rank || '] (Source: ' || article_id || ', Relevance: 1.000)' || chr(10) || 'x', chr(10) || chr(10) ORDER BY rank) AS evidence FROM best GROUP BY 1)
+    SELECT claim_id, {_sql_text(prompts.HEADER + 'Claim: ')} || text || {_sql_text(chr(10) * 2 + 'Evidence:' + chr(10))} || evidence || {_sql_text(chr(10) * 2 + 'Label:')} AS prompt FROM e JOIN benchmark ON item_id = claim_id""")
+def prompt_with_evidence(spark, sf):
+    ranked, _ = _doc_ranking(spark, sf)
+    hits = ranked.withColumns({"score": F.lit(1.0), "text": F.lit("x")})
+    claims = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+    return claims.join(prompts.evidence_texts(hits, 3), "claim_id").select("claim_id", prompts.prompt(F.col("claim"), F.col("evidence")).alias("prompt"))
+
+
+@query()
+def predict_claims(spark, sf):
+    claims = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+    return prompts.predict(claims, None).select("claim_id", "predicted_label")
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot FROM embeddings a, embeddings b WHERE b.vec_id = a.vec_id + 1")
+def vector_dot(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")).join(e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("vb")), "a").select("a", "b", F.round(V.dot(F.col("va"), F.col("vb")), 6).alias("dot"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
