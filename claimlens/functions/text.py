@@ -7,7 +7,7 @@ engines; \\x1c-\\x1f count as white space too.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -27,6 +27,13 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def materialised(df: DataFrame, **columns: Column) -> DataFrame:
+    """The columns, each computed once for a row. Else the optimizer may move an expression into
+    the lambdas that use its column, and it is computed again for each element."""
+    row = F.struct(*(c.alias(k) for k, c in columns.items()))
+    return df.select(F.explode(F.array(row)).alias("m")).select("m.*")
+
+
 def clean(text: Column, entities: bool = True) -> Column:
     """Brackets, character references, single dashed capitals, white space. Null is empty.
 

@@ -15,7 +15,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
-def hashed_counts(tokens: Column, dim: int) -> Column:
-    """Bucket and count of a text's tokens: the default embedding before it is normalised."""
-    buckets = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("long") % dim)
-    return F.transform(F.array_distinct(buckets), lambda b: F.struct(b.alias("bucket"), F.size(F.filter(buckets, lambda x: x == b)).alias("n")))
+def bucket(token: Column, dim: int) -> Column:
+    """Bucket of a token in the default embedding."""
+    return F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("long") % dim

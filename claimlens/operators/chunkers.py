@@ -19,7 +19,7 @@ from ..protocols import RuleSegmenter, Segmenter, Tokenizer
 
 def prepared(articles: DataFrame, entities: bool = True) -> DataFrame:
     """Articles with cleaned text and parsed sentences; articles without text are left out."""
-    out = articles.select(F.col("id").cast("string").alias("article_id"), T.clean(F.col("text"), entities).alias("clean"), T.annotated_sentences(F.col("lines"), entities).alias("sentences"))
+    out = T.materialised(articles, article_id=F.col("id").cast("string"), clean=T.clean(F.col("text"), entities), sentences=T.annotated_sentences(F.col("lines"), entities))
     return out.where(F.col("clean") != "")
 
 
@@ -37,6 +37,11 @@ def sentence(articles: DataFrame, entities: bool = True) -> DataFrame:
     return _explode(prepared(articles, entities), F.transform("sentences", lambda s, i: F.struct(s.alias("text"), F.array(i).alias("sentence_ids"))))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Prepared articles with the places of their sentences."""
+    return T.materialised(df, article_id=F.col("article_id"), clean=F.col("clean"), positions=T.sentence_positions("clean", "sentences"))
+
+
 def _step(size: int, overlap: int) -> int:
     if size <= 0 or overlap < 0 or overlap >= size:
         raise ValueError(f"overlap {overlap} must be at least 0 and below size {size}")
@@ -45,7 +50,7 @@ def _step(size: int, overlap: int) -> int:
 
 def fixed_char(articles: DataFrame, size: int = 500, overlap: int = 50, entities: bool = True) -> DataFrame:
     step = _step(size, overlap)
-    df = prepared(articles, entities).withColumn("positions", T.sentence_positions("clean", "sentences"))
+    df = _placed(prepared(articles, entities))
     starts = F.sequence(F.lit(0), F.length("clean") - 1, F.lit(step))
     return _explode(df, F.transform(starts, lambda s: F.struct(F.trim(F.substring(F.col("clean"), s + 1, F.lit(size))).alias("text"), _overlapping(F.col("positions"), s, s + size).alias("sentence_ids"))))
 
@@ -54,9 +59,10 @@ def fixed_token(articles: DataFrame, size: int = 128, overlap: int = 20, tokeniz
     """Windows of `size` tokens. tokenizer: makes one; by default tokens are split at white space
     and everything stays in the JVM."""
     step = _step(size, overlap)
-    df = prepared(articles, entities).withColumn("positions", T.sentence_positions("clean", "sentences"))
+    df = _placed(prepared(articles, entities))
     if tokenizer is None:
-        tokens = F.split("clean", " ")
+        df = T.materialised(df, article_id=F.col("article_id"), clean=F.col("clean"), positions=F.col("positions"), tokens=F.split("clean", " "))
+        tokens = F.col("tokens")
         df = df.withColumn("texts", F.transform(F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(step)), lambda s: F.array_join(F.slice(tokens, s + 1, F.lit(size)), " ")))
     else:
 
@@ -67,6 +73,7 @@ def fixed_token(articles: DataFrame, size: int = 128, overlap: int = 20, tokeniz
                 yield part.map(lambda t: [model.decode(ids[s : s + size]).strip() for ids in [model.encode(t)] for s in range(0, len(ids), step)])
 
         df = df.withColumn("texts", windows("clean"))
+    df = T.materialised(df, article_id=F.col("article_id"), clean=F.col("clean"), positions=F.col("positions"), texts=F.col("texts"))
     # a chunk's place is the first one where its text stands
     chunks = F.expr(
         """transform(texts, t -> named_struct('text', t, 'sentence_ids', if(locate(t, clean) > 0,

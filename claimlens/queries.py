@@ -167,9 +167,9 @@ def chunk_fixed_char(spark, sf):
     return chunkers.fixed_char(articles(spark, sf), entities=False).select("article_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
 
 
-@query(f"""WITH {_SENTENCES}, at AS (SELECT article_id, i, sum(length(text) + 1) OVER (PARTITION BY article_id ORDER BY i) - length(text) - 1 AS s, length(text) AS n FROM sents),
+@query(f"""WITH {_SENTENCES}, spots AS (SELECT article_id, i, sum(length(text) + 1) OVER (PARTITION BY article_id ORDER BY i) - length(text) - 1 AS s, length(text) AS n FROM sents),
     raw AS{_CHARS.split(', raw AS', 1)[1]} SELECT c.article_id, c.chunk_index, c.text, string_agg(a.i::VARCHAR, ',' ORDER BY a.i) AS sentence_ids
-    FROM chunks c JOIN at a ON a.article_id = c.article_id AND a.s < c.s + 500 AND a.s + a.n > c.s GROUP BY ALL""")
+    FROM chunks c JOIN spots a ON a.article_id = c.article_id AND a.s < c.s + 500 AND a.s + a.n > c.s GROUP BY ALL""")
 def chunk_fixed_char_sentence_ids(spark, sf):
     return chunkers.fixed_char(articles(spark, sf), entities=False).select("article_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", joined("sentence_ids").alias("sentence_ids"))
 
@@ -207,7 +207,8 @@ def chunk_edu_rules(spark, sf):
 
 def _predictions(spark, sf):
     """Token predictions of overlapping windows: 1 where a token ends in a comma, seen by the window's second half only."""
-    toks = table(spark, sf, "documents").select("doc_id", chunkers.token_windows(T.tokens(F.col("text")), 34, 16).alias("w"))
+    toks = T.materialised(table(spark, sf, "documents"), doc_id=F.col("doc_id"), tokens=T.tokens(F.col("text")))
+    toks = toks.select("doc_id", chunkers.token_windows(F.col("tokens"), 34, 16).alias("w"))
     rows = toks.select("doc_id", F.explode("w").alias("w")).select("doc_id", F.col("w.start").alias("start"), F.posexplode("w.tokens").alias("at", "t"))
     return rows.select("doc_id", (F.col("start") + F.col("at")).cast("long").alias("pos"), (F.col("t").endswith(",") & (F.col("at") >= 16)).cast("int").alias("pred"))
 
@@ -410,17 +411,25 @@ def eval_summary(spark, sf):
     return _rounded(metrics.averages(metrics.at_k(retrieval.ranked_articles(_hits(spark, sf)), _gold_labels(spark, sf))))
 
 
+#: Items that a list in the plan holds at most.
+FEW_ITEMS = 2000
+
+
 def _contained(spark, sf):
-    """claim_id, article_id: documents that contain a benchmark item; both keep their white space.
-    Candidates share the item's first 32 characters' words, so no pair is made without one."""
-    items = table(spark, sf, "benchmark").where("length(text) > 0").select("item_id", "text")
-    first = F.get(T.tokens(F.col("text")), F.lit(1))
-    keyed = items.select(F.col("item_id").alias("claim_id"), F.col("text").alias("item"), F.concat_ws(" ", first, F.get(T.tokens(F.col("text")), F.lit(2)), F.get(T.tokens(F.col("text")), F.lit(3))).alias("key"))
+    """claim_id, article_id: documents that contain a benchmark item. A few items go with the
+    plan; more are looked up by the three words after their first."""
+    items = table(spark, sf, "benchmark").where("length(text) > 0").select(F.col("item_id").alias("claim_id"), F.col("text").alias("item"))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    toks = T.tokens(F.col("text"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(toks) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(toks, i + 1, 3))))
-    pairs = docs.select("doc_id", F.explode(grams).alias("key")).join(keyed, "key").select("doc_id", "claim_id", "item")
-    return pairs.join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("claim_id", F.col("doc_id").cast("string").alias("article_id"))
+    some = items.limit(FEW_ITEMS + 1).collect()
+    article = F.col("doc_id").cast("string").alias("article_id")
+    if len(some) <= FEW_ITEMS:
+        held = F.array(*(F.struct(F.lit(r["claim_id"]).alias("claim_id"), F.lit(r["item"]).alias("item")) for r in some)) if some else F.array().cast("array<struct<claim_id:bigint,item:string>>")
+        return docs.select("doc_id", F.explode(F.filter(held, lambda x: F.contains(F.col("text"), x["item"]))).alias("x")).select("x.claim_id", article)
+    keyed = T.materialised(items, claim_id=F.col("claim_id"), item=F.col("item"), t=T.tokens(F.col("item"))).withColumn("key", F.concat_ws(" ", F.slice("t", 2, 3)))
+    words = T.materialised(docs.where("text IS NOT NULL"), doc_id=F.col("doc_id"), t=T.tokens(F.col("text")))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("t", i, 3))))
+    pairs = words.select("doc_id", F.explode(grams).alias("key")).join(keyed.drop("t"), "key").select("doc_id", "claim_id", "item")
+    return pairs.join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("claim_id", article)
 
 
 _GOLD = "gold AS (SELECT item_id AS claim_id, doc_id::VARCHAR AS article_id FROM benchmark b, documents d WHERE length(b.text) > 0 AND contains(d.text, b.text))"
@@ -448,14 +457,15 @@ def _doc_ranking(spark, sf):
     """Articles ranked for each claim with gold, and the gold: chunks of 500 characters, hashed
     embeddings, 20 nearest chunks. Chunks and claims meet in the buckets that both fill."""
     gold = _contained(spark, sf)
-    points = collections.numbered(chunkers.fixed_char(articles(spark, sf), entities=False)).select(F.col("point_id").cast("long").alias("point_id"), "article_id", "text")
+    # points are known by article and place, which is also the order of their ids
+    points = chunkers.fixed_char(articles(spark, sf), entities=False).select(F.struct("article_id", "chunk_index").alias("point"), "text")
     chosen = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), "text").join(gold.select("claim_id").distinct(), "claim_id", "left_semi")
-    w = retrieval.hashed_weights(points, "point_id", F.col("text")).select("point_id", "bucket", F.col("w").alias("pw"))
+    w = retrieval.hashed_weights(points, "point", F.col("text")).select("point", "bucket", F.col("w").alias("pw"))
     c = retrieval.hashed_weights(chosen, "claim_id", F.col("text")).select("claim_id", "bucket", F.col("w").alias("cw"))
-    scored = w.join(c, "bucket").groupBy("claim_id", "point_id").agg(F.round(F.sum(F.col("cw") * F.col("pw")), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "point_id"))
+    scored = w.join(c, "bucket").groupBy("claim_id", "point").agg(F.round(F.sum(F.col("cw") * F.col("pw")), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "point"))
     best = scored.withColumn("rank", rank).where("rank <= 20")
-    return retrieval.ranked_articles(best.join(points.select("point_id", "article_id"), "point_id")), gold
+    return retrieval.ranked_articles(best.select("claim_id", "rank", "point.article_id")), gold
 
 
 @query(f"WITH {_DOC_HITS}, {_AT_K} SELECT k, count(*) AS claims, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(accuracy), 6) AS accuracy, (SELECT round(avg(rr), 6) FROM rr) AS mrr FROM at_k GROUP BY k")

@@ -38,6 +38,13 @@ def sample_files(files: list[str], n: int, seed: int = 42) -> list[str]:
     return sorted(files, key=lambda f: hashlib.md5(f"{seed}:{f}".encode()).hexdigest())[:n] if len(files) > n else list(files)
 
 
+def _tolerant(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Adds r, the row of each line (value); lines that can't be read, or only in part, go."""
+    bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", bad, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    return parsed.where(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).withColumn("r", F.col("r").dropFields("_corrupt_record"))
+
+
 def read(spark: SparkSession, path: str | list[str], schema: T.StructType, strict: bool = True, limit: int | None = None) -> DataFrame:
     """Rows of JSON Lines. strict: a line that can't be read raises, else it is skipped; a path
     that doesn't exist gives no rows. limit: the first rows in the order of files and lines."""
@@ -48,11 +55,7 @@ def read(spark: SparkSession, path: str | list[str], schema: T.StructType, stric
     if strict:
         df = spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
     else:
-        bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-        # a line may parse in part, so all columns are read before the bad ones go
-        df = spark.read.schema(bad).option("mode", "PERMISSIVE").json(paths)
-        rows = F.struct(*schema.names, "_corrupt_record")
-        df = df.select(rows.alias("r")).where(F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
+        df = _tolerant(spark.read.text(paths), schema).select("r.*")
     if limit:
         df = df.withColumn("__file", F.input_file_name()).withColumn("__at", F.monotonically_increasing_id()).orderBy("__file", "__at").limit(limit).drop("__file", "__at")
     return df
@@ -61,7 +64,7 @@ def read(spark: SparkSession, path: str | list[str], schema: T.StructType, stric
 def read_capped(spark: SparkSession, paths: list[str], schema: T.StructType, per_file: int) -> DataFrame:
     """The first rows of each file; lines that can't be read are skipped."""
     df = spark.read.text(paths).select("value", F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__at"))
-    df = df.withColumn("r", F.from_json("value", schema)).where(F.col("r").isNotNull() & F.to_json("r").isNotNull() & (F.to_json("r") != "{}"))
+    df = _tolerant(df, schema)
     place = F.row_number().over(Window.partitionBy("__file").orderBy("__at"))
     return df.withColumn("__place", place).where(F.col("__place") <= per_file).select("r.*")
 
