@@ -32,10 +32,10 @@ from . import frames, units
 #: Labelled rows of each class, by the order of a hash, and bytes of a text that is fitted on.
 SAMPLE, SAMPLE_BYTES = 2000, 1 << 15
 #: Words of a window, bytes of a gram, texts that must share it, and its least z-value.
-WORDS, GRAM, LEAST, Z = 4, 5, 5, 4.0
+WORDS, GRAM, LEAST, Z = 4, 5, 5, 3.0
 LEVEL = 12
-#: Bytes of the two dictionaries' own parts.
-ORDINARY, TOXIC = 100, 4096
+#: Bytes of the two dictionaries' own parts; of the toxic one's sizes the best calibrated is taken.
+ORDINARY, TOXIC = 100, (512, 4096, 8192)
 PRIMER = bytes(range(1, 9))
 #: Windows that a worker remembers.
 REMEMBERED = 100_000
@@ -108,8 +108,9 @@ def _grams(text: bytes) -> set[bytes]:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """The two dictionaries from spaced texts of either class."""
+def passages_of(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """From spaced texts of either class: the passages that toxic texts share, those that most
+    share last, and the words that ordinary texts share."""
     t, o = Counter(), Counter()
     for x in toxic:
         t.update(_grams(x))
@@ -119,7 +120,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
 
     def odd(g: bytes) -> bool:
         odds = math.log((t[g] + 0.5) / (len(toxic) + 1)) - math.log((o[g] + 0.5) / (len(ordinary) + 1))
-        return odds > 1 and odds / math.sqrt(1 / (t[g] + 0.5) + 1 / (o[g] + 0.5)) > Z
+        return odds > 2.5 and odds / math.sqrt(1 / (t[g] + 0.5) + 1 / (o[g] + 0.5)) > Z
 
     chosen = {g for g in likely if odd(g)}
     # passages: the longest runs of chosen grams, by the number of texts that hold them
@@ -135,7 +136,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
             i = j + 1
         held.update(mine)
     passages: list[bytes] = []
-    for p in sorted((p for p, n in held.most_common(2000) if n >= 3), key=lambda p: (-len(p), p)):
+    for p in sorted((p for p, n in held.most_common(4000) if n >= 3), key=lambda p: (-len(p), p)):
         if not any(p in q for q in passages):
             passages.append(p)
     passages.sort(key=lambda p: (held[p], p))  # what most texts hold stands last
@@ -144,7 +145,12 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     for x in ordinary:
         common.update(set(x.split()))
     base = b" ".join(w for w, _ in sorted(common.items(), key=lambda i: (-i[1], i[0]))[:ORDINARY])[:ORDINARY] + b" "
-    return Model(base, b"".join(passages)[-TOXIC:] + base)
+    return b"".join(passages), base
+
+
+def dictionaries(parts: tuple[bytes, bytes], size: int) -> Model:
+    """The two dictionaries, the toxic one with `size` bytes of passages at most."""
+    return Model(parts[1], parts[0][-size:] + parts[1])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -162,37 +168,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """A model from labelled texts. Dictionaries that either half of the texts gives are
-    calibrated on the other half; the model's own come from all of them. With one class only,
+def fit(texts: list[str | None], labels: list[int], totals: tuple[int, int] | None = None) -> Model:
+    """A model from labelled texts: dictionaries from three of four texts of each class, their size,
+    threshold and weights from the fourth. totals: rows of the classes 0 and 1 among all labels. With one class only,
     scores are that class's smoothed share."""
     data = [(_whole(t or ""), int(y)) for t, y in zip(texts, labels, strict=True)]
     ones = sum(y for _, y in data)
     if not ones or ones == len(data):
         share = (ones + 0.5) / (len(data) + 1)
         return Model(b" " * 8, b" " * 8, [math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0], [1.0] * 4)
-    saved, y = [], []
-    for half in (0, 1):
-        part = [d for i, d in enumerate(data) if i % 2 != half]
-        model = dictionaries([x for x, k in part if k], [x for x, k in part if not k])
-        for x, k in (d for i, d in enumerate(data) if i % 2 == half):
-            raw = np.frombuffer(x, np.uint8)
-            text, cuts, _ = spaced(raw, np.array([0, len(raw)]))
-            c = cuts.tolist()
-            saved.append(model.saved([b" " + text[c[i] : c[min(i + WORDS, len(c) - 1)]] for i in range(0, len(c) - 1, WORDS)]))
-            y.append(k)
-    whole, target, best = dictionaries([x for x, k in data if k], [x for x, k in data if not k]), np.array(y, float), None
-    for threshold in range(1, 6):
-        whole.threshold = threshold
-        x = np.array([whole.of(s) for s in saved])
-        scale = np.maximum(x.std(axis=0), 1e-9)
-        w = _logistic(x / scale, target)
-        z = np.column_stack([np.ones(len(x)), x / scale]) @ w
-        loss = float(np.mean(np.logaddexp(0, z) - target * z))
-        if best is None or loss < best[0]:
-            best = (loss, threshold, w.tolist(), scale.tolist())
-    _, whole.threshold, whole.weights, whole.scale = best
-    return whole
+    side, seen = [], Counter()
+    for _, k in data:  # every fourth text of each class calibrates
+        side.append(seen[k] % 4 == 3)
+        seen[k] += 1
+    if min(seen.values()) < 4:
+        side = [True] * len(data)
+    parts = passages_of(*([x for i, (x, k) in enumerate(data) if k == one and (not side[i] or all(side))] for one in (1, 0)))
+    order, best = [i for i in range(len(data)) if side[i]], None
+    target = np.array([data[i][1] for i in order], float)
+    cut = []
+    for i in order:
+        raw = np.frombuffer(data[i][0], np.uint8)
+        text, cuts, _ = spaced(raw, np.array([0, len(raw)]))
+        c = cuts.tolist()
+        cut.append([b" " + text[c[k] : c[min(k + WORDS, len(c) - 1)]] for k in range(0, len(c) - 1, WORDS)])
+    for size in TOXIC:
+        model = dictionaries(parts, size)
+        saved = [model.saved(w) for w in cut]
+        for threshold in range(1, 6):
+            model.threshold = threshold
+            x = np.array([model.of(v) for v in saved])
+            scale = np.maximum(x.std(axis=0), 1e-9)
+            w = _logistic(x / scale, target)
+            z = np.column_stack([np.ones(len(x)), x / scale]) @ w
+            loss = float(np.mean(np.logaddexp(0, z) - target * z))
+            if best is None or loss < best[0]:
+                best = (loss, size, threshold, w.tolist(), scale.tolist())
+    _, size, threshold, weights, scale = best
+    model = dictionaries(parts, size)
+    model.threshold, model.weights, model.scale = threshold, weights, scale
+    if totals:  # the sample may hold the classes in other proportions than the labels
+        model.weights[0] += math.log((totals[1] + 0.5) / (totals[0] + 0.5)) - math.log((ones + 0.5) / (len(data) - ones + 0.5))
+    return model
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -204,13 +221,14 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the labelled rows that are not held out: SAMPLE of each class at most, in the
     order of a hash, and of these the texts of at most SAMPLE_BYTES."""
     kept = labels.where((fold(id_col) != 0) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
+    counts = {r[0]: r[1] for r in kept.groupBy("label").count().collect()}
     order = F.xxhash64(id_col)
     some = [kept.where(F.col("label") == k).orderBy(order, id_col).limit(SAMPLE) for k in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 * SAMPLE rows at most
     texts = docs.select(id_col, F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
     rows = texts.join(chosen, id_col).select(order.alias("o"), "text", "label").limit(4 * SAMPLE).collect()
     rows.sort(key=lambda r: (r["o"], r["text"]))
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    return fit([r["text"] for r in rows], [r["label"] for r in rows], (counts.get(0, 0), counts.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
