@@ -163,13 +163,12 @@ def _may_link(na, pa_, nb, pb, share):
     return sizes & (np.minimum(na - pa_, nb - pb) >= needed(na, nb, share))
 
 
-def _full(c, n, p, share, label=None):
-    """Pairs of one list, sorted by position: once positions leave too few elements for the
-    largest set of the list to overlap with, the blocks behind are skipped."""
+def _full(c, n, p, share, label, sketch):
+    """Pairs of one list whose components differ and whose sketches may link, the list sorted by
+    position: blocks whose positions leave too few elements to overlap with are skipped."""
     out, m = [], len(c)
     o = np.argsort(p, kind="stable")
-    c, n, p = c[o], n[o], p[o]
-    label = None if label is None else label[o]
+    c, n, p, label, sketch = c[o], n[o], p[o], label[o], sketch[o]
     for s in range(0, m, BLOCK):
         left = slice(s, s + BLOCK)
         # a set of size x at position p has x - p elements left and needs share of x at least
@@ -179,14 +178,14 @@ def _full(c, n, p, share, label=None):
             if room * 100 < share * n[right].min() or room * 100 < share * n[left].min():
                 continue
             ok = _may_link(n[left][:, None], p[left][:, None], n[right][None], p[right][None], share)
-            ok &= c[left][:, None] != c[right][None]
-            if label is not None:
-                ok &= label[left][:, None] != label[right][None]
+            ok &= label[left][:, None] != label[right][None]
             if s == t:
                 ok = np.triu(ok, 1)
             i, j = np.nonzero(ok)
-            if len(i):
-                out.append((c[left][i], c[right][j]))
+            i, j = i + s, j + t
+            fine = n[i] + n[j] - _difference(sketch[i], sketch[j]) >= 2 * needed(n[i], n[j], share)
+            if fine.any():
+                out.append((c[i[fine]], c[j[fine]]))
     return out
 
 
@@ -259,7 +258,7 @@ def _sketched(share: int):
         for rb in batches:
             if not rb.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(rb.column(k).to_pylist()), np.uint8).reshape(rb.num_rows, -1) for k in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(rb.column(k).to_pylist()), np.uint64).reshape(rb.num_rows, -1) for k in ("sa", "sb"))
             na, nb = rb.column("na").to_numpy(), rb.column("nb").to_numpy()
             # a difference of d leaves an overlap of (na + nb - d) / 2
             ok = na + nb - _difference(x, y) >= 2 * needed(na, nb, share)
@@ -310,13 +309,14 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, sh
 
 
 def _apart(share: int):
-    """Pairs of a long list whose classes are in different components."""
+    """Pairs of a long list whose classes are in different components and may link by their sketches."""
 
     def slot(pdf: pd.DataFrame) -> pd.DataFrame:
         c, n, p, label = (pdf[k].to_numpy() for k in ("c", "n", "p", "label"))
         if len(np.unique(label)) < 2:
             return _pairs_frame([])
-        return _pairs_frame(_full(c, n, p, share, label))
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+        return _pairs_frame(_full(c, n, p, share, label, sketch))
 
     return slot
 
@@ -368,6 +368,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     if not long.isEmpty():
         held = long.select("slot", "entries").mapInArrow(_unpacked, "slot long, c long, n long, p long")
         held = held.join(labels.withColumnRenamed("u", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        # lists of one component only have nothing more to compare
+        apart = held.groupBy("slot").agg((F.min("label") != F.max("label")).alias("apart")).where("apart").select("slot")
+        held = held.join(apart, "slot").join(classes.select("c", "sketch").dropDuplicates(["c"]), "c")
         more = held.groupBy("slot").applyInPandas(_apart(share), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
         links = links.union(_links(docs, classes, more, words, share))
         labels = frames.staged(components.components(links.toDF("u", "v")), "labels")
