@@ -31,8 +31,10 @@ from . import frames, units
 
 #: Labelled rows of each class, by the order of a hash, and bytes of a text that is fitted on.
 SAMPLE, SAMPLE_BYTES = 2000, 1 << 15
-#: Words of a window, bytes of a gram, texts that must share it, and its least z-value.
-WORDS, GRAM, LEAST, Z = 4, 5, 5, 3.0
+#: Words of a window, bytes of a gram, texts that must share it.
+WORDS, GRAM, LEAST = 4, 5, 5
+#: Least log odds of a gram in toxic texts, and their z-value; the best calibrated pair is taken.
+CHOICES = ((1.0, 4.0), (1.0, 3.0), (2.5, 3.0), (2.5, 2.0))
 LEVEL = 12
 #: Bytes of the two dictionaries' own parts; of the toxic one's sizes the best calibrated is taken.
 ORDINARY, TOXIC = 100, (512, 4096, 8192)
@@ -108,9 +110,9 @@ def _grams(text: bytes) -> set[bytes]:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
-def passages_of(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """From spaced texts of either class: the passages that toxic texts share, those that most
-    share last, and the words that ordinary texts share."""
+def shared_passages(toxic: list[bytes], ordinary: list[bytes]) -> dict[tuple[float, float], bytes]:
+    """From spaced texts of either class: for each choice of least odds, the passages that toxic
+    texts share that much more often, those that most of them share last."""
     t, o = Counter(), Counter()
     for x in toxic:
         t.update(_grams(x))
@@ -118,39 +120,40 @@ def passages_of(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes
     for x in ordinary:
         o.update(_grams(x) & likely)
 
-    def odd(g: bytes) -> bool:
-        odds = math.log((t[g] + 0.5) / (len(toxic) + 1)) - math.log((o[g] + 0.5) / (len(ordinary) + 1))
-        return odds > 2.5 and odds / math.sqrt(1 / (t[g] + 0.5) + 1 / (o[g] + 0.5)) > Z
-
-    chosen = {g for g in likely if odd(g)}
-    # passages: the longest runs of chosen grams, by the number of texts that hold them
-    held = Counter()
-    for x in toxic:
-        mine, i = set(), 0
-        while i <= len(x) - GRAM:
-            j = i
-            while j <= len(x) - GRAM and x[j : j + GRAM] in chosen:
-                j += 1
-            if j > i:
-                mine.add(x[i : j + GRAM - 1])
-            i = j + 1
-        held.update(mine)
-    passages: list[bytes] = []
-    for p in sorted((p for p, n in held.most_common(4000) if n >= 3), key=lambda p: (-len(p), p)):
-        if not any(p in q for q in passages):
-            passages.append(p)
-    passages.sort(key=lambda p: (held[p], p))  # what most texts hold stands last
-    # the words that most ordinary texts share
+    def odds(g: bytes) -> tuple[float, float]:
+        log = math.log((t[g] + 0.5) / (len(toxic) + 1)) - math.log((o[g] + 0.5) / (len(ordinary) + 1))
+        return log, log / math.sqrt(1 / (t[g] + 0.5) + 1 / (o[g] + 0.5))
+
+    values, out = {g: odds(g) for g in likely}, {}
+    for least in CHOICES:
+        chosen = {g for g, v in values.items() if v[0] > least[0] and v[1] > least[1]}
+        # the longest runs of chosen grams, by the number of texts that hold them
+        held = Counter()
+        for x in toxic:
+            mine, i = set(), 0
+            while i <= len(x) - GRAM:
+                j = i
+                while j <= len(x) - GRAM and x[j : j + GRAM] in chosen:
+                    j += 1
+                if j > i:
+                    mine.add(x[i : j + GRAM - 1])
+                i = j + 1
+            held.update(mine)
+        passages: list[bytes] = []
+        for p in sorted((p for p, n in held.most_common(4000) if n >= 3), key=lambda p: (-len(p), p)):
+            if not any(p in q for q in passages):
+                passages.append(p)
+        passages.sort(key=lambda p: (held[p], p))
+        out[least] = b"".join(passages)
+    return out
+
+
+def common_words(ordinary: list[bytes]) -> bytes:
+    """The words that most ordinary texts share."""
     common = Counter()
     for x in ordinary:
         common.update(set(x.split()))
-    base = b" ".join(w for w, _ in sorted(common.items(), key=lambda i: (-i[1], i[0]))[:ORDINARY])[:ORDINARY] + b" "
-    return b"".join(passages), base
-
-
-def dictionaries(parts: tuple[bytes, bytes], size: int) -> Model:
-    """The two dictionaries, the toxic one with `size` bytes of passages at most."""
-    return Model(parts[1], parts[0][-size:] + parts[1])
+    return b" ".join(w for w, _ in sorted(common.items(), key=lambda i: (-i[1], i[0]))[:ORDINARY])[:ORDINARY] + b" "
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -169,8 +172,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(texts: list[str | None], labels: list[int], totals: tuple[int, int] | None = None) -> Model:
-    """A model from labelled texts: dictionaries from three of four texts of each class, their size,
-    threshold and weights from the fourth. totals: rows of the classes 0 and 1 among all labels. With one class only,
+    """A model from labelled texts: dictionaries from three of four texts of each class, their size
+    and choice, the threshold and the weights from the fourth. totals: rows of the classes 0 and 1 among all labels. With one class only,
     scores are that class's smoothed share."""
     data = [(_whole(t or ""), int(y)) for t, y in zip(texts, labels, strict=True)]
     ones = sum(y for _, y in data)
@@ -183,7 +186,8 @@ def fit(texts: list[str | None], labels: list[int], totals: tuple[int, int] | No
         seen[k] += 1
     if min(seen.values()) < 4:
         side = [True] * len(data)
-    parts = passages_of(*([x for i, (x, k) in enumerate(data) if k == one and (not side[i] or all(side))] for one in (1, 0)))
+    texts_of = [[x for i, (x, k) in enumerate(data) if k == one and (not side[i] or all(side))] for one in (1, 0)]
+    found, base = shared_passages(*texts_of), common_words(texts_of[1])
     order, best = [i for i in range(len(data)) if side[i]], None
     target = np.array([data[i][1] for i in order], float)
     cut = []
@@ -192,8 +196,8 @@ def fit(texts: list[str | None], labels: list[int], totals: tuple[int, int] | No
         text, cuts, _ = spaced(raw, np.array([0, len(raw)]))
         c = cuts.tolist()
         cut.append([b" " + text[c[k] : c[min(k + WORDS, len(c) - 1)]] for k in range(0, len(c) - 1, WORDS)])
-    for size in TOXIC:
-        model = dictionaries(parts, size)
+    for own in dict.fromkeys(p[-size:] for p in found.values() for size in TOXIC):
+        model = Model(base, own + base)
         saved = [model.saved(w) for w in cut]
         for threshold in range(1, 6):
             model.threshold = threshold
@@ -203,9 +207,9 @@ def fit(texts: list[str | None], labels: list[int], totals: tuple[int, int] | No
             z = np.column_stack([np.ones(len(x)), x / scale]) @ w
             loss = float(np.mean(np.logaddexp(0, z) - target * z))
             if best is None or loss < best[0]:
-                best = (loss, size, threshold, w.tolist(), scale.tolist())
-    _, size, threshold, weights, scale = best
-    model = dictionaries(parts, size)
+                best = (loss, own, threshold, w.tolist(), scale.tolist())
+    _, own, threshold, weights, scale = best
+    model = Model(base, own + base)
     model.threshold, model.weights, model.scale = threshold, weights, scale
     if totals:  # the sample may hold the classes in other proportions than the labels
         model.weights[0] += math.log((totals[1] + 0.5) / (totals[0] + 0.5)) - math.log((ones + 0.5) / (len(data) - ones + 0.5))
