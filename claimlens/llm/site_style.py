@@ -6,7 +6,9 @@ the contents that pages show there. A node's importance is high where both
 differ from page to page and low where pages repeat them (entropy over the
 host's pages). Branches of low importance leave each page, as do those whose
 element or class says what they are. What is left of the article, if a page
-marks one, else of the body, is the text.
+marks one, else of the body, is the text. Inside an article a branch of low
+importance leaves only where its own content repeats too, and articles that
+share their longest block (copies of each other) count once.
 """
 
 from __future__ import annotations
@@ -162,17 +164,38 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _style(root: Node) -> set[tuple[str, str, str]]:
-    """(path, presentation, content) of the page's nodes outside its article and known branches."""
-    found, todo = set(), [c for c in root.children if isinstance(c, Node)]
+def _content(node: Node) -> str:
+    """The text below a node, or its length and hash if it is long."""
+    text = text_of(node)
+    return text if len(text) < 200 else f"{len(text)}:{hash_of(text)}"
+
+
+def _longest(node: Node) -> str:
+    """Hash of the longest text of an article's blocks that hold no other block."""
+    best, todo = "", [node]
     while todo:
         x = todo.pop()
-        if x.aside or x.main:
+        below = [c for c in x.children if isinstance(c, Node) and not c.aside]
+        todo.extend(below)
+        if not any(c.tag in BLOCK for c in below):
+            best = max(best, text_of(x), key=len)
+    return hash_of(best)
+
+
+def _style(root: Node) -> set[tuple[str, str, str, str]]:
+    """(article, path, presentation, content) of the page's nodes outside known branches.
+    article: its longest block's hash, empty outside articles."""
+    found, todo = set(), [(c, "") for c in root.children if isinstance(c, Node)]
+    while todo:
+        x, once = todo.pop()
+        if x.aside:
             continue
+        if x.main and not once:
+            once = _longest(x)
         shape = ",".join(dict.fromkeys(c.tag for c in x.children if isinstance(c, Node)))
-        if x.tag not in ("html", "body") and (text := text_of(x)):
-            found.add((x.path, shape, text if len(text) < 200 else f"{len(text)}:{hash_of(text)}"))
-        todo.extend(c for c in x.children if isinstance(c, Node))
+        if x.tag not in ("html", "body") and (text := _content(x)):
+            found.add((once, x.path, shape, text))
+        todo.extend((c, once) for c in x.children if isinstance(c, Node))
     return found
 
 
@@ -183,7 +206,9 @@ def hash_of(text: str) -> str:
 
 
 def blocks(root: Node, low: frozenset[str] | set[str] = frozenset()) -> list[str]:
-    """The blocks of a page's main text. low: paths of unimportant nodes of its host."""
+    """The blocks of a page's main text. low: unimportant nodes of its host, as paths, in articles
+    as path, line feed and hash of the content. An article that would leave no text stays whole."""
+    inside = {p.rpartition("\n")[0] for p in low}
     mains, todo = [], [root]
     while todo:
         x = todo.pop()
@@ -201,7 +226,12 @@ def blocks(root: Node, low: frozenset[str] | set[str] = frozenset()) -> list[str
             out.append(text)
         line.clear()
 
-    def walk(node: Node):
+    def unimportant(x: Node) -> bool:
+        if not x.main:
+            return x.path in low
+        return x.path in inside and f"{x.path}\n{hash_of(_content(x))}" in low
+
+    def walk(node: Node, prune: bool = True):
         # each entry: a text, a node, or None where a block ends
         rest: list = list(reversed(node.children))
         while rest:
@@ -210,7 +240,7 @@ def blocks(root: Node, low: frozenset[str] | set[str] = frozenset()) -> list[str
                 end()
             elif isinstance(x, str):
                 line.append(x)
-            elif x.aside or (not x.main and x.path in low):
+            elif x.aside or (prune and unimportant(x)):
                 if x.tag in BLOCK:
                     end()
             elif x.tag == "br":
@@ -223,47 +253,71 @@ def blocks(root: Node, low: frozenset[str] | set[str] = frozenset()) -> list[str
         end()
 
     for m in mains or [root]:
+        before = len(out)
         walk(m)
+        if m.main and len(out) == before:
+            walk(m, prune=False)
     return out
 
 
 def _features(batches):
     for rb in batches:
         counts: Counter = Counter()
-        pages: Counter = Counter()
         for host, page in zip(rb.column("host").to_pylist(), rb.column("html").to_pylist(), strict=True):
-            pages[host] += 1
-            root = parse(page or "")
-            for path, shape, text in _style(root):
-                counts[host, path, "c", hash_of(text)] += 1
-                counts[host, path, "p", hash_of(shape)] += 1
-        rows = [(*k, n) for k, n in counts.items()] + [(h, "", "n", "", n) for h, n in pages.items()]
+            counts[host, "", "", "n", ""] += 1
+            mine: Counter = Counter()
+            for once, path, shape, text in _style(parse(page or "")):
+                mine[host, once, path, "c", hash_of(text)] = 1
+                mine[host, once, path, "p", hash_of(shape)] += 1
+                mine[host, once, path, "s", ""] = 1
+                if once:
+                    mine[host, once, "", "a", ""] = 1
+            for k, n in mine.items():
+                counts[k] = max(counts[k], n) if k[1] else counts[k] + n
+        rows = [(*k, n) for k, n in counts.items()]
         for s in range(0, len(rows), 20_000):
-            host, path, kind, feature, n = zip(*rows[s : s + 20_000], strict=True)
-            yield frames.batch(host=pa.array(host, pa.string()), path=pa.array(path, pa.string()), kind=pa.array(kind, pa.string()), feature=pa.array(feature, pa.string()), n=pa.array(n, pa.int64()))
+            host, once, path, kind, feature, n = zip(*rows[s : s + 20_000], strict=True)
+            yield frames.batch(host=pa.array(host, pa.string()), once=pa.array(once, pa.string()), path=pa.array(path, pa.string()), kind=pa.array(kind, pa.string()), feature=pa.array(feature, pa.string()), n=pa.array(n, pa.int64()))
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Nodes of all hosts' style trees outside articles: host, path, pages (that show it),
-    host_pages and importance, 0 to 1."""
+def _counted(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """host, path, kind, feature, inside (an article) and n: pages, or different articles, with contents
+    (c), presentations (p), the path at all (s); of the host, its pages (n) and articles (a)."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     source = pages.select(host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    counted = source.mapInArrow(_features, "host string, path string, kind string, feature string, n long").groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    found = source.mapInArrow(_features, "host string, once string, path string, kind string, feature string, n long")
+    inside = F.col("once") != ""
+    single = found.groupBy("host", "once", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    single = single.select("host", "path", "kind", "feature", inside.alias("inside"), F.when(inside, F.col("most")).otherwise(F.col("n")).alias("n"))
+    return single.groupBy("host", "path", "kind", "feature", "inside").agg(F.sum("n").alias("n"))
+
+
+def _nodes(counted: DataFrame) -> DataFrame:
     # entropy of one feature over m pages that show it: log(n) / log(m); of presentations: their diversity
-    kinds = counted.where("kind <> 'n'").groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    kinds = counted.where("kind IN ('c', 'p', 's')").groupBy("host", "path", "inside", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     kinds = kinds.withColumn("repeat", F.when(F.col("m") > 1, F.col("s") / (F.col("m") * F.log("m"))).otherwise(0.0))
-    nodes = kinds.groupBy("host", "path").agg(F.max("m").alias("pages"), F.max(F.when(F.col("kind") == "c", 1 - F.col("repeat"))).alias("content"), F.max(F.when(F.col("kind") == "p", 1 - F.col("repeat"))).alias("presentation"))
-    totals = counted.where("kind = 'n'").select("host", F.col("n").alias("host_pages"))
+    nodes = kinds.groupBy("host", "path", "inside").agg(F.max(F.when(F.col("kind") == "s", F.col("m"))).alias("pages"), F.max(F.when(F.col("kind") == "c", 1 - F.col("repeat"))).alias("content"), F.max(F.when(F.col("kind") == "p", 1 - F.col("repeat"))).alias("presentation"))
+    totals = counted.where("kind IN ('n', 'a')").select("host", (F.col("kind") == "a").alias("inside"), F.col("n").alias("host_pages"))
     importance = F.lit(CONTENT) * F.col("content") + F.lit(1 - CONTENT) * F.col("presentation")
-    return nodes.join(totals, "host").select("host", "path", "pages", "host_pages", importance.alias("importance"))
+    return nodes.join(totals, ["host", "inside"]).select("host", "path", "inside", "pages", "host_pages", importance.alias("importance"))
+
+
+def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Nodes of all hosts' style trees: host, path, inside (an article), pages (that show it; inside,
+    different articles), host_pages (likewise) and importance, 0 to 1."""
+    return _nodes(_counted(pages, url_col, html_col))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of pages: id, url and text, the main text's blocks joined by a line
     feed. Null pages have empty text; pages without a url form one site. Columns not named
-    are left out; rows that repeat each count as a page."""
-    tree = style_tree(pages, url_col, html_col)
-    low = tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE) & (F.col("importance") < IMPORTANT))
+    are left out; rows that repeat each count as a page, but equal articles as one."""
+    counted = frames.staged(_counted(pages, url_col, html_col), "style-counts")
+    enough = (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE)
+    low = _nodes(counted).where(enough & (F.col("importance") < IMPORTANT))
+    repeated = counted.where("inside AND kind = 'c'").where(F.col("n") >= LEAST_PAGES).select("host", "path", "inside", "feature", "n")
+    within = low.where("inside").join(repeated, ["host", "path", "inside"]).where(F.col("n") >= F.col("host_pages") * LEAST_SHARE)
+    low = low.where("NOT inside").select("host", "path").unionByName(within.select("host", F.concat_ws("\n", "path", "feature").alias("path")))
     low = frames.staged(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "style-tree")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     source = pages.select(F.struct(F.col(id_col), F.col(url_col)).alias("own"), host.alias("host"), F.col(html_col).cast("string").alias("html"))

@@ -154,6 +154,20 @@ def test_site_style(spark):
     assert site_style.extract(df.limit(0)).count() == 0
 
 
+def test_site_style_inside_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><div class='kicker-line'><p>{1}</p></div><p>Body number {0} of its own.</p></article></body>"
+    rows = [(i, "http://h.example/x", page.format(i, "Read on our site" if i else "Words of one page")) for i in range(12)]
+    # copies of one article are no boilerplate
+    rows += [(100 + i, "http://copies.example/x", page.format(7, "Read on our site")) for i in range(12)]
+    rows += [(200 + i, "http://near.example/x", page.format(7, "Read on our site").replace("Title 7", f"Title {i}")) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_style.extract(df).collect()}
+    assert got[3] == "Title 3\nBody number 3 of its own."
+    assert got[0] == "Title 0\nWords of one page\nBody number 0 of its own."
+    assert got[105] == "Title 7\nRead on our site\nBody number 7 of its own."
+    assert got[205] == "Title 5\nRead on our site\nBody number 7 of its own."
+
+
 def test_toxicity_on_tables(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (7, 0), (5, None), (None, 1)], "doc_id long, toxic int")
     scored = toxicity.score(docs, toxicity.fit_on(docs, labels)).collect()
