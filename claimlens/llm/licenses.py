@@ -3,8 +3,11 @@
 Sentences of a text are normalised (ASCII lower case, runs of other characters
 than letters and digits become one space) and mapped to the ids of known license
 sentences; the sequence of a text's ids is then matched against rules, each an
-ordered list of ids that the sequence must hold in that order. Everything is a
-column expression: no join, no shuffle, no Python on the executors.
+ordered list of ids that the sequence must hold in that order. A known sentence
+begins and ends where a line, a clause or a sentence does, and may run over line
+breaks (with marks of comments, like "#" or " * ") and clauses in between, but
+not over the end of a sentence. Everything is a column expression: no join, no
+shuffle, no Python on the executors.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ SENTENCES: dict[int, str] = {
     52: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     53: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
+# Other forms of known sentences.
+FORMS: dict[str, int] = {"licensed under the apache license version 2 0 the license": 2}
 # Each known sentence holds one of these.
 KEYWORDS = ("licens", "permission", "copyright", "warrant", "redistribut", "free software")
 # Rules in order: license and the ids that must follow one another, gaps allowed.
@@ -68,7 +73,9 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
     ("BSD-3-Clause", (14,)),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Ends of sentences: lines, and stops before white space. Clauses after ":" and ";" stand alone too.
+#: Ends of sentences, and of lines and clauses, over which a sentence may go on.
+_STOPS, _SOFT = "[.!?]+[ \\t\\r\\n]+", "[:;]+[ \\t]+|[\\r\\n]+"
+#: In the oracle, which knows sentences within one line and clause only: all of these.
 _ENDS = "[.:;!?]+[ \\t]+|[\\r\\n]+"
 
 
@@ -78,9 +85,18 @@ def sentence_ids(text: Column) -> Column:
     likely = F.lit(False)
     for word in KEYWORDS:
         likely = likely | F.contains(low, F.lit(word))
-    known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
-    clean = F.transform(F.split(low, _ENDS), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.when(likely, F.transform(F.filter(clean, lambda s: s.isin(list(SENTENCES.values()))), lambda s: known[s]))
+    forms = {x: i for i, x in SENTENCES.items()} | FORMS
+    known = F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))
+
+    def clauses(sentence: Column) -> Column:
+        clean = F.transform(F.split(sentence, _SOFT), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+        return F.array_join(F.filter(clean, lambda s: s != ""), " | ")
+
+    # "| clause | clause |. | clause |": a known sentence stands between bars, and may hold some
+    marked = F.concat(F.lit("| "), F.array_join(F.transform(F.split(low, _STOPS), clauses), " |. | "), F.lit(" |"))
+    any_known = "|".join(x.replace(" ", r"(?: \|)? ") for x in sorted(forms, key=len, reverse=True))
+    found = F.regexp_extract_all(marked, F.lit(rf"(?<=\| )(?:{any_known})(?= \|)"), F.lit(0))
+    return F.when(likely, F.transform(found, lambda s: known[F.replace(s, F.lit(" |"), F.lit(""))]))
 
 
 def _holds(sequence: str, ids: tuple[int, ...]) -> str:
@@ -111,7 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle() -> str:
-    """The same for DuckDB, over documents."""
+    """For DuckDB, over documents whose known sentences each stand in one line and clause."""
     keys = " OR ".join(f"contains(low, '{w}')" for w in KEYWORDS)
     known = ", ".join(f"'{s}': {i}" for i, s in SENTENCES.items())
     some = ", ".join(f"'{s}'" for s in SENTENCES.values())

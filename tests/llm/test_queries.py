@@ -47,6 +47,92 @@ def test_licenses(docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+APACHE_HEADER = """Copyright 2020 A. Name
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+LICENSED = [
+    (MIT_TEXT, "MIT-text"),
+    (MIT_TEXT.replace("\n", "\r\n"), "MIT-text"),
+    (APACHE_HEADER, "Apache-2.0-header,Apache-2.0"),
+    ("/*\n" + "\n".join(" * " + x for x in APACHE_HEADER.split("\n")) + "\n */\nint x;", "Apache-2.0-header,Apache-2.0"),
+    ("\n".join("# " + x for x in GPL_HEADER.split("\n")), "GPL-3.0-header"),
+    (BSD_TEXT, "BSD-2-Clause-text"),
+    (BSD_TEXT + BSD_THIRD, "BSD-3-Clause-text,BSD-2-Clause-text"),
+    ("This work is licensed under a Creative Commons\nAttribution 4.0 International License.", "CC-BY-4.0"),
+    ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+    ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("# SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"),
+    ("/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"),
+    ("<!-- SPDX-License-Identifier: BSD-3-Clause -->", "BSD-3-Clause"),
+    ("A line\nReleased under the MIT License\nanother line", "MIT"),
+    ("It was not released under the MIT License", ""),
+    ("Licensed under the\nMIT. License", ""),
+    ("Released under the MIT License of old", ""),
+]
+
+
+def test_licenses_in_wrapped_texts(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LICENSED)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(LICENSED))] == [want for _, want in LICENSED]
+
+
+@pytest.mark.parametrize("i", licenses.SENTENCES)
+def test_each_license_sentence_wrapped(spark, i):
+    words = licenses.SENTENCES[i].split(" ")
+    text = "Before.\n# " + "\n# ".join(" ".join(words[s : s + 5]) for s in range(0, len(words), 5)) + ".\n# After"
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["sentence_ids"] == str(i)
+
+
 def test_mixing(docs):
     mixed = mixing.mix(docs)
     same(mixed.select("doc_id", "size", "source_size", "target", "taken"), mixing.oracle(), docs)
