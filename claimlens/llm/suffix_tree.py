@@ -48,7 +48,7 @@ class PrefixTrees:
 
     def route(self, right: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(right)
-        group, open_ = _prefix(right, 1), np.ones(n, bool)
+        group, open_ = _prefix(right, 1), np.full(n, bool(self.long))  # an empty sample finds nothing frequent
         for words, long in enumerate(self.long, 1):
             at = np.flatnonzero(open_)
             h = _prefix(right[at], words)

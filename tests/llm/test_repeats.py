@@ -88,6 +88,16 @@ def test_suffix_tree(spark, dealt, window):
     assert suffix_tree.dedup(df.limit(0)).count() == 0
 
 
+def test_suffix_tree_without_a_sample(spark, monkeypatch):
+    """Repeats in texts so rare that the sample meets none of them."""
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(repeats, "_sample", lambda spec, docs, rows: np.zeros((0, spec.gram), np.uint64))
+    rows = corpus(112)
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row int")
+    got = {r["row"]: (r["n_words"], r["n_removed"], r["kept"]) for r in suffix_tree.dedup(df, window=12, keep=("row",)).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_words(rows, 12)
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(units, "CHUNK", 512)
     r = random.Random(3)
