@@ -45,7 +45,9 @@ def tokenizer_path() -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    # the digest is of the ids as they stand in the sequences
+    out = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences."""
-    return packing.pack(docs, tokenizer_path(), with_ids=False)
+    """Pieces with their token ids and places in sequences."""
+    return packing.pack(docs, tokenizer_path())
 
 
 STAGES = [

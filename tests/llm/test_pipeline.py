@@ -80,3 +80,20 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers"), reason="no vocabulary files")
+def test_sequences_hold_the_texts(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path())
+    texts = ["one two three", "", "w " * 2500, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids, filled = {}, {}
+    for r in corpus_pipeline.pack_sequences(spark, docs, "").orderBy("doc_id", "start").collect():
+        piece = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+        ids.setdefault(r["doc_id"], []).extend(piece)
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], piece))
+    assert [ids[i] for i in range(4)] == [model.encode(t or "", add_special_tokens=False).ids + [packing.END_ID] for t in texts]
+    for placed in filled.values():
+        assert [o for o, _ in sorted(placed)] == np.cumsum([0] + [len(x) for _, x in sorted(placed)])[:-1].tolist()

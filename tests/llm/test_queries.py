@@ -9,7 +9,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from claimlens.llm import ann, licenses, media, mixing, packing, site_style, toxicity
+from pyspark.sql import functions as F
+
+from claimlens.llm import ann, licenses, media, mixing, packing, queries, site_style, toxicity
 from claimlens.llm.queries import tokenizer_path
 
 ROWS = [
@@ -186,6 +188,17 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_op5_digests_the_packed_ids(docs, spark, tmp_path, monkeypatch):
+    """Not digests from before the packing."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    real = packing.pieces
+    monkeypatch.setattr(packing, "pieces", lambda *a, **k: real(*a, **k).withColumn("ids_crc32", F.lit(-1).cast("long")))
+    got = queries.op5_packing(spark, str(tmp_path))
+    want = packing.pack(docs, tokenizer_path()).collect()
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert sorted(r["ids_crc32"] for r in got.collect()) == sorted(zlib.crc32(bytes(r["ids"])) for r in want)
+
+
 def test_media(docs, tmp_path):
     stored = media.store(docs, f"file://{tmp_path}/media")
     got = media.read_back(stored).collect()
