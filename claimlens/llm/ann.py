@@ -4,7 +4,7 @@ Vectors are rotated, cut into groups of a few dimensions each, and every group
 gives one Hilbert ordering of all vectors (each with a shift of its own). An
 ordering is range-partitioned into cells of equal frequency; a query visits the
 cells around its own place on every curve, and what it meets on all curves is
-merged and ranked by the exact measure.
+merged and ranked by the exact measure. Equal vectors take one place together.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import units
+from . import frames, units
 
 #: Curves, dimensions of each, bits of a dimension, cells of a curve, cells visited to either side.
 CURVES, DIMS, BITS, CELLS, AROUND = 16, 4, 8, 64, 2
 #: Vectors that the rotation's scale and the cells' borders come from; vectors in one group of a join.
 SAMPLE, GROUP = 20_000, 20_000
+#: Different vectors that a cell has at least; small tables have fewer cells.
+LEAST = 8
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -74,6 +76,18 @@ class Index:
     def cells(self, keys: np.ndarray, side: str = "right") -> np.ndarray:
         return np.stack([np.searchsorted(b, keys[:, c], side) for c, b in enumerate(self.borders)], axis=1)
 
+    def around(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last cell that a query visits on each curve: all that hold its key, those
+        around them, and all of a key that fills several of these."""
+        last = len(self.borders[0])
+        lo = np.maximum(self.cells(keys, "left") - AROUND, 0)
+        hi = np.minimum(self.cells(keys, "right") + AROUND, last)
+        if last:
+            for c, b in enumerate(self.borders):
+                lo[:, c] = np.where(lo[:, c] < last, np.minimum(lo[:, c], np.searchsorted(b, b[np.minimum(lo[:, c], last - 1)], "left")), lo[:, c])
+                hi[:, c] = np.where(hi[:, c] > 0, np.maximum(hi[:, c], np.searchsorted(b, b[np.maximum(hi[:, c] - 1, 0)], "right")), hi[:, c])
+        return lo, hi
+
 
 def usable(vector: str = "embedding"):
     """Vectors that take part: none of their components null or not finite, not all zero."""
@@ -82,7 +96,7 @@ def usable(vector: str = "embedding"):
     return v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0)
 
 
-def fit(vectors: np.ndarray, seed: int = 5) -> Index:
+def fit(vectors: np.ndarray, seed: int = 5, cells: int = CELLS) -> Index:
     """An index from a sample of vectors; it only places cells, every vector gets a place."""
     dims = vectors.shape[1]
     rng = np.random.default_rng(seed)
@@ -93,7 +107,7 @@ def fit(vectors: np.ndarray, seed: int = 5) -> Index:
     low, high = np.quantile(y, 0.001, axis=0), np.quantile(y, 0.999, axis=0)
     index = Index(rotation, low, np.maximum(high, low + 1e-9), rng.uniform(0, 1, y.shape[1]), [])
     keys = np.sort(index.keys(vectors), axis=0)
-    at = np.arange(1, CELLS) * len(keys) // CELLS
+    at = np.arange(1, cells) * len(keys) // cells
     index.borders = [keys[at, c] for c in range(CURVES)]
     return index
 
@@ -110,9 +124,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
     clean = [d.where(F.size("v") == size) for d in clean]
-    sampled = clean[0].where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).collect()
-    index = fit(np.array([r["v"] for r in sampled] or [[1.0] * size]))
-    groups = n // (CELLS * GROUP) + 1
+    # equal vectors are one class with its smallest ids: k, and one that may be the query's own
+    least = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    classes = clean[0].withColumn("least", least).where(F.col("least") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    classes = classes.select(F.col("ids")[0].alias("id"), "ids", "v")
+    n = classes.count()
+    sampled = classes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).select("v").collect()
+    cells = min(CELLS, n // LEAST + 1)
+    index = fit(np.array([r["v"] for r in sampled] or [[1.0] * size]), cells=cells)
+    groups = n // (cells * GROUP) + 1
 
     def places(query: bool):
         def rows(batches):
@@ -122,10 +142,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                 ids = rb.column("id").to_numpy(zero_copy_only=False)
                 v = rb.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
                 keys = index.keys(v)
-                first, last = index.cells(keys, "left"), index.cells(keys, "right")
                 if query:
-                    # all cells that hold the key, and those around them
-                    lo, hi = np.maximum(first - AROUND, 0), np.minimum(last + AROUND, CELLS - 1)
+                    lo, hi = index.around(keys)
                     spans = (hi - lo + 1).ravel()
                     row = np.repeat(np.repeat(np.arange(len(ids)), CURVES), spans * groups)
                     curve = np.repeat(np.tile(np.arange(CURVES), len(ids)), spans * groups)
@@ -133,21 +151,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                     cell, group = np.repeat(lo.ravel(), spans * groups) + step, np.tile(np.arange(groups), int(spans.sum()))
                 else:
                     # equal keys may fill several cells: dealt over them
+                    first, last = index.cells(keys, "left"), index.cells(keys, "right")
                     salt = units.mix(ids.astype(np.uint64))
                     cell = (first + (salt[:, None] % (last - first + 1).astype(np.uint64)).astype(np.int64)).ravel()
                     row, curve = np.repeat(np.arange(len(ids)), CURVES), np.tile(np.arange(CURVES), len(ids))
                     group = np.repeat(((salt >> np.uint64(20)) % np.uint64(groups)).astype(np.int64), CURVES)
                 for s in range(0, len(row), 20_000):
                     e = slice(s, s + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array((curve[e] * CELLS + cell[e]) * groups + group[e]), pa.array(ids[row[e]]), rb.column("v").take(pa.array(row[e]))], names=["place", "id", "v"])
+                    held = {} if query else {"ids": rb.column("ids").take(pa.array(row[e]))}
+                    yield frames.batch(place=pa.array((curve[e] * CELLS + cell[e]) * groups + group[e]), id=pa.array(ids[row[e]]), **held, v=rb.column("v").take(pa.array(row[e])))
 
         return rows
 
     def meet(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        """The k + 1 best classes of each query."""
+        out = {"query_id": [], "class": [], "score": [], "ids": []}
+        few = k + 1
         if len(have) and len(want):
             have = have.sort_values("id")
-            ids, v = have["id"].to_numpy(), np.stack(have["v"].to_numpy())
+            ids, held, v = have["id"].to_numpy(), have["ids"].to_numpy(), np.stack(have["v"].to_numpy())
             norms = np.sqrt((v * v).sum(axis=1))
             for s in range(0, len(want), 256):
                 part = want.iloc[s : s + 256]
@@ -155,19 +177,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                 own = np.sqrt((q * q).sum(axis=1))
                 rough = (q @ v.T) / (own[:, None] * norms)
                 for i, me in enumerate(part["id"].to_numpy()):
-                    r = np.where(ids == me, -np.inf, rough[i])
-                    least = np.partition(r, -k)[-k] if len(r) > k else -2.0
+                    r = rough[i]
+                    least = np.partition(r, -few)[-few] if len(r) > few else -2.0
                     near = np.flatnonzero(r >= least - 1e-9)
                     exact = (v[near] * q[i]).sum(axis=1) / (norms[near] * own[i])
-                    best = np.lexsort((ids[near], -exact))[:k]
+                    best = np.lexsort((ids[near], -exact))[:few]
                     out["query_id"].append(np.full(len(best), me))
-                    out["vec_id"].append(ids[near][best])
+                    out["class"].append(ids[near][best])
                     out["score"].append(exact[best])
-        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    kind = "place long, id long, v array<double>"
-    have, want = clean[0].mapInArrow(places(False), kind), clean[1].mapInArrow(places(True), kind)
-    found = have.groupBy("place").cogroup(want.groupBy("place")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    found = found.dropDuplicates(["query_id", "vec_id"])
+                    out["ids"].append(held[near][best])
+        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, object if c == "ids" else float) for c, x in out.items()}).astype({"query_id": "int64", "class": "int64"})
+
+    have = classes.mapInArrow(places(False), "place long, id long, ids array<long>, v array<double>")
+    want = clean[1].mapInArrow(places(True), "place long, id long, v array<double>")
+    found = have.groupBy("place").cogroup(want.groupBy("place")).applyInPandas(meet, "query_id long, class long, score double, ids array<long>")
+    found = found.dropDuplicates(["query_id", "class"])
+    near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "class"))
+    found = found.withColumn("near", near).where(F.col("near") <= k + 1).select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

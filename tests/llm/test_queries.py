@@ -240,6 +240,42 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df).count() == 0
 
 
+def nearest(v, q, k=5):
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = unit @ unit[q]
+    s[q] = -9
+    return [int(i) for i in np.lexsort((np.arange(len(v)), -np.round(s, 12)))[: min(k, len(v) - 1)]]
+
+
+def searched(spark, v, where):
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for x in sorted(ann.search(df, df.where(where)).collect(), key=lambda x: x["rank"]):
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    return got
+
+
+def test_neighbours_beside_many_copies(spark):
+    r = np.random.default_rng(8)
+    v = r.normal(size=(1500, 16))
+    v[500:1000] = v[500]
+    v[:20] = v[500] + 0.02 * r.normal(size=(20, 16))
+    order = r.permutation(1500)  # so that ids of copies lie among the others
+    v = v[order]
+    asked = [int(i) for i in np.flatnonzero(order < 20)] + [int(i) for i in np.flatnonzero(order == 700)]
+    got = searched(spark, v, f"vec_id IN ({', '.join(map(str, asked))})")
+    assert got[asked[-1]] == nearest(v, asked[-1])
+    hits = sum(len(set(got[q]) & set(nearest(v, q))) for q in asked)
+    assert hits >= 0.9 * 5 * len(asked)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 9, 20])
+def test_neighbours_of_few(spark, n):
+    v = np.random.default_rng(n).normal(size=(n, 16))
+    got = searched(spark, v, "true")
+    assert got == {q: nearest(v, q) for q in range(n) if n > 1}
+
+
 def test_site_style(spark):
     rows = []
     for i in range(12):
