@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -92,6 +92,7 @@ def overflow(df: DataFrame, tokens: Column, limit: int = 512) -> DataFrame:
 
 def slowdown(times: DataFrame, order: str, seconds: str, n: int = 10) -> DataFrame:
     """Means of the first and the last n batches, and their ratio."""
-    both = times.select(seconds, F.row_number().over(Window.orderBy(order)).alias("a"), F.row_number().over(Window.orderBy(F.desc(order))).alias("b"))
-    first, last = F.avg(F.when(F.col("a") <= n, F.col(seconds))), F.avg(F.when(F.col("b") <= n, F.col(seconds)))
+    ends = [times.orderBy(o).limit(n).select(F.col(seconds).alias("value"), F.lit(start).alias("start")) for o, start in ((F.asc(order), True), (F.desc(order), False))]
+    both = ends[0].unionByName(ends[1])
+    first, last = F.avg(F.when(F.col("start"), F.col("value"))), F.avg(F.when(~F.col("start"), F.col("value")))
     return both.agg(first.alias("first"), last.alias("last"), F.try_divide(last, first).alias("slowdown"))

@@ -417,7 +417,8 @@ FEW_ITEMS = 2000
 
 def _contained(spark, sf):
     """claim_id, article_id: documents that contain a benchmark item. A few items go with the
-    plan; more are looked up by the three words after their first."""
+    plan; more are looked up by the three words after their first, and those without three whole
+    words inside are compared with every text."""
     items = table(spark, sf, "benchmark").where("length(text) > 0").select(F.col("item_id").alias("claim_id"), F.col("text").alias("item"))
     docs = table(spark, sf, "documents").select("doc_id", "text")
     some = items.limit(FEW_ITEMS + 1).collect()
@@ -425,11 +426,16 @@ def _contained(spark, sf):
     if len(some) <= FEW_ITEMS:
         held = F.array(*(F.struct(F.lit(r["claim_id"]).alias("claim_id"), F.lit(r["item"]).alias("item")) for r in some)) if some else F.array().cast("array<struct<claim_id:bigint,item:string>>")
         return docs.select("doc_id", F.explode(F.filter(held, lambda x: F.contains(F.col("text"), x["item"]))).alias("x")).select("x.claim_id", article)
-    keyed = T.materialised(items, claim_id=F.col("claim_id"), item=F.col("item"), t=T.tokens(F.col("item"))).withColumn("key", F.concat_ws(" ", F.slice("t", 2, 3)))
+    # the first and the last word of an item may be parts of words in a document
+    keyed = T.materialised(items, claim_id=F.col("claim_id"), item=F.col("item"), t=T.tokens(F.col("item")))
+    short = F.size("t") < 5
+    whole = keyed.where(~short).select("claim_id", "item", F.concat_ws(" ", F.slice("t", 2, 3)).alias("key"))
     words = T.materialised(docs.where("text IS NOT NULL"), doc_id=F.col("doc_id"), t=T.tokens(F.col("text")))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("t", i, 3))))
-    pairs = words.select("doc_id", F.explode(grams).alias("key")).join(keyed.drop("t"), "key").select("doc_id", "claim_id", "item")
-    return pairs.join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("claim_id", article)
+    pairs = words.select("doc_id", F.explode(grams).alias("key")).join(whole, "key").select("doc_id", "claim_id", "item")
+    found = pairs.join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("claim_id", article)
+    beside = docs.join(F.broadcast(keyed.where(short).select("claim_id", "item")), F.contains(F.col("text"), F.col("item"))).select("claim_id", article)
+    return found.unionByName(beside)
 
 
 _GOLD = "gold AS (SELECT item_id AS claim_id, doc_id::VARCHAR AS article_id FROM benchmark b, documents d WHERE length(b.text) > 0 AND contains(d.text, b.text))"

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from claimlens import queries
 from claimlens.operators import chunkers, metrics, prompts, retrieval, sampling, stats
 from claimlens.plans import workflows
 from claimlens.protocols import HashedEmbedder
@@ -176,3 +177,24 @@ def test_stream(spark, tmp_path):
     (source / "a.jsonl").write_text("\n".join(json.dumps(dict(zip(("id", "text", "lines"), a, strict=True))) for a in ARTICLES))
     ingest.chunk_stream(spark, str(source), str(tmp_path / "to"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "to")).count() == 4
+
+
+def test_slowdown_by_limits(spark):
+    times = spark.createDataFrame([(i, float(i * i)) for i in range(40)], "batch long, s double")
+    got = stats.slowdown(times, "batch", "s")
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    first, last = sum(i * i for i in range(10)) / 10, sum(i * i for i in range(30, 40)) / 10
+    assert list(got.first()) == pytest.approx([first, last, last / first])
+    few = stats.slowdown(times.where("batch < 3"), "batch", "s").first()
+    assert few["first"] == few["last"] == pytest.approx(5 / 3)
+
+
+@pytest.mark.parametrize("few", [2000, 0])
+def test_containment_of_short_items(spark, tmp_path, monkeypatch, few):
+    items = ["one", "wo thr", "two thre", "one two thr", "ne two three fo", "ne two three four fi", "absent", " ", "five\nsix seven eight nine t"]
+    texts = ["one two three four five\nsix seven eight nine ten", "stone", "two three", "", None, "one two  three"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "FEW_ITEMS", few)
+    got = sorted((r["claim_id"], r["article_id"]) for r in queries._contained(spark, str(tmp_path)).collect())
+    assert got == sorted((i, str(d)) for i, x in enumerate(items) for d, t in enumerate(texts) if t and x in t)
