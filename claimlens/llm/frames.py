@@ -18,12 +18,15 @@ LAST_ID = (1 << 63) - 1
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The shared folder in spark.checkpoint.dir; where it is unset and all runs on this machine
+    (tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             return held.rstrip("/")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
         atexit.register(__import__("shutil").rmtree, root, ignore_errors=True)
@@ -37,7 +40,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop(*stages: DataFrame) -> None:
+    """Delete what staged() has written, once nothing reads it any more."""
+    for df in stages:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_column(name: str) -> Column:
@@ -59,11 +72,11 @@ def total_bytes(df: DataFrame, text: str) -> int:
 
 
 def steady_heap() -> None:
-    """Keep freed buffers in this worker: numpy's temporaries else cost page faults."""
+    """Keep small freed buffers in this worker: numpy's temporaries else cost page faults."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 25)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 23)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):
         pass
 

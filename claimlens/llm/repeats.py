@@ -8,19 +8,24 @@ equal anchors, so a window that repeats is found at its anchor, and each window
 belongs to exactly one anchor.
 
 1. Anchors' gram hashes are dealt by hash; those that occur once go no further.
-   What a task has seen twice itself sends its hash once, so that a gram that
-   fills the corpus doesn't fill a bucket.
+   What a task has seen twice itself sends its hash once, with a count, so that a
+   gram that fills the corpus doesn't fill a bucket. The counts also tell which
+   grams would fill a bucket of step 3.
 2. Around each remaining anchor, its context (all units of its windows) goes to
    the bucket of its suffix's leading units (`Order.route`).
-3. A bucket orders the suffixes to the right of the anchors and the reversed
-   prefixes to the left (`Order.sort`). Windows that begin j units before their
+3. A bucket indexes the suffixes to the right of the anchors and the reversed
+   prefixes to the left (`Order.index`). Windows that begin j units before their
    anchors are equal if their suffixes share window - j units and their
-   prefixes share j: two runs of the two orders meet. The first occurrence
-   stays, the others are removed.
-4. A prefix so frequent that it fills several buckets is dealt over them by
-   document; what each bucket keeps of its windows is then compared across
-   buckets.
+   prefixes share j: a group of the one index and one of the other meet. The
+   first occurrence stays, the others are removed.
+4. A gram so frequent that it would fill a bucket is dealt over all of them by
+   places of documents; what each bucket keeps of its windows is then compared
+   across buckets.
 5. Each document gets its removed runs.
+
+Rows equal in id and text are one document throughout: they lie side by side
+after the join of step 2, where all but the first are skipped, and share the
+result of step 5.
 """
 
 from __future__ import annotations
@@ -38,23 +43,33 @@ from pyspark.sql import functions as F
 from . import frames, units
 
 #: Bytes of text whose anchors meet in one bucket of step 1, and of steps 3 and 4.
-FILTER_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
-#: A prefix with more suffixes than so many buckets hold on average is dealt over several.
-SPREAD = 4
-#: Documents whose anchors are sampled for the splitters; they only affect balance.
-SAMPLE_DOCS = 2000
+FILTER_BYTES, BUCKET_BYTES = 6 << 20, 2 << 20
+#: A gram with more suffixes than so many buckets hold on average is dealt over all.
+SPREAD = 2
+#: Slices of text that are sampled for each bucket's border, at most in all (the driver holds 7 suffixes
+#: or so of each), and their characters. They only affect balance: beyond it, buckets split by hash.
+SLICES, MOST_SLICES, SLICE = 16, 8192, 2048
 #: Anchors, and bytes of contexts, that a task gathers before it sends them.
-FLUSH_ANCHORS, FLUSH_BYTES = 1 << 19, 12 << 20
+FLUSH_ANCHORS, FLUSH_BYTES = 1 << 18, 6 << 20
+#: Buckets over which the places of one document that are known already are dealt.
+SALTS = 16
+
+
+class Groups(Protocol):
+    """An index of rows by their leading units."""
+
+    def cut(self, depth: int) -> np.ndarray:
+        """For each row a number of the group of rows that share `depth` units with it; -1: no other does."""
 
 
 class Order(Protocol):
-    """How suffixes are dealt to buckets and sorted there."""
+    """How suffixes are dealt to buckets and indexed there."""
 
-    def route(self, right: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket of each suffix, and whether its prefix fills several buckets."""
+    def route(self, right: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Bucket of each suffix, from its units and its gram's hash."""
 
-    def sort(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the rows, and units that each shares with the one before (first: 0)."""
+    def index(self, rows: np.ndarray) -> Groups:
+        """Rows of units (at least two), indexed."""
 
 
 @dataclass(frozen=True)
@@ -64,6 +79,7 @@ class Spec:
     gram: int
     within: bool  #: an earlier start in the same document counts too
     plan: Callable[[np.ndarray, int], Order]  #: from a sample of suffixes and the number of buckets
+    apart: int  #: units of text (bytes) for each anchor, about
 
     @property
     def left(self) -> int:
@@ -102,12 +118,22 @@ def _columns(rb: pa.RecordBatch):
 # --- 1: anchors that occur more than once -------------------------------------------------
 
 
+def _new_rows(rb: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows whose id and text weren't seen yet."""
+    at = []
+    for i, key in enumerate(zip(rb.column("did").to_numpy(zero_copy_only=False).tolist(), rb.column("th").to_numpy(zero_copy_only=False).tolist(), strict=True)):
+        if key not in seen:
+            seen.add(key)
+            at.append(i)
+    return rb if len(at) == rb.num_rows else rb.take(pa.array(at, pa.int64()))
+
+
 def _filter_rows(spec: Spec, buckets: int):
     def rows(batches):
         frames.steady_heap()
-        held, docs, n, m = [], [], 0, 0
+        held, docs, seen, n, m = [], [], set(), 0, 0
         for rb in batches:
-            did, th, raw, offsets = _columns(rb)
+            did, th, raw, offsets = _columns(_new_rows(rb, seen))
             for _, at, a, text, pos, h, _, _ in _found(spec, raw, offsets):
                 used, index = np.unique(text, return_inverse=True)
                 docs.append((did[a + used], th[a + used]))
@@ -115,10 +141,11 @@ def _filter_rows(spec: Spec, buckets: int):
                 m += len(used)
                 n += len(h)
                 if n >= FLUSH_ANCHORS:
-                    yield from _filter_flush(held, docs, buckets)
+                    yield _filter_flush(held, docs, buckets)
                     held, docs, n, m = [], [], 0, 0
+                    seen.clear()
         if n:
-            yield from _filter_flush(held, docs, buckets)
+            yield _filter_flush(held, docs, buckets)
 
     return rows
 
@@ -128,63 +155,81 @@ def _filter_flush(held, docs, buckets):
     did, th = (np.concatenate(x) for x in zip(*docs, strict=True))
     o = np.argsort(h, kind="stable")
     h, di, pos = h[o], di[o], pos[o]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    twice = ~(new & np.concatenate([new[1:], [True]]))
-    # one entry for each hash: with its place if it is alone, else without
-    eh, alone = h[new], ~twice[new]
-    edi, epos = di[new], pos[new]
-    edges = np.searchsorted(eh, np.array([-(-(k << 48) // buckets) for k in range(buckets + 1)], dtype=np.uint64))
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    count = np.diff(np.append(first, len(h)))
+    # one entry for each hash: with its place if it is alone, else with its count
+    eh, alone = h[first], count == 1
+    edi, epos, twice = di[first], pos[first], np.repeat(~alone, count)
+    to = bucket_of(eh, buckets)
     kdi, kpos = di[twice], pos[twice]
-    spread = kdi % np.uint32(buckets)
+    salt = units.mix(eh[:1])[0] % np.uint64(SALTS)
+    spread = (units.mix((did ^ th).view(np.uint64) * np.uint64(SALTS) + salt) % np.uint64(buckets)).astype(np.int64)[kdi]
     o = np.argsort(spread, kind="stable")
-    kdi, kpos = kdi[o], kpos[o]
-    kedges = np.searchsorted(spread[o], np.arange(buckets + 1))
-    out_b, out_p = [], []
-    for k in range(buckets):
-        e, q = slice(edges[k], edges[k + 1]), slice(kedges[k], kedges[k + 1])
-        if e.start == e.stop and q.start == q.stop:
-            continue
-        one = alone[e]
-        used, index = np.unique(np.concatenate([edi[e][one], kdi[q]]), return_inverse=True)
+    kdi, kpos, spread = kdi[o], kpos[o], spread[o]
+    out_b = np.union1d(to, spread)
+    out_p = []
+    for s, e, q, r in zip(*(np.searchsorted(x, out_b, side) for x in (to, spread) for side in ("left", "right")), strict=True):
+        one = alone[s:e]
+        used, index = np.unique(np.concatenate([edi[s:e][one], kdi[q:r]]), return_inverse=True)
         n = int(one.sum())
-        gaps = np.diff(eh[e], prepend=np.uint64(0))
-        out_b.append(k)
-        out_p.append(frames.pack(gaps, np.packbits(one), index[:n].astype(np.uint32), epos[e][one].astype(np.int64), index[n:].astype(np.uint32), kpos[q].astype(np.int64), did[used], th[used]))
-    yield frames.batch(bucket=pa.array(out_b, pa.int32()), payload=pa.array(out_p, pa.binary()))
-
-
-def _filter_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Places of grams that occur in more than one entry, and of those known already, by document."""
-    frames.steady_heap()
-    hs, places, docs, known, base, m = [], [], [], [], 0, 0
-    for value in pdf["payload"]:
-        gaps, bits, di, pos, kdi, kpos, did, th = frames.unpack(value)
-        h = np.cumsum(gaps)
-        one = np.unpackbits(bits, count=len(h)).astype(bool)
-        at = np.full(len(h), -1, np.int64)
-        at[one] = np.arange(len(di)) + m
-        hs.append(h)
-        places.append((at, di.astype(np.int64) + base, pos))
-        known.append((kdi.astype(np.int64) + base, kpos))
-        docs.append((did, th))
-        base += len(did)
-        m += len(di)
-    h, at = np.concatenate(hs), np.concatenate([x[0] for x in places])
-    di, pos = np.concatenate([x[1] for x in places]), np.concatenate([x[2] for x in places])
-    o = np.argsort(h, kind="stable")
-    new = np.ones(len(h) + 1, bool)
-    new[1:-1] = h[o][1:] != h[o][:-1]
-    shared = at[o][~(new[:-1] & new[1:])]
-    shared = shared[shared >= 0]
-    di = np.concatenate([di[shared], *(x[0] for x in known)])
-    pos = np.concatenate([pos[shared], *(x[1] for x in known)])
-    did, th = (np.concatenate(x) for x in zip(*docs, strict=True))
-    o = np.argsort(di, kind="stable")
-    di, pos = di[o], pos[o]
-    first = np.flatnonzero(np.concatenate([[True], di[1:] != di[:-1]])) if len(di) else np.zeros(0, np.int64)
-    parts = np.split(pos, first[1:]) if len(first) else []
-    who = di[first] if len(first) else first
-    return pd.DataFrame({"did": did[who], "th": th[who], "pos": [p.astype(np.int64).tobytes() for p in parts]})
+        gaps = np.diff(eh[s:e], prepend=np.uint64(0))
+        out_p.append(frames.pack(gaps, np.packbits(one), count[s:e][~one].astype(np.uint32), index[:n].astype(np.uint32), epos[s:e][one], index[n:].astype(np.uint32), kpos[q:r], did[used], th[used]))
+    return frames.batch(bucket=pa.array(out_b, pa.int64()), payload=pa.array(out_p, pa.binary()))
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of 48-bit hashes; rises with the hash."""
+    return ((h >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _filter_bucket(most: int):
+    """Places of grams that occur in more than one entry, and of those known already, by document;
+    grams that occur more than `most` times, in rows of their own (column hot)."""
+
+    def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        frames.steady_heap()
+        hs, counts, places, docs, known, base, m = [], [], [], [], [], 0, 0
+        for value in pdf["payload"]:
+            gaps, bits, count, di, pos, kdi, kpos, did, th = frames.unpack(value)
+            h = np.cumsum(gaps)
+            one = np.unpackbits(bits, count=len(h)).astype(bool)
+            at, times = np.full(len(h), -1, np.int64), np.ones(len(h), np.int64)
+            at[one] = np.arange(len(di)) + m
+            times[~one] = count
+            hs.append(h)
+            counts.append(times)
+            places.append((at, di.astype(np.int64) + base, pos))
+            known.append((kdi.astype(np.int64) + base, kpos))
+            docs.append((did, th))
+            base += len(did)
+            m += len(di)
+        h, count, at = np.concatenate(hs), np.concatenate(counts), np.concatenate([x[0] for x in places])
+        di, pos = np.concatenate([x[1] for x in places]), np.concatenate([x[2] for x in places])
+        del hs, counts, places
+        o = np.argsort(h, kind="stable")
+        h, count, at = h[o], count[o], at[o]
+        new = np.ones(len(h) + 1, bool)
+        new[1:-1] = h[1:] != h[:-1]
+        first = np.flatnonzero(new[:-1])
+        hot = h[first][np.add.reduceat(count, first) > most] if len(first) else h
+        shared = at[~(new[:-1] & new[1:])]
+        shared = shared[shared >= 0]
+        di = np.concatenate([di[shared], *(x[0] for x in known)])
+        pos = np.concatenate([pos[shared], *(x[1] for x in known)])
+        did, th = (np.concatenate(x) for x in zip(*docs, strict=True))
+        did, th = did[di], th[di]
+        o = np.lexsort((pos, th, did))
+        did, th, pos = did[o], th[o], pos[o]
+        # rows equal in id and text, in different entries, have their places once
+        fresh = np.ones(len(did), bool)
+        fresh[1:] = (did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (pos[1:] != pos[:-1])
+        did, th, pos = did[fresh], th[fresh], pos[fresh].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (th[1:] != th[:-1])])) if len(did) else np.zeros(0, np.int64)
+        parts = [p.tobytes() for p in np.split(pos, first[1:])] if len(first) else []
+        none = [None] * len(hot)
+        return pd.DataFrame({"did": np.concatenate([did[first], np.zeros(len(hot), np.int64)]), "th": np.concatenate([th[first], np.zeros(len(hot), np.int64)]), "pos": parts + none, "hot": pd.array([None] * len(first) + hot.astype(np.int64).tolist(), "Int64")})
+
+    return bucket
 
 
 # --- 2: contexts --------------------------------------------------------------------------
@@ -197,31 +242,44 @@ def _contexts(spec: Spec, part, at, text, pos):
     return np.where(inside, part[np.clip(index, 0, len(part) - 1)], part.dtype.type(0))
 
 
-def _context_rows(spec: Spec, order: Order, buckets: int):
+def _context_rows(spec: Spec, order: Order, buckets: int, hot: np.ndarray):
     def rows(batches):
         frames.steady_heap()
-        held, size = [], 0
+        held, size, before = [], 0, None
         for rb in batches:
             did, th, raw, offsets = _columns(rb)
             hits = rb.column("pos")
-            for part, at, a, text, pos, _, first, last in _found(spec, raw, offsets):
+            again = np.zeros(len(did), bool)  # rows come in the order of id and text
+            again[1:] = (did[1:] == did[:-1]) & (th[1:] == th[:-1])
+            if len(did):
+                again[0] = before == (did[0], th[0])
+                before = did[-1], th[-1]
+            for part, at, a, text, pos, h, first, last in _found(spec, raw, offsets):
                 keep = np.zeros(len(pos), bool)
                 local = pos - at[text]
                 cuts = np.flatnonzero(np.diff(text, prepend=-1))
                 for s, e in zip(cuts, [*cuts[1:], len(text)], strict=True):
-                    wanted = np.frombuffer(b"".join(hits[a + int(text[s])].as_py() or ()), np.int64)
-                    keep[s:e] = np.isin(local[s:e], wanted)
-                if not keep.any():
-                    continue
-                t, p = text[keep], pos[keep]
-                ctx = _contexts(spec, part, at, t, p)
-                d, k = did[a + t], th[a + t]
-                bucket, hot = order.route(ctx[:, spec.left :], d ^ k)
-                held.append((bucket, ctx, d, k, local[keep], (p - last[keep]).astype(np.uint8), (p - first[keep]).astype(np.uint8), hot.astype(np.uint8)))
-                size += ctx.nbytes
-                if size >= FLUSH_BYTES:
-                    yield _context_flush(held)
-                    held, size = [], 0
+                    if not again[i := a + int(text[s])]:
+                        wanted = np.frombuffer(b"".join(hits[i].as_py() or ()), np.int64)
+                        keep[s:e] = np.isin(local[s:e], wanted)
+                every = np.flatnonzero(keep)
+                for s in range(0, len(every), FLUSH_ANCHORS >> 5):
+                    some = every[s : s + (FLUSH_ANCHORS >> 5)]
+                    t, p, gram = text[some], pos[some], h[some]
+                    ctx = _contexts(spec, part, at, t, p)
+                    d, k = did[a + t], th[a + t]
+                    bucket = order.route(ctx[:, spec.left :], gram)
+                    if len(hot):
+                        often = np.isin(gram >> np.uint64(16), hot)
+                        place = units.mix((d ^ k).view(np.uint64) + (local[some] >> 12).astype(np.uint64)) % np.uint64(buckets)
+                        bucket = np.where(often, place.astype(np.int64), bucket)
+                    else:
+                        often = np.zeros(len(some), bool)
+                    held.append((bucket, ctx, d, k, local[some], (p - last[some]).astype(np.uint8), (p - first[some]).astype(np.uint8), often.astype(np.uint8)))
+                    size += ctx.nbytes
+                    if size >= FLUSH_BYTES:
+                        yield _context_flush(held)
+                        held, size = [], 0
         if held:
             yield _context_flush(held)
 
@@ -234,7 +292,7 @@ def _context_flush(held):
     bucket, arrays = bucket[o], [x[o] for x in arrays]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     payload = [frames.pack(*(x[s:e] for x in arrays), raw=(0,)) for s, e in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
-    return frames.batch(bucket=pa.array(bucket[cuts].astype(np.int32)), payload=pa.array(payload, pa.binary()))
+    return frames.batch(bucket=pa.array(bucket[cuts].astype(np.int64)), payload=pa.array(payload, pa.binary()))
 
 
 # --- 3: equal windows in a bucket ---------------------------------------------------------
@@ -264,33 +322,34 @@ def _equal_windows(spec: Spec, order: Order, buckets: int):
         o = np.lexsort((th, pos, did))
         ctx, did, th, pos, low, high, hot = (x[o] for x in (ctx, did, th, pos, low.astype(np.int64), high.astype(np.int64), hot.astype(bool)))
         n, left, window = len(did), spec.left, spec.window
-        order_r, lcp_r = order.sort(ctx[:, left:])
-        order_l, lcp_l = order.sort(np.ascontiguousarray(ctx[:, :left][:, ::-1]))
-        rank_r, rank_l = np.empty(n, np.int64), np.empty(n, np.int64)
-        rank_r[order_r], rank_l[order_l] = np.arange(n), np.arange(n)
+        right = order.index(ctx[:, left:])
+        back = order.index(np.ascontiguousarray(ctx[:, :left][:, ::-1])) if left else None
+        everyone = np.zeros(n, np.int64)
         removed = np.zeros((n, left + 1), bool)
-        firsts = []
+        firsts, any_hot = [], bool(hot.any())
         for j in range(int(low.min()), int(high.max()) + 1):
-            sel = np.flatnonzero((low <= j) & (j <= high))
-            if not len(sel):
-                continue
-            runs_r, runs_l = np.cumsum(lcp_r < window - j), np.cumsum(lcp_l < j)
-            _, at, back = np.unique(runs_r[rank_r[sel]] << 32 | runs_l[rank_l[sel]], return_index=True, return_inverse=True)
-            f = sel[at][back]
+            of_right, of_left = right.cut(window - j), back.cut(j) if j else everyone
+            inside = (low <= j) & (j <= high)
+            sel = np.flatnonzero(inside & (of_right >= 0) & (of_left >= 0))
+            _, at, again = np.unique(of_right[sel] << 32 | of_left[sel], return_index=True, return_inverse=True)
+            f = sel[at][again]
             earlier = did[f] < did[sel]
             if spec.within:
                 earlier |= (did[f] == did[sel]) & (pos[f] < pos[sel])
             removed[sel[earlier], j] = True
-            if hot.any() and (some := sel[~earlier & hot[sel]]).size:
+            if any_hot:
+                first_here = inside & hot
+                first_here[sel[earlier]] = False
+                some = np.flatnonzero(first_here)
                 firsts.append((some, np.full(len(some), j)))
         out = _spans(did, th, pos, removed, 0, window)
-        kinds = np.zeros(len(out["did"]), np.int32) - 1
+        kinds = np.zeros(len(out["did"]), np.int64) - 1
         frame = pd.DataFrame({"slot": kinds, **out})
         if not firsts:
             return frame
         i, j = (np.concatenate(x) for x in zip(*firsts, strict=True))
         h1, h2 = _window_hashes(ctx, left - j, i, window)
-        slot = (h1 % np.uint64(buckets)).astype(np.int32)
+        slot = (h1 % np.uint64(buckets)).astype(np.int64)
         o = np.argsort(slot, kind="stable")
         slot, i, j, h1, h2 = slot[o], i[o], j[o], h1[o], h2[o]
         cuts = np.flatnonzero(np.diff(slot, prepend=-1))
@@ -333,19 +392,23 @@ def _across(spec: Spec):
 # --- all steps ----------------------------------------------------------------------------
 
 
-def _sample(spec: Spec, docs: DataFrame, rows: int) -> np.ndarray:
-    """Suffixes at the anchors of about SAMPLE_DOCS documents."""
+def _sample(spec: Spec, docs: DataFrame, size: int, buckets: int) -> np.ndarray:
+    """Suffixes at some anchors of slices of text, of long texts as many more as these are longer."""
 
     def suffixes(batches):
         for rb in batches:
-            _, _, raw, offsets = _columns(rb)
+            raw, offsets = units.text_buffer(rb.column("text"))
             for part, at, _, text, pos, _, _, _ in _found(spec, raw, offsets):
                 some = slice(None, None, 8)
                 ctx = _contexts(spec, part, at, text[some], pos[some])[:, spec.left : spec.left + spec.gram]
                 yield frames.batch(suffix=pa.array([x.tobytes() for x in ctx], pa.binary()))
 
-    chosen = docs.where(F.pmod(F.xxhash64("did", "th"), F.lit(max(1, rows // SAMPLE_DOCS))) == 0)
-    got = [x[0] for x in chosen.select("did", "th", "text").mapInArrow(suffixes, "suffix binary").limit(40 * SAMPLE_DOCS).collect()]
+    step = max(1, size // min(SLICES * buckets, MOST_SLICES))
+    length, part = F.octet_length("text"), F.pmod(F.xxhash64("did", "th"), F.lit(1 << 20)) / F.lit(1 << 20)
+    some = docs.select("text", length.alias("length"), part.alias("part")).withColumn("n", F.floor(F.col("length") / step + F.col("part")).cast("int")).where("n > 0")
+    start = lambda k: F.floor((k + F.col("part")) * F.greatest(F.col("length") - SLICE, F.lit(0)) / F.col("n")).cast("int") + 1
+    slices = some.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.substr("text", start(k), F.lit(SLICE)))).alias("text"))
+    got = [x[0] for x in slices.mapInArrow(suffixes, "suffix binary").collect()]
     kind = np.uint8 if spec.kind == "bytes" else np.uint64
     return np.frombuffer(b"".join(got), kind).reshape(len(got), spec.gram)
 
@@ -353,23 +416,25 @@ def _sample(spec: Spec, docs: DataFrame, rows: int) -> np.ndarray:
 def removed_spans(docs: DataFrame, spec: Spec) -> DataFrame:
     """docs: did, th, text and any more columns. Adds `spans`: int64 pairs [start, end) of
     the units to remove, as a list of packed values (null: none)."""
-    spark = docs.sparkSession
-    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    size = size or 0
+    size = frames.total_bytes(docs, "text")
     few, many = size // FILTER_BYTES + 1, size // BUCKET_BYTES + 1
-    order = spec.plan(_sample(spec, docs, rows), many)
-    repeated = docs.select("did", "th", "text").mapInArrow(_filter_rows(spec, few), "bucket int, payload binary").groupBy("bucket").applyInPandas(_filter_bucket, "did long, th long, pos binary")
-    hits = repeated.groupBy("did", "th").agg(F.collect_list("pos").alias("pos"))
-    # all columns stay, so that this join and the last one share one exchange of docs
-    contexts = docs.join(hits, ["did", "th"]).mapInArrow(_context_rows(spec, order, many), "bucket int, payload binary")
-    found = contexts.groupBy("bucket").applyInPandas(_equal_windows(spec, order, many), "slot int, did long, th long, spans binary")
-    if order.hot:
+    order = spec.plan(_sample(spec, docs, size, many) if many > 1 else np.zeros((0, spec.gram), np.uint8), many)
+    most = SPREAD * BUCKET_BYTES // spec.apart
+    filtered = docs.select("did", "th", "text").mapInArrow(_filter_rows(spec, few), "bucket long, payload binary")
+    filtered = frames.staged(filtered.groupBy("bucket").applyInPandas(_filter_bucket(most), "did long, th long, pos binary, hot long"), "repeated-grams")
+    # one for each `most` anchors at most, that is 8 bytes for SPREAD * BUCKET_BYTES of text
+    hot = np.array([r[0] for r in filtered.where("hot IS NOT NULL").select("hot").collect()], np.int64).view(np.uint64)
+    hits = filtered.where("hot IS NULL").groupBy("did", "th").agg(F.collect_list("pos").alias("pos"))
+    # all columns stay, so that this join and the last one share one exchange of docs; a merge join
+    # leaves equal rows side by side
+    contexts = docs.join(hits.hint("merge"), ["did", "th"]).mapInArrow(_context_rows(spec, order, many, hot), "bucket long, payload binary")
+    found = contexts.groupBy("bucket").applyInPandas(_equal_windows(spec, order, many), "slot long, did long, th long, spans binary")
+    if len(hot):
         found = frames.staged(found, "repeats")
         across = found.where("slot >= 0").groupBy("slot").applyInPandas(_across(spec), "did long, th long, spans binary")
-        found = found.where("slot < 0").select("did", "th", "spans").unionByName(across)
+        found = found.where("slot < 0").unionByName(across, allowMissingColumns=True)
     spans = found.groupBy("did", "th").agg(F.collect_list("spans").alias("spans"))
-    assert spark is spans.sparkSession
-    return docs.join(spans, ["did", "th"], "left")
+    return docs.join(spans.hint("merge"), ["did", "th"], "left")
 
 
 def removed_mask(values: list | None, n: int) -> np.ndarray:
@@ -381,29 +446,3 @@ def removed_mask(values: list | None, n: int) -> np.ndarray:
     np.add.at(steps, pairs[:, 0], 1)
     np.add.at(steps, pairs[:, 1], -1)
     return np.cumsum(steps[:-1]) > 0
-
-
-def top_down(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort rows column by column; each pass splits the runs that are still tied.
-
-    Returns the order, and for each place the first column in which its row
-    differs from the row before (the number of columns: equal rows; first: 0).
-    """
-    n, width = columns.shape
-    order, shared = np.arange(n), np.zeros(n, np.int64)
-    bound = np.zeros(n + 1, bool)
-    bound[0] = bound[-1] = True
-    for d in range(width):
-        at = np.flatnonzero(~(bound[:-1] & bound[1:]))
-        if not len(at):
-            break
-        run = np.cumsum(bound[:-1])[at]
-        key = columns[order[at], d]
-        o = np.lexsort((key, run))
-        order[at], key = order[at[o]], key[o]
-        fresh = at[1:][(key[1:] != key[:-1]) & (run[1:] == run[:-1])]
-        fresh = fresh[~bound[fresh]]
-        bound[fresh] = True
-        shared[fresh] = d
-    shared[~bound[:-1]] = width
-    return order, shared
