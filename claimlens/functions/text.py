@@ -88,14 +88,12 @@ def annotated_lines(lines: Column) -> Column:
 def sentence_positions(text: str, sentences: str) -> Column:
     """Character ranges i, s, e (0-based, end excluded) of sentences found one after the other in
     text; a sentence that isn't found is left out. text, sentences: names of columns."""
+    # transform over one element binds the place, which is looked up once for a sentence
     return F.expr(
         f"""aggregate({sentences}, named_struct('pos', 1, 'i', 0, 'out', cast(array() AS array<struct<i:int,s:int,e:int>>)),
-        (acc, x) -> named_struct(
-            'pos', if(locate(x, {text}, acc.pos) > 0, locate(x, {text}, acc.pos) + length(x), acc.pos),
-            'i', acc.i + 1,
-            'out', if(locate(x, {text}, acc.pos) > 0,
-                concat(acc.out, array(named_struct('i', acc.i, 's', locate(x, {text}, acc.pos) - 1, 'e', locate(x, {text}, acc.pos) - 1 + length(x)))),
-                acc.out)),
+        (acc, x) -> element_at(transform(array(locate(x, {text}, acc.pos)), at -> if(at > 0,
+            named_struct('pos', at + length(x), 'i', acc.i + 1, 'out', concat(acc.out, array(named_struct('i', acc.i, 's', at - 1, 'e', at - 1 + length(x))))),
+            named_struct('pos', acc.pos, 'i', acc.i + 1, 'out', acc.out))), 1),
         acc -> acc.out)"""
     )
 

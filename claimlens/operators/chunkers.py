@@ -74,10 +74,10 @@ def fixed_token(articles: DataFrame, size: int = 128, overlap: int = 20, tokeniz
 
         df = df.withColumn("texts", windows("clean"))
     df = T.materialised(df, article_id=F.col("article_id"), clean=F.col("clean"), positions=F.col("positions"), texts=F.col("texts"))
-    # a chunk's place is the first one where its text stands
+    # a chunk's place is the first one where its text stands, looked up once
     chunks = F.expr(
-        """transform(texts, t -> named_struct('text', t, 'sentence_ids', if(locate(t, clean) > 0,
-        transform(filter(positions, p -> p.s < locate(t, clean) - 1 + length(t) AND p.e > locate(t, clean) - 1), p -> p.i), cast(array() AS array<int>))))"""
+        """transform(texts, t -> element_at(transform(array(locate(t, clean)), at -> named_struct('text', t, 'sentence_ids', if(at > 0,
+        transform(filter(positions, p -> p.s < at - 1 + length(t) AND p.e > at - 1), p -> p.i), cast(array() AS array<int>)))), 1))"""
     )
     return _explode(df, chunks)
 
@@ -128,6 +128,11 @@ def split_by_predictions(line: str, offsets: list[int], predictions: list[int])
     return [u for a, b in zip(starts, starts[1:], strict=False) if (u := line[a:b].strip())] or [line]
 
 
+def predicted_boundaries(predictions: DataFrame) -> DataFrame:
+    """Tokens predicted to begin a unit, first tokens included (splitting doesn't count these)."""
+    return predictions.agg(F.coalesce(F.sum("pred"), F.lit(0)).cast("long").alias("boundaries"), F.count("pred").alias("tokens"))
+
+
 def token_windows(tokens: Column, max_length: int = 512, stride: int = 256) -> Column:
     """Windows of max_length - 2 tokens; the last is the first that reaches the end."""
     width = max_length - 2

@@ -50,6 +50,30 @@ def required_ids(*claims: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def reference_counts(*claims: DataFrame) -> DataFrame:
+    """References of all claims' evidence, repeats counted, and different ids."""
+    from ..functions.text import evidence_ids
+
+    out = None
+    for c in claims:
+        ids = c.select(F.explode(evidence_ids(F.col("evidence"))).alias("id"))
+        out = ids if out is None else out.union(ids)
+    return out.agg(F.count("*").alias("references"), F.countDistinct("id").alias("ids"))
+
+
+def verifiable(claims: DataFrame) -> DataFrame:
+    return claims.where(F.col("verifiable") == "VERIFIABLE")
+
+
+def verifiable_counts(claims: DataFrame) -> DataFrame:
+    """Verifiable claims, and different third items of their evidence (null counts as one)."""
+    kept = verifiable(claims)
+    rows = kept.agg(F.count("*").alias("claims"))
+    items = kept.select(F.explode(F.flatten("evidence")).alias("x")).where(F.size("x") >= 3).select(F.get("x", F.lit(2)).alias("id"))
+    ids = items.agg((F.countDistinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("ids"))
+    return rows.join(F.broadcast(ids)).select("claims", F.coalesce("ids", F.lit(0)).cast("long").alias("ids"))  # one row each
+
+
 def matching(docs: DataFrame, ids: DataFrame, id_col: str = "id", how: str = "left_semi") -> DataFrame:
     """Documents whose trimmed lower-case id is among ids (left_semi), or isn't (left_anti)."""
     return docs.join(ids.select(F.col("id").alias("__id")), F.lower(F.trim(F.col(id_col).cast("string"))) == F.col("__id"), how)

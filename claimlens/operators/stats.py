@@ -16,10 +16,15 @@ def block(value: Column) -> list[Column]:
 
 
 def blocks(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """One row of `block` for each named value, in one pass: metric and its statistics."""
+    """One row of `block` for each named value: metric and its statistics. Values are counted first,
+    so that no task holds more than the different ones."""
     named = F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()))
-    long = df.select(F.explode(named).alias("x")).select("x.*")
-    return long.groupBy("metric").agg(*block(F.col("value")))
+    counts = df.select(F.explode(named).alias("x")).select("x.*").groupBy("metric", "value").agg(F.count("value").alias("n"))
+    n, v = F.col("n"), F.col("value")
+    parts = counts.groupBy("metric").agg(F.coalesce(F.sum(v * n) / F.sum(F.when(n > 0, n)), F.lit(0.0)).alias("mean"), F.coalesce(F.min(v), F.lit(0.0)).alias("min"), F.coalesce(F.max(v), F.lit(0.0)).alias("max"), F.sum(n).alias("count"))
+    ranked = counts.join(F.broadcast(parts.select("metric", "mean", "count")), "metric")  # a row for each metric
+    spread = ranked.groupBy("metric").agg(F.coalesce(F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.first("count")), F.lit(0.0)).alias("std"), F.coalesce(F.percentile(v, F.lit(0.5), n), F.lit(0.0)).alias("median"))
+    return parts.join(spread, "metric").select("metric", "mean", "std", "min", "max", "median", "count")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
@@ -37,6 +42,19 @@ def edu_stats(units: DataFrame) -> DataFrame:
     return blocks(flat, {"edu_characters": F.length("text"), "edu_tokens": F.size(T.tokens(F.col("text")))}).unionByName(blocks(per, {"edus_per_sentence": F.col("n")}))
 
 
+def edus_per_chunk(chunks: DataFrame, units: DataFrame, edus_per_chunk: int = 5, overlap: int = 2) -> DataFrame:
+    """Units of each chunk of chunkers.edu_windows, as one row of statistics."""
+    step = max(1, edus_per_chunk - overlap) if overlap else edus_per_chunk
+    n = units.select("article_id", F.size("edus").alias("n"))
+    held = chunks.select("article_id", "chunk_index").join(n, "article_id")
+    return blocks(held, {"edus_per_chunk": F.least(F.lit(edus_per_chunk), F.col("n") - F.col("chunk_index") * step)})
+
+
+def ingested(chunks: DataFrame) -> DataFrame:
+    """Totals of a build: articles, chunks and those whose text isn't clean. chunks: with_metadata."""
+    return chunks.agg(F.countDistinct("article_id").alias("articles"), F.count("*").alias("chunks"), F.count_if(~F.col("cleaned")).alias("cleaning_issues"))
+
+
 def multiple_edus(units: DataFrame) -> DataFrame:
     """Sentences of more than one unit: count and percentage."""
     per = units.select("article_id", F.explode("edus.sentence_id").alias("s")).groupBy("article_id", "s").agg(F.count("*").alias("n"))

@@ -2,32 +2,75 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence_articles
-from ..operators import chunkers, metrics, prompts, retrieval, sampling
+from ..operators import chunkers, metrics, prompts, retrieval, sampling, stats
 from ..protocols import Embedder, Generator, HashedEmbedder, OverlapGenerator
 from ..sources import collections, jsonl
 
 
-def build_collection(articles: DataFrame, root: str, chunker: str = "sentence", model: str = "hashed", embedder: Callable[[], Embedder] = HashedEmbedder, reset: bool = True, **options: Any) -> str:
-    """Clean, chunk, describe, number, embed and write; returns the collection's name."""
+class Models:
+    """Embedding models by name; add() can be chained."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, Callable[[], Embedder]] = {"hashed": HashedEmbedder}
+
+    def add(self, name: str, make: Callable[[], Embedder]) -> Models:
+        self.known[name] = make
+        return self
+
+    def __getitem__(self, name: str) -> Callable[[], Embedder]:
+        if name not in self.known:
+            raise ValueError(f"unknown embedding model: {name}")
+        return self.known[name]
+
+
+MODELS = Models()
+
+
+def add_embedding_model(name: str, make: Callable[[], Embedder]) -> Models:
+    return MODELS.add(name, make)
+
+
+def statistics(spark: SparkSession, articles: DataFrame, points: DataFrame, kind: str, **options: Any) -> DataFrame:
+    """Statistics of a collection's chunks, and of the sentences or units that they are made of."""
+    out = stats.chunk_stats(points)
+    if kind == "custom_edu":
+        units = chunkers.edus(articles, *([options["segmenter"]] if "segmenter" in options else []))
+        return out.unionByName(stats.edu_stats(units)).unionByName(stats.edus_per_chunk(points, units, options.get("edus_per_chunk", 5), options.get("overlap", 2)))
+    return out.unionByName(stats.sentence_stats(chunkers.sentence(articles)))
+
+
+def build_collection(articles: DataFrame, root: str, chunker: str = "sentence", model: str = "hashed", embedder: Callable[[], Embedder] | None = None, reset: bool = True, output: str | None = None, **options: Any) -> str:
+    """Clean, chunk, describe, number, embed and write; returns the collection's name. output: a
+    folder for its statistics and for a record of its totals and time."""
+    began, spark = time.time(), articles.sparkSession
     chunks = chunkers.with_metadata(chunkers.chunk(articles, chunker, **options), chunker, **options)
-    points = retrieval.embed(collections.numbered(chunks), embedder=embedder)
+    points = retrieval.embed(collections.numbered(chunks), embedder=embedder or MODELS[model])
     name = collections.collection_name(model, chunker)
     collections.create(collections.enriched(points, model, chunker), root, name, reset)
+    if output:
+        seconds, written = time.time() - began, collections.opened(spark, root, name)
+        tail = model.rstrip("/").split("/")[-1]
+        jsonl.overwrite(statistics(spark, articles, written, chunker, **options), f"{output}/statistics_{chunker}_{tail}")
+        totals = stats.ingested(written).select(F.lit(name).alias("collection_name"), "*", F.lit(seconds).alias("seconds"), F.try_divide(F.col("chunks"), F.lit(seconds)).alias("chunks_per_second"))
+        jsonl.append(totals, f"{output}/builds")
     return name
 
 
-def build_all(articles: DataFrame, root: str, models: dict[str, Callable[[], Embedder]], kinds: dict[str, dict[str, Any]], reset: bool = True) -> list[str]:
+def build_all(articles: DataFrame, root: str, models: dict[str, Callable[[], Embedder]], kinds: dict[str, dict[str, Any]], reset: bool = True, output: str | None = None) -> list[str]:
     """A collection for each model and chunker."""
-    return [build_collection(articles, root, kind, model, make, reset, **options) for (model, make), (kind, options) in product(models.items(), kinds.items())]
+    return [build_collection(articles, root, kind, model, make, reset, output, **options) for (model, make), (kind, options) in product(models.items(), kinds.items())]
 
 
 def gold_of(claims: DataFrame) -> DataFrame:
@@ -51,28 +94,51 @@ class Results:
     config: dict[str, Any] = field(default_factory=dict)
 
 
-def evaluate_retrieval(points: DataFrame, claims: DataFrame, config: retrieval.RetrievalConfig, ks: tuple[int, ...] = metrics.KS, embedder: Callable[[], Embedder] = HashedEmbedder) -> Results:
-    gold = gold_of(claims)
-    asked = metrics.relevant(embedded_claims(claims, embedder), gold)
-    hits = retrieval.search(points, asked, config)
-    kept = gold.join(asked.select("claim_id"), "claim_id", "left_semi")
-    return Results(hits, metrics.evaluation(retrieval.ranked_articles(hits), kept, ks), config={"strategy": config.name()})
+def _once(df: DataFrame) -> tuple[DataFrame, float]:
+    """df, kept so that what reads it doesn't compute it again, and the seconds that it took."""
+    began = time.time()
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    return kept, time.time() - began
 
 
-def run(spark: SparkSession, articles: DataFrame, claims: DataFrame, root: str, chunker: str = "sentence", config: retrieval.RetrievalConfig | None = None, generator: Callable[[], Generator] = OverlapGenerator, embedder: Callable[[], Embedder] = HashedEmbedder, examples: list[tuple[str, str]] | None = None, max_evidence: int = 5, output: str | None = None, **options: Any) -> Results:
-    """Build, evaluate and classify; hits are computed once and serve both."""
-    config = config or retrieval.RetrievalConfig()
-    name = build_collection(articles, root, chunker, embedder=embedder, **options)
+def evaluate_retrieval(points: DataFrame, claims: DataFrame, config: retrieval.RetrievalConfig, ks: tuple[int, ...] = metrics.KS, embedder: Callable[[], Embedder] = HashedEmbedder, hits: DataFrame | None = None) -> Results:
+    """Hits of the claims with text and gold, and their evaluation with the mean time of a claim.
+    hits: of these claims and any others, if they are there already."""
+    gold = gold_of(claims)
+    named = claims.select(F.col("id").alias("claim_id"), "claim")
+    seconds = None
+    if hits is None:
+        hits, seconds = _once(retrieval.search(points, metrics.relevant(embedded_claims(claims, embedder), gold), config))
+    asked = metrics.relevant(named, gold).select("claim_id")
+    kept = gold.join(asked, "claim_id", "left_semi")
+    evaluation = metrics.evaluation(retrieval.ranked_articles(hits.join(asked, "claim_id", "left_semi")), kept, ks)
+    if seconds is not None:
+        evaluation = evaluation.withColumn("avg_retrieval_time_ms", F.try_divide(F.lit(1000 * seconds), F.col("total_claims")))
+    return Results(hits, evaluation, config={"strategy": config.name()})
+
+
+def run(spark: SparkSession, articles: DataFrame, claims: DataFrame, root: str, chunker: str = "sentence", config: retrieval.RetrievalConfig | None = None, generator: Callable[[], Generator] = OverlapGenerator, embedder: Callable[[], Embedder] | None = None, examples: list[tuple[str, str]] | None = None, max_evidence: int = 5, output: str | None = None, model: str = "hashed", llm: str = "overlap", temperature: float = 0.0, **options: Any) -> Results:
+    """Build, evaluate and classify; vectors, hits and answers are computed once and serve all."""
+    config, embedder = config or retrieval.RetrievalConfig(), embedder or MODELS[model]
+    name = build_collection(articles, root, chunker, model, embedder, output=output, **options)
     points = collections.opened(spark, root, name)
-    out = evaluate_retrieval(points, claims, config, embedder=embedder)
     everyone = embedded_claims(claims, embedder)
-    hits = retrieval.search(points, everyone, config)
-    out.predictions = prompts.predict(everyone.drop("vector"), hits, generator, examples, max_evidence)
+    hits, seconds = _once(retrieval.search(points, everyone, config))
+    out = evaluate_retrieval(points, claims, config, embedder=embedder, hits=hits)
+    out.evaluation = out.evaluation.withColumn("avg_retrieval_time_ms", F.lit(1000 * seconds / max(1, claims.count())))
+    out.predictions, _ = _once(prompts.predict(everyone.drop("vector"), hits, generator, examples, max_evidence))
     labelled = out.predictions.withColumnRenamed("label", "true_label")
     out.accuracy, out.weighted, out.confusion = metrics.accuracy(labelled), metrics.weighted(labelled), metrics.confusion(labelled)
     if output:
-        jsonl.append(jsonl.run_record(spark, out.evaluation, embedding_model="hashed", chunker=chunker, collection_name=name, retrieval_strategy=config.strategy, retrieval_k=config.k if config.strategy == "top_k" else None, retrieval_threshold=config.threshold if config.strategy == "threshold" else None, overlap=options.get("overlap"), size=options.get("size")), f"{output}/evaluations")
+        known = {"chunker": chunker, **{k: v for k, v in options.items() if isinstance(v, (int, float, str, bool))}}
+        record = jsonl.run_record(spark, out.evaluation, embedding_model=model, chunker=chunker, chunker_config=json.dumps(known), collection_name=name, retrieval_strategy=config.strategy, retrieval_k=config.k if config.strategy == "top_k" else None, retrieval_threshold=config.threshold if config.strategy == "threshold" else None, overlap=options.get("overlap"))
+        jsonl.append(record, f"{output}/evaluations")
+        jsonl.overwrite(jsonl.grouped_results(hits, claims.select(F.col("id").alias("claim_id"), "claim")), f"{output}/results")
         jsonl.overwrite(labelled.select("claim_id", "claim", "true_label", "predicted_label", (F.col("true_label") == F.col("predicted_label")).alias("correct")), f"{output}/predictions")
+        jsonl.overwrite(metrics.per_class(labelled), f"{output}/per_class")
+        setup = [F.lit(v).alias(k) for k, v in (("model", llm), ("few_shot_examples", len(examples or [])), ("temperature", temperature))]
+        jsonl.overwrite(out.weighted.join(out.accuracy.select("accuracy")).select(*setup, "accuracy", "precision", "recall", "f1", "support"), f"{output}/metrics")  # one row each
     return out
 
 

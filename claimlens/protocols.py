@@ -17,6 +17,18 @@ class Tokenizer(Protocol):
 
     def decode(self, ids: Sequence[int]) -> str: ...
 
+    def offsets(self, text: str) -> list[int]:
+        """Character at which each token of text starts."""
+
+
+class BoundaryModel(Protocol):
+    """A tokenizer with a classifier of its tokens."""
+
+    def offsets(self, text: str) -> list[int]: ...
+
+    def predict(self, text: str) -> list[int]:
+        """For each token 1 where a unit begins, else 0."""
+
 
 class Embedder(Protocol):
     name: str
@@ -37,15 +49,26 @@ class Generator(Protocol):
 class HashedEmbedder:
     """Unit vector of lower-case token counts in hashed buckets."""
 
+    #: Tokens whose buckets are remembered.
+    REMEMBERED = 200_000
+
     def __init__(self, dim: int = 256):
         self.name, self.dim = "hashed", dim
+        self._known: dict[str, int] = {}
+
+    def _bucket(self, token: str) -> int:
+        if (b := self._known.get(token)) is None:
+            if len(self._known) >= self.REMEMBERED:
+                self._known.clear()
+            b = self._known[token] = int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % self.dim
+        return b
 
     def encode(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
             v = [0.0] * self.dim
             for t in text.lower().split():
-                v[int(hashlib.md5(t.encode()).hexdigest()[:7], 16) % self.dim] += 1
+                v[self._bucket(t)] += 1
             norm = math.sqrt(sum(x * x for x in v)) or 1.0
             out.append([x / norm for x in v])
         return out
@@ -74,12 +97,16 @@ class OverlapGenerator:
         return out
 
 
-_MODELS: dict = {}
+class PredictedSegmenter:
+    """Units begin at tokens that a boundary model predicts 1; the first token's prediction doesn't
+    count. A line whose predictions fail or don't match its tokens is one unit."""
 
+    def __init__(self, model: Callable[[], BoundaryModel]):
+        self.model = model()
 
-def cached(make: Callable):
-    """The model of a factory, made once in each worker."""
-    key = getattr(make, "__qualname__", repr(make)), getattr(make, "__module__", "")
-    if key not in _MODELS:
-        _MODELS[key] = make()
-    return _MODELS[key]
+    def boundaries(self, line: str) -> list[int]:
+        try:
+            starts, predicted = self.model.offsets(line), self.model.predict(line)
+        except Exception:
+            return []
+        return [o for o, p in zip(starts[1:], predicted[1:], strict=True) if p == 1] if len(starts) == len(predicted) else []

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import vectors as V
 from .operators import chunkers, metrics, prompts, retrieval, sampling, stats
+from .protocols import RuleSegmenter
 from .sources import collections
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,11 +114,15 @@ def label_parse(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.parse_label(F.col("text")).alias("label"))
 
 
-@query("""SELECT DISTINCT 'x/' || source || '-MiniLM-L6' AS model, 'minilm_sentence_chunks' AS name FROM documents
-    UNION ALL SELECT DISTINCT 'y/' || source || '-v2', lower(source) || '_sentence_chunks' FROM documents""")
+@query("""WITH s AS (SELECT DISTINCT source FROM documents),
+    m AS (SELECT 'x/' || source || '-MiniLM-L6' AS model FROM s UNION ALL SELECT 'y/' || source || '-v2' FROM s
+        UNION ALL SELECT 'multi-qa-lab/' || source || '-v1' FROM s UNION ALL SELECT 'multi-qa-lab/' || source || '-mpnet' FROM s)
+    SELECT model, CASE WHEN lower(model) LIKE '%minilm%' THEN 'minilm' WHEN lower(model) LIKE '%mpnet%' THEN 'mpnet' WHEN lower(model) LIKE '%multi-qa%' THEN 'multiqa'
+        ELSE lower(split_part(split_part(model, '/', 2), '-', 1)) END || '_sentence_chunks' AS name FROM m""")
 def collection_names(spark, sf):
     s = table(spark, sf, "documents").select("source").distinct()
-    models = s.select(F.concat(F.lit("x/"), "source", F.lit("-MiniLM-L6")).alias("model")).union(s.select(F.concat(F.lit("y/"), "source", F.lit("-v2"))))
+    forms = (("x/", "-MiniLM-L6"), ("y/", "-v2"), ("multi-qa-lab/", "-v1"), ("multi-qa-lab/", "-mpnet"))
+    models = s.select(F.explode(F.array(*(F.concat(F.lit(a), "source", F.lit(b)) for a, b in forms))).alias("model"))
     return models.select("model", collections.name_column(F.col("model"), F.lit("sentence")).alias("name"))
 
 
@@ -144,6 +149,21 @@ def evidence_required_ids(spark, sf):
     return sampling.required_ids(_claims(spark, sf))
 
 
+@query("SELECT count(*) AS references, count(DISTINCT item_id) AS ids FROM benchmark")
+def evidence_reference_counts(spark, sf):
+    return sampling.reference_counts(_claims(spark, sf))
+
+
+@query("SELECT count(*) AS claims, (count(DISTINCT item_id) + max((item_id % 5 = 2)::INT))::BIGINT AS ids FROM benchmark WHERE item_id % 3 <> 0")
+def verifiable_counts(spark, sf):
+    # every fifth item's evidence names no article, every third item isn't verifiable
+    third = F.when(F.col("id") % 5 == 2, F.lit(None)).otherwise(F.col("evidence")[0][0][2])
+    item = F.array(F.lit("1"), F.lit("2"), third)
+    both = F.array(item, F.array(F.lit("1"), F.lit("2"), F.concat(F.lit("D"), F.col("id").cast("string"))))
+    state = F.when(F.col("id") % 3 != 0, "VERIFIABLE").otherwise("NOT VERIFIABLE")
+    return sampling.verifiable_counts(_claims(spark, sf).select("id", F.array(both).alias("evidence"), state.alias("verifiable")))
+
+
 # --- chunkers -------------------------------------------------------------------------------
 
 
@@ -200,9 +220,23 @@ def chunk_edu_windows(spark, sf):
     return df.select("article_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", joined("sentence_ids").alias("sentence_ids"))
 
 
-@query()
+# units of the default rule: they begin after , ; : or before a connective that isn't the last token
+_CONNECTIVES = ", ".join(f"'{c}'" for c in RuleSegmenter.CONNECTIVES)
+_RULES = f"""{_SENTENCES}, words AS (SELECT article_id, i, unnest(string_split(text, ' ')) AS t, generate_subscripts(string_split(text, ' '), 1) AS k, len(string_split(text, ' ')) AS n
+        FROM sents WHERE length(text) > 1),
+    cuts AS (SELECT *, k > 1 AND (regexp_matches(lag(t) OVER (PARTITION BY article_id, i ORDER BY k), '[,;:]$') OR (k < n AND t IN ({_CONNECTIVES}))) AS cut FROM words),
+    numbered AS (SELECT *, sum(cut::INT) OVER (PARTITION BY article_id, i ORDER BY k) AS u FROM cuts),
+    units AS (SELECT article_id, i, u, string_agg(t, ' ' ORDER BY k) AS text FROM numbered GROUP BY ALL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY i, u) - 1 AS place, count(*) OVER (PARTITION BY article_id) AS n FROM units),
+    starts AS (SELECT article_id, n, unnest(generate_series(0, n - 1, 3)) AS s FROM (SELECT DISTINCT article_id, n FROM placed)),
+    windows AS (SELECT article_id, s // 3 AS chunk_index, string_agg(text, ' ' ORDER BY place) AS text, array_to_string(list_sort(list_distinct(list(i))), ',') AS sentence_ids, count(*) AS units
+        FROM starts JOIN placed USING (article_id) WHERE place >= s AND place < s + 5 GROUP BY article_id, s)"""
+
+
+@query(f"WITH {_RULES} SELECT article_id, chunk_index::BIGINT AS chunk_index, text, sentence_ids FROM windows")
 def chunk_edu_rules(spark, sf):
-    return chunkers.custom_edu(articles(spark, sf), entities=False).select("article_id", "chunk_index", "text", joined("sentence_ids").alias("sentence_ids"))
+    df = chunkers.custom_edu(articles(spark, sf), entities=False)
+    return df.select("article_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", joined("sentence_ids").alias("sentence_ids"))
 
 
 def _predictions(spark, sf):
@@ -251,14 +285,32 @@ def sentence_stats(spark, sf):
     return _rounded(stats.sentence_stats(chunkers.sentence(articles(spark, sf), entities=False)))
 
 
-@query()
+@query(f"""WITH {_RULES}, m AS (SELECT 'edu_characters' AS metric, length(text)::DOUBLE AS v FROM units UNION ALL SELECT 'edu_tokens', {_TOKENS.format('text')} FROM units
+        UNION ALL SELECT 'edus_per_sentence', count(*) FROM units GROUP BY article_id, i)
+    SELECT metric, {_BLOCK} FROM m GROUP BY metric""")
 def edu_stats(spark, sf):
     return _rounded(stats.edu_stats(chunkers.edus(articles(spark, sf), entities=False)))
 
 
-@query(f"""WITH {_EDUS} SELECT 0::BIGINT AS count, 0.0::DOUBLE AS percentage""")
+@query(f"WITH {_RULES}, m AS (SELECT 'edus_per_chunk' AS metric, units::DOUBLE AS v FROM windows) SELECT metric, {_BLOCK} FROM m GROUP BY metric")
+def edus_per_chunk(spark, sf):
+    units = T.materialised(chunkers.edus(articles(spark, sf), entities=False), article_id=F.col("article_id"), edus=F.col("edus"))
+    return _rounded(stats.edus_per_chunk(chunkers.edu_windows(units), units))
+
+
+@query(f"WITH {_RULES}, per AS (SELECT count(*) AS n FROM units GROUP BY article_id, i) SELECT count(*) FILTER (n > 1) AS count, round(100.0 * avg((n > 1)::INT), 6) AS percentage FROM per")
 def multi_edu_pct(spark, sf):
-    return stats.multiple_edus(chunkers.edus(articles(spark, sf), WholeSentences, entities=False))
+    return _rounded(stats.multiple_edus(chunkers.edus(articles(spark, sf), entities=False)))
+
+
+@query(_VOTES.split("SELECT doc_id, pos, {}")[0] + "SELECT sum(pred)::BIGINT AS boundaries, count(*) AS tokens FROM (SELECT max(pred) AS pred FROM votes GROUP BY doc_id, pos)")
+def edu_boundary_total(spark, sf):
+    return chunkers.predicted_boundaries(chunkers.token_votes(_predictions(spark, sf), "max"))
+
+
+@query(f"WITH {_SENTENCES} SELECT count(DISTINCT article_id) AS articles, count(*) AS chunks, count(*) FILTER (trim(text) = '') AS cleaning_issues FROM sents")
+def ingest_totals(spark, sf):
+    return stats.ingested(chunkers.with_metadata(chunkers.sentence(articles(spark, sf), entities=False), "sentence"))
 
 
 def _profile(spark, sf):
@@ -296,9 +348,9 @@ def token_overflow(spark, sf):
     return _rounded(stats.overflow(table(spark, sf, "documents"), F.size(T.tokens(F.col("text"))))).withColumn("most", F.col("most").cast("long"))
 
 
-@query("SELECT round(avg(value) FILTER (a <= 10), 6) AS first, round(avg(value) FILTER (b <= 10), 6) AS last, round(avg(value) FILTER (b <= 10) / avg(value) FILTER (a <= 10), 6) AS slowdown FROM (SELECT value, row_number() OVER (ORDER BY event_id) AS a, row_number() OVER (ORDER BY event_id DESC) AS b FROM events WHERE user_id % 40 = 1)")
+@query("SELECT round(avg(value) FILTER (a <= 10), 6) AS first, round(avg(value) FILTER (b <= 10), 6) AS last, round(avg(value) FILTER (b <= 10) / avg(value) FILTER (a <= 10), 6) AS slowdown FROM (SELECT value, row_number() OVER (ORDER BY event_id) AS a, row_number() OVER (ORDER BY event_id DESC) AS b FROM events)")
 def batch_slowdown(spark, sf):
-    return _rounded(stats.slowdown(table(spark, sf, "events").where("user_id % 40 = 1"), "event_id", "value"))
+    return _rounded(stats.slowdown(table(spark, sf, "events"), "event_id", "value"))
 
 
 # --- vectors --------------------------------------------------------------------------------
@@ -411,31 +463,26 @@ def eval_summary(spark, sf):
     return _rounded(metrics.averages(metrics.at_k(retrieval.ranked_articles(_hits(spark, sf)), _gold_labels(spark, sf))))
 
 
-#: Items that a list in the plan holds at most.
-FEW_ITEMS = 2000
-
-
 def _contained(spark, sf):
-    """claim_id, article_id: documents that contain a benchmark item. A few items go with the
-    plan; more are looked up by the three words after their first, and those without three whole
-    words inside are compared with every text."""
+    """claim_id, article_id: documents that contain a benchmark item. The words of an item but the
+    first and the last are whole words of any text that holds it: items and texts meet in three of
+    these, or in the longest if there are fewer. Items without such words meet texts in their first
+    three characters. Where they meet, texts are searched."""
     items = table(spark, sf, "benchmark").where("length(text) > 0").select(F.col("item_id").alias("claim_id"), F.col("text").alias("item"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    some = items.limit(FEW_ITEMS + 1).collect()
-    article = F.col("doc_id").cast("string").alias("article_id")
-    if len(some) <= FEW_ITEMS:
-        held = F.array(*(F.struct(F.lit(r["claim_id"]).alias("claim_id"), F.lit(r["item"]).alias("item")) for r in some)) if some else F.array().cast("array<struct<claim_id:bigint,item:string>>")
-        return docs.select("doc_id", F.explode(F.filter(held, lambda x: F.contains(F.col("text"), x["item"]))).alias("x")).select("x.claim_id", article)
-    # the first and the last word of an item may be parts of words in a document
-    keyed = T.materialised(items, claim_id=F.col("claim_id"), item=F.col("item"), t=T.tokens(F.col("item")))
-    short = F.size("t") < 5
-    whole = keyed.where(~short).select("claim_id", "item", F.concat_ws(" ", F.slice("t", 2, 3)).alias("key"))
-    words = T.materialised(docs.where("text IS NOT NULL"), doc_id=F.col("doc_id"), t=T.tokens(F.col("text")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("t", i, 3))))
-    pairs = words.select("doc_id", F.explode(grams).alias("key")).join(whole, "key").select("doc_id", "claim_id", "item")
-    found = pairs.join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("claim_id", article)
-    beside = docs.join(F.broadcast(keyed.where(short).select("claim_id", "item")), F.contains(F.col("text"), F.col("item"))).select("claim_id", article)
-    return found.unionByName(beside)
+    docs = table(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    inner = F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0)))
+    keyed = T.materialised(items.withColumn("t", T.tokens(F.col("item"))), claim_id=F.col("claim_id"), item=F.col("item"), inner=inner)
+    longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    words = F.when(F.size("inner") >= 3, F.concat_ws(" ", F.slice("inner", 1, 3))).otherwise(longest)
+    wide = keyed.where(F.size("inner") > 0).select("claim_id", "item", words.alias("key"))
+    short = keyed.where(F.size("inner") == 0).select("claim_id", "item", F.substring("item", 1, 3).alias("key"))
+    tokens = T.materialised(docs, doc_id=F.col("doc_id"), t=T.tokens(F.col("text")))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("t", i, 3)))
+    met = tokens.select("doc_id", F.explode(F.array_distinct(F.concat(grams, F.col("t")))).alias("key")).join(wide, "key").select("doc_id", "claim_id", "item")
+    if not short.isEmpty():
+        parts = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substr("text", i, n))))
+        met = met.unionByName(docs.select("doc_id", F.explode(F.array_distinct(parts)).alias("key")).join(short, "key").select("doc_id", "claim_id", "item"))
+    return met.distinct().join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("claim_id", F.col("doc_id").cast("string").alias("article_id"))
 
 
 _GOLD = "gold AS (SELECT item_id AS claim_id, doc_id::VARCHAR AS article_id FROM benchmark b, documents d WHERE length(b.text) > 0 AND contains(d.text, b.text))"
@@ -459,24 +506,21 @@ _DOC_HITS = f"""{_CHARS}, {_GOLD}, pts AS (SELECT row_number() OVER (ORDER BY ar
     ranked AS (SELECT claim_id, article_id, row_number() OVER (PARTITION BY claim_id ORDER BY f) AS rank FROM a)"""
 
 
-def _doc_ranking(spark, sf):
-    """Articles ranked for each claim with gold, and the gold: chunks of 500 characters, hashed
-    embeddings, 20 nearest chunks. Chunks and claims meet in the buckets that both fill."""
+def _doc_hits(spark, sf):
+    """The 20 nearest chunks (of 500 characters, hashed embeddings) of each claim with gold, and the gold."""
     gold = _contained(spark, sf)
     # points are known by article and place, which is also the order of their ids
-    points = chunkers.fixed_char(articles(spark, sf), entities=False).select(F.struct("article_id", "chunk_index").alias("point"), "text")
-    chosen = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), "text").join(gold.select("claim_id").distinct(), "claim_id", "left_semi")
-    w = retrieval.hashed_weights(points, "point", F.col("text")).select("point", "bucket", F.col("w").alias("pw"))
-    c = retrieval.hashed_weights(chosen, "claim_id", F.col("text")).select("claim_id", "bucket", F.col("w").alias("cw"))
-    scored = w.join(c, "bucket").groupBy("claim_id", "point").agg(F.round(F.sum(F.col("cw") * F.col("pw")), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("score"), "point"))
-    best = scored.withColumn("rank", rank).where("rank <= 20")
-    return retrieval.ranked_articles(best.select("claim_id", "rank", "point.article_id")), gold
+    point = F.concat("article_id", F.lit("/"), F.lpad(F.col("chunk_index").cast("string"), 10, "0"))
+    points = chunkers.fixed_char(articles(spark, sf), entities=False).select(point.alias("point_id"), "article_id", "text")
+    chosen = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim")).join(gold.select("claim_id").distinct(), "claim_id", "left_semi")
+    claims = retrieval.embed(chosen, "claim", kind="double")
+    return retrieval.search(retrieval.embed(points, kind="double"), claims, retrieval.RetrievalConfig(k=20), digits=9), gold
 
 
 @query(f"WITH {_DOC_HITS}, {_AT_K} SELECT k, count(*) AS claims, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(accuracy), 6) AS accuracy, (SELECT round(avg(rr), 6) FROM rr) AS mrr FROM at_k GROUP BY k")
 def retrieval_docs_eval(spark, sf):
-    ranked, gold = _doc_ranking(spark, sf)
+    hits, gold = _doc_hits(spark, sf)
+    ranked = retrieval.ranked_articles(hits)
     mean = metrics.reciprocal_rank(ranked, gold).agg(F.round(F.avg("rr"), 6).alias("mrr"))  # one row
     return _rounded(metrics.averages(metrics.at_k(ranked, gold))).join(F.broadcast(mean))
 
@@ -587,9 +631,9 @@ def reduced_corpus(spark, sf):
 
 
 @query(f"""SELECT count(*) AS required, count(d.doc_id) AS found, 100.0 * count(d.doc_id) / count(*) AS percentage FROM
-    (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE source < 'src3') d USING (doc_id)""".replace("100.0 * count(d.doc_id) / count(*)", "round(100.0 * count(d.doc_id) / count(*), 6)"))
+    (SELECT DISTINCT item_id * 7 AS doc_id FROM benchmark) l LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d USING (doc_id)""".replace("100.0 * count(d.doc_id) / count(*)", "round(100.0 * count(d.doc_id) / count(*), 6)"))
 def coverage(spark, sf):
-    return _rounded(sampling.coverage(table(spark, sf, "documents").where("source < 'src3'"), _required(spark, sf), "doc_id"))
+    return _rounded(sampling.coverage(table(spark, sf, "documents"), table(spark, sf, "benchmark").select((F.col("item_id") * 7).cast("string").alias("id")), "doc_id"))
 
 
 @query("SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id FROM labels WHERE toxic = 1")
@@ -631,20 +675,26 @@ def prompt_build(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), prompts.prompt(F.col("text")).alias("prompt"))
 
 
-@query(f"""WITH {_DOC_HITS}, best AS (SELECT claim_id, rank, article_id FROM ranked WHERE rank <= 3),
-    e AS (SELECT claim_id, string_agg('[Evidence ' || rank || '] (Source: ' || article_id || ', Relevance: 1.000)' || chr(10) || 'x', chr(10) || chr(10) ORDER BY rank) AS evidence FROM best GROUP BY 1)
-    SELECT claim_id, {_sql_text(prompts.HEADER + 'Claim: ')} || text || {_sql_text(chr(10) * 2 + 'Evidence:' + chr(10))} || evidence || {_sql_text(chr(10) * 2 + 'Label:')} AS prompt FROM e JOIN benchmark ON item_id = claim_id""")
+_EVIDENCE = f"""{_DOC_HITS}, e AS (SELECT claim_id, string_agg('[Evidence ' || rank || '] (Source: ' || h.article_id || ', Relevance: ' || printf('%.3f', score) || ')' || chr(10) || p.text, chr(10) || chr(10) ORDER BY rank) AS evidence
+        FROM hits h JOIN pts p USING (point_id) WHERE rank <= 3 GROUP BY 1)"""
+
+
+@query(f"""WITH {_EVIDENCE} SELECT claim_id, {_sql_text(prompts.HEADER + 'Claim: ')} || text || {_sql_text(chr(10) * 2 + 'Evidence:' + chr(10))} || evidence || {_sql_text(chr(10) * 2 + 'Label:')} AS prompt FROM e JOIN benchmark ON item_id = claim_id""")
 def prompt_with_evidence(spark, sf):
-    ranked, _ = _doc_ranking(spark, sf)
-    hits = ranked.withColumns({"score": F.lit(1.0), "text": F.lit("x")})
+    hits, _ = _doc_hits(spark, sf)
     claims = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
     return claims.join(prompts.evidence_texts(hits, 3), "claim_id").select("claim_id", prompts.prompt(F.col("claim"), F.col("evidence")).alias("prompt"))
 
 
-@query()
+# the default generator: the share of the claim's different words that the rest of the prompt holds
+@query(f"""WITH {_EVIDENCE}, c AS (SELECT item_id AS claim_id, lower(coalesce(evidence, {_sql_text(prompts.NOTHING_FOUND)}) || {_sql_text(chr(10) * 2 + 'Label:')}) AS found,
+        list_distinct(list_filter(regexp_split_to_array(lower(string_split(text, chr(10))[1]), '\\s+'), lambda w: w <> '')) AS w FROM benchmark LEFT JOIN e ON item_id = claim_id),
+    s AS (SELECT claim_id, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains(found, x))) / len(w) ELSE 0 END AS share FROM c)
+    SELECT claim_id, CASE WHEN share >= 0.8 THEN 'SUPPORTS' WHEN share >= 0.5 THEN 'REFUTES' ELSE 'NOT ENOUGH INFO' END AS predicted_label FROM s""")
 def predict_claims(spark, sf):
+    hits, _ = _doc_hits(spark, sf)
     claims = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
-    return prompts.predict(claims, None).select("claim_id", "predicted_label")
+    return prompts.predict(claims, hits, most=3).select("claim_id", "predicted_label")
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot FROM embeddings a, embeddings b WHERE b.vec_id = a.vec_id + 1")

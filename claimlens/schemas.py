@@ -14,13 +14,5 @@ CLAIM = T.StructType(
         T.StructField("evidence", T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))),
     ]
 )
-CHUNK = T.StructType(
-    [
-        T.StructField("article_id", T.StringType()),
-        T.StructField("chunk_index", T.IntegerType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("sentence_ids", T.ArrayType(T.IntegerType())),
-    ]
-)
 # The closed, ordered set of labels.
 LABELS = ("SUPPORTS", "REFUTES", "NOT ENOUGH INFO")

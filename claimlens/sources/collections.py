@@ -9,11 +9,12 @@ from .jsonl import exists
 
 
 def collection_name(model: str, chunker: str) -> str:
-    """Last part of the model's path up to a dash, lower case; models of some families by family."""
+    """Last part of the model's path up to a dash, lower case; models of some families, whose names
+    stand anywhere in the path, by family."""
     tail = model.rstrip("/").split("/")[-1]
     short = tail.split("-")[0].lower()
     for mark, name in (("minilm", "minilm"), ("mpnet", "mpnet"), ("multi-qa", "multiqa")):
-        if mark in tail.lower():
+        if mark in model.lower():
             short = name
             break
     return f"{short}_{chunker}_chunks"
@@ -22,8 +23,8 @@ def collection_name(model: str, chunker: str) -> str:
 def name_column(model, chunker):
     """collection_name over columns."""
     tail = F.element_at(F.split(model, "/"), -1)
-    low = F.lower(tail)
-    short = F.when(F.contains(low, F.lit("minilm")), "minilm").when(F.contains(low, F.lit("mpnet")), "mpnet").when(F.contains(low, F.lit("multi-qa")), "multiqa").otherwise(F.split_part(low, F.lit("-"), F.lit(1)))
+    low = F.lower(model)
+    short = F.when(F.contains(low, F.lit("minilm")), "minilm").when(F.contains(low, F.lit("mpnet")), "mpnet").when(F.contains(low, F.lit("multi-qa")), "multiqa").otherwise(F.lower(F.split_part(tail, F.lit("-"), F.lit(1))))
     return F.concat(short, F.lit("_"), chunker, F.lit("_chunks"))
 
 

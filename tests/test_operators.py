@@ -1,13 +1,14 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from claimlens import queries
 from claimlens.operators import chunkers, metrics, prompts, retrieval, sampling, stats
 from claimlens.plans import workflows
-from claimlens.protocols import HashedEmbedder
+from claimlens.protocols import HashedEmbedder, PredictedSegmenter
 from claimlens.schemas import ARTICLE, CLAIM
 from claimlens.sources import collections, jsonl
 from claimlens.streaming import ingest
@@ -189,12 +190,84 @@ def test_slowdown_by_limits(spark):
     assert few["first"] == few["last"] == pytest.approx(5 / 3)
 
 
-@pytest.mark.parametrize("few", [2000, 0])
-def test_containment_of_short_items(spark, tmp_path, monkeypatch, few):
+def test_containment_of_short_items(spark, tmp_path):
     items = ["one", "wo thr", "two thre", "one two thr", "ne two three fo", "ne two three four fi", "absent", " ", "five\nsix seven eight nine t"]
     texts = ["one two three four five\nsix seven eight nine ten", "stone", "two three", "", None, "one two  three"]
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    monkeypatch.setattr(queries, "FEW_ITEMS", few)
     got = sorted((r["claim_id"], r["article_id"]) for r in queries._contained(spark, str(tmp_path)).collect())
     assert got == sorted((i, str(d)) for i, x in enumerate(items) for d, t in enumerate(texts) if t and x in t)
+
+
+def test_tiles_find_the_same_hits(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    points = spark.createDataFrame([(i, f"a{i % 7}", [float(x) for x in r.normal(size=4)]) for i in range(60)] + [(99, "a", None)], "point_id long, article_id string, vector array<double>")
+    claims = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(9)], "claim_id long, vector array<double>")
+    for config in (retrieval.RetrievalConfig(k=3), retrieval.RetrievalConfig("threshold", threshold=0.5)):
+        want = sorted(map(tuple, retrieval.search(points, claims, config, digits=9).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "QUERY_CELLS", 10)
+            m.setattr(retrieval, "TILE", 25)
+            assert sorted(map(tuple, retrieval.search(points, claims, config, digits=9).collect())) == want and want
+
+
+def test_containment_of_odd_items(spark, tmp_path):
+    """Items of any number of words, at the ends of words too, null and empty ones."""
+    items = ["ab", "b", "b c", "a b c", "b cc dd e", "x y z w v", "  b ", "", None, "zz yy", "é ü"]
+    texts = ["ab c dd", "a b cc dd ee", "xx y z w vv", "b", "", None, "a  b c", "zzz yyy", "q é üa", "xb cx"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r[0], int(r[1])) for r in queries.queries()["gold_from_containment"](spark, str(tmp_path)).collect())
+    assert got == [(i, d) for i, x in enumerate(items) for d, t in enumerate(texts) if x and t and x in t]
+
+
+def test_verifiable_counts(spark):
+    rows = [(1, "VERIFIABLE", [[["1", "2", "A"], ["1", "2", None]]]), (2, "VERIFIABLE", [[["1", "2", "A"], ["B", "3"]]]), (3, "NOT VERIFIABLE", [[["1", "2", "C"]]]), (4, None, None)]
+    df = spark.createDataFrame(rows, "id long, verifiable string, evidence array<array<array<string>>>")
+    assert tuple(sampling.verifiable_counts(df).first()) == (2, 2)
+    assert tuple(sampling.verifiable_counts(df.where("id > 2")).first()) == (0, 0)
+    assert tuple(sampling.reference_counts(df).first()) == (3, 2)
+
+
+def test_predicted_segmenter(spark):
+    class Model:
+        def offsets(self, text):
+            return [i for i, c in enumerate(text) if c != " " and (i == 0 or text[i - 1] == " ")]
+
+        def predict(self, text):
+            if "fail" in text:
+                raise ValueError(text)
+            return [1] * (len(self.offsets(text)) - ("short" in text))
+
+    segmenter = PredictedSegmenter(Model)
+    assert segmenter.boundaries("one two three") == [4, 8]
+    assert segmenter.boundaries("fail now") == [] and segmenter.boundaries("short of one") == []
+
+
+def test_names_by_the_whole_path():
+    assert collections.collection_name("multi-qa-lab/foo-v1", "sentence") == "multiqa_sentence_chunks"
+    assert collections.collection_name("x/Foo-v1", "sentence") == "foo_sentence_chunks"
+
+
+def test_run_calls_the_model_once_and_writes_all(spark, articles, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def generate(self, prompts):
+            calls.add(len(prompts))
+            return ["REFUTES"] * len(prompts)
+
+    claims = spark.read.schema(CLAIM).json(spark.sparkContext.parallelize([json.dumps(c) for c in CLAIMS]))
+    out = workflows.run(spark, articles, claims, str(tmp_path / "c"), "custom_edu", generator=Counting, output=str(tmp_path / "out"), overlap=1, edus_per_chunk=2)
+    assert [out.accuracy.first()["support"], out.weighted.first()["support"], out.confusion.count()] == [3, 3, 3]
+    assert calls.value == 3
+    read = lambda name: spark.read.json(str(tmp_path / "out" / name))
+    assert {r["metric"] for r in read("statistics_custom_edu_hashed").collect()} >= {"chunk_characters", "edu_tokens", "edus_per_chunk", "edus_per_sentence"}
+    assert read("builds").first()["articles"] == 2 and read("evaluations").first()["avg_retrieval_time_ms"] > 0
+    assert read("metrics").first()["model"] == "overlap" and read("per_class").count() == 3 and read("results").count() == 3
+
+
+def test_models_are_added_by_name():
+    assert workflows.add_embedding_model("m", HashedEmbedder).add("n", HashedEmbedder)["n"] is HashedEmbedder
+    with pytest.raises(ValueError):
+        workflows.MODELS["none"]
