@@ -25,12 +25,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long). Rows: u and label, the least node that it reaches; only nodes that
-    aren't the least of theirs."""
+    aren't the least of theirs. The result is staged."""
     now = frames.staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
-            return now.select("u", F.col("v").alias("label"))
-        before = state
-        now = frames.staged(_star(_star(now, True), False), "edges")
+            out = now.select("u", F.col("v").alias("label"))
+            out._staged_path = now._staged_path
+            return out
+        before, last = state, now
+        now = frames.staged(_star(_star(last, True), False), "edges")
+        frames.drop(last)

@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that go to Python at once.
+BATCH = 1024
 #: Null document ids stand after all others.
 LAST_ID = (1 << 63) - 1
 
@@ -53,6 +55,15 @@ def drop(*stages: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to send at most BATCH rows at once to Python: whole texts in batches of
+    the default 10,000 rows take hundreds of MB on either side."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
 def id_column(name: str) -> Column:
     """The document id; null as LAST_ID, so that joins on it need no null checks."""
     return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))

@@ -1,44 +1,47 @@
 """N-gram Jaccard join with set-relation skipping.
 
-A document's set is its distinct word shingles. Equal sets are one class. Sets
-that overlap enough share an element among the first few of a common order
-(frequent elements last), so an index lists, for each such element, the classes
-that hold it there with their sizes and positions.
-
-- Lists are sorted by position, and blocks of entries whose positions leave too
-  few elements for the overlap that is asked for are skipped.
-- In a long list a set is first compared with the list's leading sets only: the
-  answers of similar sets are shared through them. What is then known to be in
-  one component needs no comparison; only sets that are still apart are compared
-  in full.
-- A parity sketch bounds a pair's difference from below; only pairs that pass it
-  have their texts compared, exactly.
+A document's set is its distinct word shingles. Equal sets are one class.
+
+1. A class links only if four fifths of its elements stand in other classes too.
+   Elements of a fixed part of the hash space are counted first: classes in which
+   too many of these stand alone are out, which are all but near copies.
+2. Of the classes that are left, elements are ordered from rare to frequent. Sets
+   that overlap enough share an element among the first few of that order, so an
+   index lists, for each such element, the classes that hold it there, with their
+   sizes and positions.
+3. Lists are compared in rounds. At first each set meets a few leading sets of its
+   lists; linked sets share their answers (their component) from then on, and
+   only lists that still hold several components go on. The last round compares
+   what is still apart in full, sorted by position: entries whose position leaves
+   too few elements for the overlap that is asked for are skipped as a block.
+   A parity sketch bounds a pair's difference from below before the exact
+   comparison, which is on the classes' repeated elements.
+
+Lists longer than a block are dealt over several blocks, in another way each
+round, and over pairs of blocks in the last one.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components, frames, units
-from .repeats import FLUSH_ANCHORS
+from .repeats import FLUSH_ANCHORS, bucket_of
 
 #: Words of a shingle; least similarity in hundredths.
 WORDS, SHARE = 5, 80
-#: Bits of a sketch. Entries of a list that is compared in full at once; leaders of a longer one.
-BITS, SHORT, LEADERS, LOOK = 1024, 8, 2, 32
-#: Texts whose elements show which are frequent (this only sets the order), and from which share on.
-SAMPLE, FREQUENT = 4000, 0.005
-#: Bytes of text whose elements meet in one bucket; ids that are sent to all machines at most.
-BUCKET_BYTES, FEW = 16 << 20, 200_000
-#: Entries of a list that are compared at once.
+#: Of 65,536 parts of the hash space, those whose elements are counted first.
+COUNTED = 26_000
+#: Bits of a sketch. Leading sets that a list's sets meet, round by round; None: all.
+BITS, ROUNDS = 2048, (2, 16, None)
+#: Entries of a block.
 BLOCK = 512
+#: Bytes of text whose elements meet in one bucket; classes that are sent to all machines at most.
+BUCKET_BYTES, FEW = 8 << 20, 200_000
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -93,159 +96,137 @@ def _parts(rb: pa.RecordBatch, words: int):
         yield a, b, value, at
 
 
+def _counted(value: np.ndarray) -> np.ndarray:
+    return (value & np.uint64(0xFFFF)) < np.uint64(COUNTED)
+
+
 def _profiles(words: int):
     def rows(batches):
         frames.steady_heap()
         for rb in batches:
             for a, b, value, at in _parts(rb, words):
                 one, two = _sums(value, at)
-                bit = (units.mix(value) % np.uint64(BITS)).astype(np.int64)
-                sketches = []
-                for i in range(b - a):
-                    odd = np.bincount(bit[at[i] : at[i + 1]], minlength=BITS) & 1
-                    sketches.append(np.packbits(odd.astype(bool)).tobytes())
                 n = np.diff(at)
-                yield frames.batch(did=rb.column("did").slice(a, b - a), th=rb.column("th").slice(a, b - a), n=pa.array(n, pa.int64()), one=pa.array(one), two=pa.array(two), c=pa.array(_class(one, two, n)), sketch=pa.array(sketches, pa.binary()))
+                counted = np.concatenate([[0], np.cumsum(_counted(value))])
+                yield frames.batch(did=rb.column("did").slice(a, b - a), th=rb.column("th").slice(a, b - a), n=pa.array(n, pa.int64()), counted=pa.array(counted[at[1:]] - counted[at[:-1]], pa.int64()), one=pa.array(one), two=pa.array(two), c=pa.array(_class(one, two, n)))
 
     return rows
 
 
-def _entries(words: int, share: int, frequent: np.ndarray, buckets: int):
-    """Prefix elements by bucket of the element: element, class, size, position."""
+def _entries(words: int, buckets: int):
+    """Counted elements by bucket: those that one class of a flush holds with it, others without;
+    for classes the number of their elements that others of the flush hold too."""
 
     def flush(held):
-        h, c, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
-        o = np.lexsort((c, h))
-        h, c, n, p = h[o], c[o], n[o], p[o]
-        new = np.ones(len(h), bool)  # a class counts once for each element
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        h, c, n, p = h[new] >> np.uint64(16), c[new], n[new], p[new]
-        edges = np.searchsorted(h, np.array([-(-(k << 48) // buckets) for k in range(buckets + 1)], dtype=np.uint64))
-        keys, packed = [], []
-        for k in range(buckets):
-            e = slice(edges[k], edges[k + 1])
-            if e.start < e.stop:
-                used, index = np.unique(c[e], return_inverse=True)
-                size = np.zeros(len(used), np.int64)
-                size[index] = n[e]
-                keys.append(k)
-                packed.append(frames.pack(np.diff(h[e], prepend=np.uint64(0)), index.astype(np.uint32), p[e].astype(np.uint32), used, size))
-        return frames.batch(bucket=pa.array(keys, pa.int32()), payload=pa.array(packed, pa.binary()))
+        h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        used, index = np.unique(c, return_inverse=True)
+        o = np.argsort(h, kind="stable")
+        h, index = h[o] >> np.uint64(16), index[o]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        count = np.diff(np.append(first, len(h)))
+        alone, eh, ec = count == 1, h[first], index[first]
+        shared = np.bincount(index[np.repeat(~alone, count)], minlength=len(used))
+        to, spread = bucket_of(eh, buckets), (units.mix(used.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        k = np.flatnonzero(shared)
+        k = k[np.argsort(spread[k], kind="stable")]
+        keys, packed = np.union1d(to, spread[k]), []
+        for s, e, q, r in zip(*(np.searchsorted(x, keys, side) for x in (to, spread[k]) for side in ("left", "right")), strict=True):
+            one = alone[s:e]
+            mine, back = np.unique(ec[s:e][one], return_inverse=True)
+            packed.append(frames.pack(np.diff(eh[s:e], prepend=np.uint64(0)), np.packbits(one), back.astype(np.uint32), used[mine], used[k[q:r]], shared[k[q:r]]))
+        return frames.batch(bucket=pa.array(keys, pa.int64()), payload=pa.array(packed, pa.binary()))
 
     def rows(batches):
         frames.steady_heap()
-        held, size = [], 0
+        held, size, seen = [], 0, set()
         for rb in batches:
             for _, _, value, at in _parts(rb, words):
                 n = np.diff(at)
                 one, two = _sums(value, at)
-                text = np.repeat(np.arange(len(n)), n)
-                # the common order: frequent elements last, else by hash
-                late = np.isin(value, frequent)
-                o = np.lexsort((value, late, text))
-                place = np.arange(len(value)) - at[text]
-                keep = place < np.where(n > 0, prefix(n, share), 0)[text]
-                t = text[keep]
-                held.append((value[o][keep], _class(one, two, n)[t], n[t], place[keep]))
-                size += len(t)
+                c = _class(one, two, n)
+                fresh = np.zeros(len(n), bool)  # a class counts once
+                for i, key in enumerate(c.tolist()):
+                    if key not in seen:
+                        seen.add(key)
+                        fresh[i] = True
+                keep = _counted(value) & np.repeat(fresh, n)
+                held.append((value[keep], np.repeat(c, n)[keep]))
+                size += len(held[-1][0])
                 if size >= FLUSH_ANCHORS:
                     yield flush(held)
                     held, size = [], 0
+                    seen.clear()
         if size:
             yield flush(held)
 
     return rows
 
 
-def _may_link(na, pa_, nb, pb, share):
-    """Neither sizes nor what stands behind these positions rules the pair out."""
-    sizes = 100 * np.minimum(na, nb) >= share * np.maximum(na, nb)
-    return sizes & (np.minimum(na - pa_, nb - pb) >= needed(na, nb, share))
-
+def _totals(classes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    used, index = np.unique(np.concatenate(classes), return_inverse=True)
+    return used, np.bincount(index, np.concatenate(counts), minlength=len(used)).astype(np.int64)
+
+
+def _repeated(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """For classes, at least the number of their counted elements in this bucket that other classes
+    hold too, packed by part of the classes."""
+    frames.steady_heap()
+    hs, ones, cs, known, shared = [], [], [], [], []
+    for value in pdf["payload"]:
+        gaps, bits, back, mine, kc, kn = frames.unpack(value)
+        one = np.unpackbits(bits, count=len(gaps)).astype(bool)
+        c = np.zeros(len(gaps), np.int64)
+        c[one] = mine[back]
+        hs.append(np.cumsum(gaps))
+        ones.append(one)
+        cs.append(c)
+        known.append(kc)
+        shared.append(kn)
+    h, one, c = np.concatenate(hs), np.concatenate(ones), np.concatenate(cs)
+    o = np.lexsort((c, h))
+    h, one, c = h[o], one[o], c[o]
+    found = [np.zeros(0, np.int64)]
+    if len(h):
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        several = ~np.logical_and.reduceat(one, first) | (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first))
+        several = np.repeat(several, np.diff(np.append(first, len(h)))) & one
+        several[1:] &= (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | ~one[:-1]  # a class once for each element
+        found.append(c[several])
+    alone = np.concatenate(found)
+    used, count = _totals([alone, *known], [np.ones(len(alone), np.int64), *shared])
+    part = (units.mix(used.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    o = np.argsort(part, kind="stable")
+    used, count, part = used[o], count[o], part[o]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    payload = [frames.pack(used[s:e], count[s:e]) for s, e in zip(cuts, np.append(cuts, len(part))[1:], strict=True)]
+    return pd.DataFrame({"part": part[cuts], "payload": payload})
 
-def _full(c, n, p, share, label, sketch):
-    """Pairs of one list whose components differ and whose sketches may link, the list sorted by
-    position: blocks whose positions leave too few elements to overlap with are skipped."""
-    out, m = [], len(c)
-    o = np.argsort(p, kind="stable")
-    c, n, p, label, sketch = c[o], n[o], p[o], label[o], sketch[o]
-    for s in range(0, m, BLOCK):
-        left = slice(s, s + BLOCK)
-        # a set of size x at position p has x - p elements left and needs share of x at least
-        for t in range(s, m, BLOCK):
-            right = slice(t, t + BLOCK)
-            room = (n[right] - p[right]).max()
-            if room * 100 < share * n[right].min() or room * 100 < share * n[left].min():
-                continue
-            ok = _may_link(n[left][:, None], p[left][:, None], n[right][None], p[right][None], share)
-            ok &= label[left][:, None] != label[right][None]
-            if s == t:
-                ok = np.triu(ok, 1)
-            i, j = np.nonzero(ok)
-            i, j = i + s, j + t
-            fine = n[i] + n[j] - _difference(sketch[i], sketch[j]) >= 2 * needed(n[i], n[j], share)
-            if fine.any():
-                out.append((c[i[fine]], c[j[fine]]))
-    return out
 
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    used, count = _totals(*zip(*map(frames.unpack, pdf["payload"]), strict=True))
+    return pd.DataFrame({"c": used, "r": count})
 
-def _leading(c, n, p, share):
-    """Each set of a long list with the first few that it may link to, in an order of classes."""
-    o = np.argsort(units.mix(c.view(np.uint64)))
-    c, n, p = c[o], n[o], p[o]
-    out, found = [], np.zeros(len(c), np.int64)
-    for t in range(min(LOOK, len(c))):
-        ok = _may_link(n[t], p[t], n[t + 1 :], p[t + 1 :], share) & (found[t + 1 :] < LEADERS)
-        i = np.flatnonzero(ok) + t + 1
-        found[i] += 1
-        if len(i):
-            out.append((np.full(len(i), c[t]), c[i]))
-    return out
 
+def _sets(words: int):
+    """Elements and sketch of each class: bit k of a sketch is the parity of the elements dealt to it."""
 
-def _pairs_frame(out) -> pd.DataFrame:
-    if not out:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+    def rows(batches):
+        frames.steady_heap()
+        for rb in batches:
+            for a, b, value, at in _parts(rb, words):
+                bit = (units.mix(value) % np.uint64(BITS)).astype(np.int64)
+                odd = np.bincount(bit + np.repeat(np.arange(b - a) * BITS, np.diff(at)), minlength=(b - a) * BITS) & 1
+                sketch = np.packbits(odd.astype(bool).reshape(b - a, BITS), axis=1)
+                elements = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))
+                yield frames.batch(c=rb.column("c").slice(a, b - a), elements=elements, sketch=pa.array([x.tobytes() for x in sketch], pa.binary()))
 
+    return rows
 
-def _lists(share: int):
-    """Of the lists of a bucket: pairs of the short ones (slot null), and pairs with leaders and
-    the entries of long ones, packed (slot: the element)."""
 
-    def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames.steady_heap()
-        parts = []
-        for value in pdf["payload"]:
-            gaps, index, p, used, size = frames.unpack(value)
-            parts.append((np.cumsum(gaps), used[index], size[index], p.astype(np.int64)))
-        h, c, n, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-        o = np.lexsort((p, c, h))
-        h, c, n, p = h[o], c[o], n[o], p[o]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        h, c, n, p = h[new], c[new], n[new], p[new]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff(np.append(first, len(h)))
-        pairs, slots, kept = [], [], []
-        for m in range(2, SHORT + 1):  # all lists of one length at once
-            s = first[sizes == m]
-            for i in range(m):
-                for j in range(i + 1, m):
-                    ok = _may_link(n[s + i], p[s + i], n[s + j], p[s + j], share)
-                    pairs.append((c[s + i][ok], c[s + j][ok]))
-        for s, m in zip(first[sizes > SHORT], sizes[sizes > SHORT], strict=True):
-            e = slice(s, s + m)
-            pairs += _leading(c[e], n[e], p[e], share)
-            slots.append(int(h[s]))
-            kept.append(frames.pack(c[e], n[e], p[e]))
-        out = _pairs_frame(pairs)
-        rest = pd.DataFrame({"a": pd.array([0] * len(slots), "int64"), "b": pd.array([0] * len(slots), "int64"), "slot": pd.array(slots, "Int64"), "entries": kept})
-        return pd.concat([out.assign(slot=pd.array([None] * len(out), "Int64"), entries=None), rest]) if slots else out.assign(slot=pd.array([None] * len(out), "Int64"), entries=None)
-
-    return bucket
+def _may_link(na, pa_, nb, pb, share):
+    """Neither sizes nor what stands behind these positions rules the pair out."""
+    sizes = 100 * np.minimum(na, nb) >= share * np.maximum(na, nb)
+    return sizes & (np.minimum(na - pa_, nb - pb) >= needed(na, nb, share))
 
 
 def _difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -253,79 +234,139 @@ def _difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1)
 
 
-def _sketched(share: int):
+def _met(share: int, leaders: int | None, sketched: bool):
+    """Pairs of classes that meet in a list and may link. Rows come list by list (h, i, j): entries of
+    side 0 meet those behind them (i = j) or all of side 1; only the first `leaders` of side 0 do."""
+    names = ["h", "i", "j", "side", "p", "n", "c", "label"]
+
+    def meet(x: dict) -> pa.RecordBatch:
+        first, cross = x["first"], x["i"] != x["j"]
+        size = np.diff(np.append(first, len(cross)))
+        own = np.add.reduceat((x["side"] == 0).astype(np.int64), first)  # entries of side 0
+        cross = cross[first]
+        # places rise within a list's side: how far an entry's partners may reach
+        place = ((np.repeat(np.arange(len(first)), size) * 2 + x["side"]) << 32) + x["p"]
+        c, n, p, label = x["c"], x["n"], x["p"], x["label"]
+        out, k = [], 0
+        while leaders is None or k < leaders:
+            some = np.flatnonzero((own > k) & (size > k + 1))
+            if not len(some):
+                break
+            lead = first[some] + k
+            begin = np.where(cross[some], first[some] + own[some], lead + 1)
+            end = first[some] + size[some]
+            if leaders is None:
+                far = n[lead] * (100 - share) // share
+                end = np.searchsorted(place, ((some * 2 + cross[some]) << 32) + far, "right")
+            length = np.maximum(end - begin, 0)
+            a, b = np.repeat(lead, length), frames.ranges(begin, length)
+            ok = (label[a] != label[b]) & _may_link(n[a], p[a], n[b], p[b], share)
+            a, b = a[ok], b[ok]
+            if sketched and len(a):
+                fine = n[a] + n[b] - _difference(x["sketch"][a], x["sketch"][b]) >= 2 * needed(n[a], n[b], share)
+                a, b = a[fine], b[fine]
+            if len(a):
+                out.append((c[a], c[b]))
+            k += 1
+        if not out:
+            return frames.batch(a=pa.array([], pa.int64()), b=pa.array([], pa.int64()))
+        a, b = (np.concatenate(y) for y in zip(*out, strict=True))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return frames.batch(a=pa.array(both[:, 0]), b=pa.array(both[:, 1]))
+
     def rows(batches):
+        frames.steady_heap()
+        held = None
         for rb in batches:
             if not rb.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(rb.column(k).to_pylist()), np.uint64).reshape(rb.num_rows, -1) for k in ("sa", "sb"))
-            na, nb = rb.column("na").to_numpy(), rb.column("nb").to_numpy()
-            # a difference of d leaves an overlap of (na + nb - d) / 2
-            ok = na + nb - _difference(x, y) >= 2 * needed(na, nb, share)
-            yield pa.RecordBatch.from_arrays([rb.column("a"), rb.column("b")], names=["a", "b"]).filter(pa.array(ok))
+            x = {k: rb.column(k).to_numpy().astype(np.int64) for k in names}
+            if sketched:
+                x["sketch"] = np.frombuffer(b"".join(rb.column("sketch").to_pylist()), np.uint64).reshape(rb.num_rows, -1)
+            if held:
+                x = {k: np.concatenate([held[k], v]) for k, v in x.items()}
+            new = (x["h"][1:] != x["h"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])
+            first = np.flatnonzero(np.concatenate([[True], new]))
+            held = {k: v[first[-1] :] for k, v in x.items()}  # its list may go on
+            if len(first) > 1:
+                yield meet({k: v[: first[-1]] for k, v in x.items()} | {"first": first[:-1]})
+        if held:
+            yield meet(held | {"first": np.array([0])})
 
     return rows
 
 
-def _compared(words: int, share: int):
-    def one(value: bytes) -> np.ndarray:
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint8)
-        return shingles(raw, np.array([0, len(raw)]), words)[0]
+def _pairs(entries: DataFrame, labels: DataFrame, sketches: DataFrame, leaders: int | None, share: int, seed: int) -> DataFrame:
+    """Pairs that meet in lists of several components: a, b."""
+    held = entries.join(labels.withColumnRenamed("u", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    lists = held.groupBy("h").agg((F.min("label") != F.max("label")).alias("apart"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    held = held.join(lists.where("apart").select("h", "blocks"), "h").withColumn("own", F.pmod(F.xxhash64("c", F.lit(seed)), "blocks"))
+    sketched = seed > 0
+    if sketched:  # the first round's pairs are few, and nearly all link
+        held = held.join(sketches, "c")
+    if leaders is None:
+        held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        held = held.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int"), "o": F.col("p")})
+    else:
+        held = held.withColumns({"i": F.col("own"), "j": F.col("own"), "side": F.lit(0), "o": F.xxhash64(F.lit(seed), "c")})
+    held = held.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side", "o", "c")
+    columns = ["h", "i", "j", "side", "p", "n", "c", "label"] + ["sketch"] * sketched
+    return held.select(*columns).mapInArrow(_met(share, leaders, sketched), "a long, b long").distinct()
+
+
+def _compared(share: int):
+    """Of pairs with their sizes and repeated elements, those that link."""
 
     def rows(batches):
         frames.steady_heap()
         for rb in batches:
-            ok, last = [], (None, None)
-            for x, y in zip(rb.column("ta"), rb.column("tb"), strict=True):
-                x, y = x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes()
-                if last[0] != x:
-                    last = (x, one(x))
-                s, t = last[1], one(y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= share * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays([rb.column("a"), rb.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            left, right = rb.column("ea"), rb.column("eb")
+            sizes = np.diff(left.offsets.to_numpy()) + np.diff(right.offsets.to_numpy())
+            na, nb = rb.column("na").to_numpy(), rb.column("nb").to_numpy()
+            both = np.zeros(rb.num_rows, np.int64)
+            for a, b in units.slices(sizes, units.CHUNK):
+                x, y = left.slice(a, b - a), right.slice(a, b - a)
+                value = np.concatenate([x.flatten().to_numpy(), y.flatten().to_numpy()])
+                pair = np.concatenate([np.repeat(np.arange(b - a), np.diff(z.offsets.to_numpy())) for z in (x, y)])
+                o = np.lexsort((value, pair))
+                value, pair = value[o], pair[o]
+                same = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+                both[a:b] = np.bincount(pair[1:][same], minlength=b - a)
+            ok = 100 * both >= share * (na + nb - both)
+            yield pa.RecordBatch.from_arrays([rb.column("a"), rb.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     return rows
 
 
-def _zipped(batches):
-    for rb in batches:
-        z = zstandard.ZstdCompressor(level=3)
-        out = [z.compress(x.as_buffer().to_pybytes()) if x.is_valid else z.compress(b"") for x in rb.column("text")]
-        yield frames.batch(c=rb.column("c"), t=pa.array(out, pa.binary()))
-
-
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFrame:
+def _links(sets: DataFrame, pairs: DataFrame, share: int) -> DataFrame:
     """The pairs of classes that link, staged: a, b."""
-    side = classes.select("c", "n", "sketch")
-    wide = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
-    likely = frames.staged(wide.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketched(share), "a long, b long"), "likely")
-    ids = likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct().join(classes.select("c", "did", "th"), "c")
-    count = likely.count()
-    wanted = docs.select("did", "th", "text").join(F.broadcast(ids) if 2 * count <= FEW else ids, ["did", "th"])
-    texts = wanted.select("c", F.col("text").cast("binary").alias("text")).mapInArrow(_zipped, "c long, t binary").dropDuplicates(["c"])
-    both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return frames.staged(both.select("a", "b", "ta", "tb").mapInArrow(_compared(words, share), "a long, b long"), "links")
+    side = sets.select("c", "n", "elements")
+    # the sets of the many are sent to their pairs, and these once to those that they share
+    both = pairs.join(side.toDF("b", "nb", "eb"), "b").join(side.toDF("a", "na", "ea"), "a")
+    return frames.staged(both.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(_compared(share), "a long, b long"), "links")
 
 
-def _apart(share: int):
-    """Pairs of a long list whose classes are in different components and may link by their sketches."""
-
-    def slot(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, n, p, label = (pdf[k].to_numpy() for k in ("c", "n", "p", "label"))
-        if len(np.unique(label)) < 2:
-            return _pairs_frame([])
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
-        return _pairs_frame(_full(c, n, p, share, label, sketch))
-
-    return slot
-
-
-def _unpacked(batches):
-    for rb in batches:
-        for h, value in zip(rb.column("slot").to_pylist(), rb.column("entries").to_pylist(), strict=True):
-            c, n, p = frames.unpack(value)
-            yield frames.batch(slot=np.full(len(c), h), c=c.astype(np.int64), n=n.astype(np.int64), p=p.astype(np.int64))
+def _candidates(docs: DataFrame, classes: DataFrame, size: int, words: int, share: int) -> DataFrame:
+    """Classes that may link, staged: c, n, sketch, and as `elements` those that others of them hold
+    too, from rare to frequent."""
+    buckets = size // BUCKET_BYTES + 1
+    counts = docs.select("text").mapInArrow(_entries(words, buckets), "bucket long, payload binary").groupBy("bucket").applyInPandas(lambda pdf: _repeated(pdf, buckets // 16 + 1), "part long, payload binary")
+    counts = counts.groupBy("part").applyInPandas(_summed, "c long, r long")
+    alone = F.col("counted") - F.coalesce("r", F.lit(0))
+    likely = frames.staged(classes.join(counts, "c", "left").where(alone <= F.expr(f"n - ({share} * n + 99) div 100")).select("c", "n", "did", "th"), "likely")
+    few = likely.count() <= FEW
+    ids = likely.select("c", "did", "th")
+    texts = docs.select("did", "th", "text").join(F.broadcast(ids) if few else ids, ["did", "th"]).select("c", "text").dropDuplicates(["c"])
+    sets = frames.staged(texts.mapInArrow(_sets(words), "c long, elements array<long>, sketch binary"), "sets")
+    each = sets.select("c", F.explode("elements").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    order = each.join(often, "h").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
+    ranked = likely.select("c", "n").dropDuplicates(["c"]).join(order, "c").join(sets.select("c", "sketch"), "c")
+    # elements that no other class holds come first in the order; one of the first few must be shared
+    kept = ranked.withColumn("alone", F.col("n") - F.size("order")).where(F.expr(f"alone <= n - ({share} * n + 99) div 100"))
+    out = frames.staged(kept.select("c", "n", "sketch", "alone", F.col("order.h").alias("elements")), "candidates")
+    frames.drop(likely, sets)
+    return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -333,50 +374,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     component_id, the least id reachable by links (100 * overlap >= share * union), and
     component, a number of the linked group (null: empty).
 
-    Words are [^ \\\\t-\\\\r]+ with A-Z in lower case. A text of fewer words than a shingle is one
+    Words are [^ \\t-\\r]+ with A-Z in lower case. A text of fewer words than a shingle is one
     shingle; without words it is empty and linked with nothing. Null texts are empty; a null
     id is above all others and stays null where nothing else is reached. Rows that repeat an
-    id are rows of their own, and an empty one among them keeps that id.
+    id are rows of their own, and an empty one among them keeps that id. Texts may be of any
+    length. Links have no order, so ties don't arise. An empty table gives no rows. Shingles are
+    compared by 64-bit hashes.
     """
-    size = frames.total_bytes(docs, text_col)
+    size = frames.total_bytes(frames.small_batches(docs), text_col)
     docs = docs.select(F.col(id_col).alias("own"), frames.id_column(id_col).alias("did"), frames.row_key(text_col).alias("th"), frames.text_column(text_col).alias("text"))
-    profile = frames.staged(docs.select("did", "th", "text").mapInArrow(_profiles(words), "did long, th long, n long, one long, two long, c long, sketch binary"), "profiles")
-    full = profile.where("n > 0")
-    classes = full.groupBy("c", "n", "one", "two").agg(F.min(F.struct("did", "th")).alias("least"), F.first("sketch").alias("sketch"))
-    classes = frames.staged(classes.select("c", "n", "sketch", "least.did", "least.th"), "classes")
-
-    rows = profile.count()
-    every = max(1, rows // SAMPLE)
-
-    def values(batches):
-        for rb in batches:
-            for _, _, value, _ in _parts(rb, words):
-                yield frames.batch(h=value.view(np.int64))
-
-    some = docs.where(F.pmod(F.xxhash64("did", "th"), F.lit(every)) == 0).select("text").mapInArrow(values, "h long")
-    often = some.groupBy("h").count().where(F.col("count") >= max(4, math.ceil(FREQUENT * min(rows, SAMPLE)))).select("h")
-    frequent = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
-
-    buckets = size // BUCKET_BYTES + 1
-    entries = docs.select("text").mapInArrow(_entries(words, share, frequent, buckets), "bucket int, payload binary")
-    lists = frames.staged(entries.groupBy("bucket").applyInPandas(_lists(share), "a long, b long, slot long, entries binary"), "lists")
-
-    pairs = lists.where("slot IS NULL").select("a", "b").distinct()
-    links = _links(docs, classes, pairs, words, share)
-    labels = frames.staged(components.components(links.toDF("u", "v")), "labels")
-    long = lists.where("slot IS NOT NULL")
-    if not long.isEmpty():
-        held = long.select("slot", "entries").mapInArrow(_unpacked, "slot long, c long, n long, p long")
-        held = held.join(labels.withColumnRenamed("u", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-        # lists of one component only have nothing more to compare
-        apart = held.groupBy("slot").agg((F.min("label") != F.max("label")).alias("apart")).where("apart").select("slot")
-        held = held.join(apart, "slot").join(classes.select("c", "sketch").dropDuplicates(["c"]), "c")
-        more = held.groupBy("slot").applyInPandas(_apart(share), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.union(_links(docs, classes, more, words, share))
-        labels = frames.staged(components.components(links.toDF("u", "v")), "labels")
+    profile = frames.staged(docs.select("did", "th", "text").mapInArrow(_profiles(words), "did long, th long, n long, counted long, one long, two long, c long"), "profiles")
+    classes = profile.where("n > 0").groupBy("c", "n", "one", "two").agg(F.min(F.struct("did", "th")).alias("least"), F.first("counted").alias("counted"))
+    classes = frames.staged(classes.select("c", "n", "counted", "least.did", "least.th"), "classes")
+    sets = _candidates(docs, classes, size, words, share)
+    first = F.slice("elements", 1, F.expr(f"cast(n - ({share} * n + 99) div 100 + 1 - alone as int)"))
+    entries = sets.select("c", "n", "alone", F.posexplode(first).alias("place", "h")).select("c", "n", "h", (F.col("alone") + F.col("place")).alias("p"))
+    labels, links, met, spent = docs.sparkSession.createDataFrame([], "u long, label long"), None, None, [sets]
+    for seed, leaders in enumerate(ROUNDS):
+        pairs = _pairs(entries, labels, sets.select("c", "sketch"), leaders, share, seed)
+        pairs = frames.staged(pairs.join(met, ["a", "b"], "left_anti") if met else pairs, "pairs")
+        found = _links(sets, pairs, share)
+        met, links = (met.union(pairs), links.union(found)) if met else (pairs, found)
+        labels = components.components(links.toDF("u", "v"))
+        spent += [pairs, found, labels]
+    frames.drop(*spent[:-1])
     named = classes.select("c", "did").join(labels.withColumnRenamed("u", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("did").alias("least"))
     named = named.join(least, "label").groupBy("c").agg(F.min("least").alias("least"), F.min("label").alias("component"))
+    named = frames.staged(named, "named")  # so that the join below is of two exchanges, and may split a class of many copies
     out = profile.select("did", "th", "n", "c").join(named, "c", "left")
     own = F.when(F.col("did") != frames.LAST_ID, F.col("did"))
     component = F.when(F.col("n") > 0, F.least("did", "least")).otherwise(F.col("did"))
@@ -385,11 +410,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
     """The rows of docs that stay if one row of each linked group does: the one with the least id
-    (null last). Empty texts all stay; of rows that repeat wholly in id and text one does."""
+    (null last). Empty texts all stay; of rows that repeat wholly in id and text one does, the
+    first by a hash of its other columns."""
     found = join(docs, id_col, text_col, words, share).withColumn("did", frames.id_column(id_col))
     first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("did", "th")).alias("least")).select("least.did", "least.th", F.lit(False).alias("empty"))
     empty = found.where("n_shingles = 0").select("did", "th", F.lit(True).alias("empty")).distinct()
-    keyed = docs.withColumns({"__did": frames.id_column(id_col), "__th": frames.row_key(text_col)})
-    kept = keyed.join(first.union(empty).toDF("__did", "__th", "__empty"), ["__did", "__th"])
-    place = F.row_number().over(Window.partitionBy("__did", "__th").orderBy("__empty"))
-    return kept.withColumn("__place", place).where("__empty OR __place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("own"), frames.id_column(id_col).alias("did"), frames.row_key(text_col).alias("th"))
+    kept = keyed.join(first.union(empty), ["did", "th"])
+    place = F.row_number().over(Window.partitionBy("did", "th").orderBy(F.xxhash64("own")))
+    return kept.withColumn("place", place).where("empty OR place = 1").select("own.*")

@@ -127,7 +127,7 @@ def store(docs: DataFrame, root: str | None = None, id_col: str = "doc_id", text
             out.write(bytes(1024))
             out.close()
 
-    source = docs.select(F.col(id_col).alias("doc"), frames.text_column(text_col).cast("binary").alias("text"))
+    source = frames.small_batches(docs).select(F.col(id_col).alias("doc"), frames.text_column(text_col).cast("binary").alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
     rows = source.mapInArrow(write, f"doc {kind}, n_bytes long, digest string, shard string, offset long, length long")
     return frames.staged(rows, "media-index").withColumn("root", F.lit(root)).withColumnRenamed("doc", id_col)

@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE,
     # of the 4,096 groups in the seeded order of a source, those before the target are taken, those
     # behind it not, and only rows of the one that holds it are sorted
     edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
-    inside = Window.partitionBy("source", "group").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "group").orderBy("draw", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     cut = rows.where(edge).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     cut = cut.withColumn("more", (F.col("at") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("at")
     rest = rows.where(~edge).withColumn("more", (F.col("before") + F.col("words") <= F.col("rest")).cast("long"))
@@ -96,13 +96,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE,
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, epochs: int = EPOCHS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix itself: each row of docs as many times as mix() takes it."""
-    times = mix(docs, weights, share, epochs, seed, id_col, source_col, text_col)
-    times = times.groupBy(frames.id_column(id_col).alias("__did"), F.col("th").alias("__th")).agg(F.sum("repeats").alias("__times"))
-    keyed = docs.withColumns({"__did": frames.id_column(id_col), "__th": frames.row_key(text_col)})
-    place = F.row_number().over(Window.partitionBy("__did", "__th").orderBy(F.lit(0)))
-    once = keyed.withColumn("__place", place).where("__place = 1").join(times.where("__times > 0"), ["__did", "__th"])
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The mix itself: each row of docs as many times as mix() takes it. Of rows equal in id, source
+    and text, those that the mix takes more often are the first by a hash of their other columns.
+    An empty table gives no rows."""
+    same = ["did", "th", "source"]
+    times = mix(docs, weights, share, epochs, seed, id_col, source_col, text_col).where("repeats > 0")
+    times = times.select(frames.id_column(id_col).alias("did"), "th", "source", F.col("repeats").cast("int").alias("repeats"))
+    times = times.withColumn("place", F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("repeats"))))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(own.alias("own"), frames.id_column(id_col).alias("did"), frames.row_key(text_col).alias("th"), F.col(source_col).alias("source"))
+    keyed = keyed.withColumn("place", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("own"))))
+    keys = [F.col(f"k.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*same, "place")]
+    taken = keyed.alias("k").join(times.alias("t"), keys).select("k.own", "t.repeats")
+    return taken.select("own", F.explode(F.sequence(F.lit(1), "repeats"))).select("own.*")
 
 
 def oracle() -> str:

@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 take = pa.array(rows, pa.int64())
                 yield frames.batch(doc=did.take(take), th=th.take(take), start=pa.array(begin, pa.int64()), length=pa.array(length, pa.int64()), ids_crc32=pa.array(crc, pa.int64()), doc_tokens=pa.array(tokens, pa.int64()), ids=pa.array(values, pa.binary()))
 
-    source = docs.select(F.col(id_col).alias("doc"), frames.row_key(text_col).alias("th"), frames.text_column(text_col).alias("text"))
+    source = frames.small_batches(docs).select(F.col(id_col).alias("doc"), frames.row_key(text_col).alias("th"), frames.text_column(text_col).alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
     return source.mapInArrow(cut, f"doc {kind}, th long, start long, length long, ids_crc32 long, doc_tokens long, ids binary").withColumnRenamed("doc", id_col)
 

@@ -416,7 +416,7 @@ def _sample(spec: Spec, docs: DataFrame, size: int, buckets: int) -> np.ndarray:
 def removed_spans(docs: DataFrame, spec: Spec) -> DataFrame:
     """docs: did, th, text and any more columns. Adds `spans`: int64 pairs [start, end) of
     the units to remove, as a list of packed values (null: none)."""
-    size = frames.total_bytes(docs, "text")
+    size = frames.total_bytes(frames.small_batches(docs), "text")
     few, many = size // FILTER_BYTES + 1, size // BUCKET_BYTES + 1
     order = spec.plan(_sample(spec, docs, size, many) if many > 1 else np.zeros((0, spec.gram), np.uint8), many)
     most = SPREAD * BUCKET_BYTES // spec.apart
@@ -425,15 +425,12 @@ def removed_spans(docs: DataFrame, spec: Spec) -> DataFrame:
     # one for each `most` anchors at most, that is 8 bytes for SPREAD * BUCKET_BYTES of text
     hot = np.array([r[0] for r in filtered.where("hot IS NOT NULL").select("hot").collect()], np.int64).view(np.uint64)
     hits = filtered.where("hot IS NULL").groupBy("did", "th").agg(F.collect_list("pos").alias("pos"))
-    # all columns stay, so that this join and the last one share one exchange of docs; a merge join
-    # leaves equal rows side by side
-    contexts = docs.join(hits.hint("merge"), ["did", "th"]).mapInArrow(_context_rows(spec, order, many, hot), "bucket long, payload binary")
-    found = contexts.groupBy("bucket").applyInPandas(_equal_windows(spec, order, many), "slot long, did long, th long, spans binary")
-    if len(hot):
-        found = frames.staged(found, "repeats")
-        across = found.where("slot >= 0").groupBy("slot").applyInPandas(_across(spec), "did long, th long, spans binary")
-        found = found.where("slot < 0").unionByName(across, allowMissingColumns=True)
-    spans = found.groupBy("did", "th").agg(F.collect_list("spans").alias("spans"))
+    # a merge join leaves equal rows side by side
+    contexts = docs.select("did", "th", "text").join(hits.hint("merge"), ["did", "th"]).mapInArrow(_context_rows(spec, order, many, hot), "bucket long, payload binary")
+    found = frames.staged(contexts.groupBy("bucket").applyInPandas(_equal_windows(spec, order, many), "slot long, did long, th long, spans binary"), "repeats")
+    frames.drop(filtered)
+    across = found.where("slot >= 0").groupBy("slot").applyInPandas(_across(spec), "did long, th long, spans binary")
+    spans = found.where("slot < 0").unionByName(across, allowMissingColumns=True).groupBy("did", "th").agg(F.collect_list("spans").alias("spans"))
     return docs.join(spans.hint("merge"), ["did", "th"], "left")
 
 

@@ -312,7 +312,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row for each row of pages: id, url and text, the main text's blocks joined by a line
     feed. Null pages have empty text; pages without a url form one site. Columns not named
     are left out; rows that repeat each count as a page, but equal articles as one."""
-    counted = frames.staged(_counted(pages, url_col, html_col), "style-counts")
+    counted = frames.staged(_counted(frames.small_batches(pages), url_col, html_col), "style-counts")
     enough = (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("host_pages") * LEAST_SHARE)
     low = _nodes(counted).where(enough & (F.col("importance") < IMPORTANT))
     repeated = counted.where("inside AND kind = 'c'").where(F.col("n") >= LEAST_PAGES).select("host", "path", "inside", "feature", "n")

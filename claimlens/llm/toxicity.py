@@ -235,10 +235,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"] for r in rows], [r["label"] for r in rows], (counts.get(0, 0), counts.get(1, 0)))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs and `score`, 0 to 1. Null and empty texts have no window: they get
-    the score of a text without anything toxic."""
-    own = [c for c in docs.columns]
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """All columns of docs and `name` (none of theirs), 0 to 1. Null and empty texts have no window:
+    they get the score of a text without anything toxic. Texts may be of any length; rows that repeat are
+    rows of their own with one score; an empty table gives no rows."""
+    own = frames.small_batches(docs).columns
 
     def rows(batches):
         frames.steady_heap()
@@ -249,7 +250,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 out = [model.score(model.features(text, cuts[at[i] : at[i + 1] + 1])) for i in range(b - a)]
                 yield frames.batch(own=rb.column("own").slice(a, b - a), score=pa.array(out, pa.float64()))
 
-    source = docs.select(F.struct(*(F.col(c) for c in own)).alias("own"), frames.text_column(text_col).alias("text"))
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), frames.text_column(text_col).alias("text"))
     kind = source.schema["own"].dataType.simpleString()
     out = source.mapInArrow(rows, f"own {kind}, score double")
-    return out.select(*(F.col(f"own.`{c}`").alias(c) for c in own), "score")
+    return out.select("own.*", F.col("score").alias(name))

@@ -51,7 +51,9 @@ def test_join(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "BUCKET_BYTES", 5000)
     if seed == 2:
         monkeypatch.setattr(jaccard, "FEW", 0)
-        monkeypatch.setattr(jaccard, "LOOK", 2)
+        monkeypatch.setattr(jaccard, "BLOCK", 7)
+        monkeypatch.setattr(jaccard, "ROUNDS", (1, None))
+        monkeypatch.setattr(jaccard, "FLUSH_ANCHORS", 300)
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, c long")
     got = sorted((repr(r[0]), r["n_shingles"], repr(r["component_id"])) for r in jaccard.join(df).collect())
