@@ -258,7 +258,7 @@ def _context_rows(spec: Spec, order: Order, buckets: int, hot: np.ndarray):
                 keep = np.zeros(len(pos), bool)
                 local = pos - at[text]
                 cuts = np.flatnonzero(np.diff(text, prepend=-1))
-                for s, e in zip(cuts, [*cuts[1:], len(text)], strict=True):
+                for s, e in zip(cuts, np.append(cuts, len(text))[1:], strict=True):
                     if not again[i := a + int(text[s])]:
                         wanted = np.frombuffer(b"".join(hits[i].as_py() or ()), np.int64)
                         keep[s:e] = np.isin(local[s:e], wanted)
@@ -291,7 +291,7 @@ def _context_flush(held):
     o = np.argsort(bucket, kind="stable")
     bucket, arrays = bucket[o], [x[o] for x in arrays]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    payload = [frames.pack(*(x[s:e] for x in arrays), raw=(0,)) for s, e in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+    payload = [frames.pack(*(x[s:e] for x in arrays), raw=(0,)) for s, e in zip(cuts, np.append(cuts, len(bucket))[1:], strict=True)]
     return frames.batch(bucket=pa.array(bucket[cuts].astype(np.int64)), payload=pa.array(payload, pa.binary()))
 
 
@@ -353,7 +353,7 @@ def _equal_windows(spec: Spec, order: Order, buckets: int):
         o = np.argsort(slot, kind="stable")
         slot, i, j, h1, h2 = slot[o], i[o], j[o], h1[o], h2[o]
         cuts = np.flatnonzero(np.diff(slot, prepend=-1))
-        packed = [frames.pack(h1[s:e], h2[s:e], did[i[s:e]], th[i[s:e]], pos[i[s:e]] - j[s:e]) for s, e in zip(cuts, [*cuts[1:], len(slot)], strict=True)]
+        packed = [frames.pack(h1[s:e], h2[s:e], did[i[s:e]], th[i[s:e]], pos[i[s:e]] - j[s:e]) for s, e in zip(cuts, np.append(cuts, len(slot))[1:], strict=True)]
         return pd.concat([frame, pd.DataFrame({"slot": slot[cuts], "did": np.int64(0), "th": np.int64(0), "spans": packed})])
 
     return bucket
