@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,16 +15,41 @@ def block(value: Column) -> list[Column]:
     return [*(F.coalesce(x, F.lit(0.0)).alias(k) for k, x in parts.items()), F.count(v).alias("count")]
 
 
+#: Ranges of values that are ranked apart.
+RANGES = 1024
+
+
+def _quantiles(counts: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """metric, share and value, with linear interpolation, from metric, value (not null) and n, the
+    rows of each value. Values are ranked in ranges, so no task holds more than one's."""
+    ends = counts.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total"))
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1))).otherwise(0)
+    placed = counts.join(F.broadcast(ends), "metric").withColumn("range", place.cast("long"))  # a row for each metric
+    sums = placed.groupBy("metric", "range").agg(F.sum("n").alias("sum"))
+    before = Window.partitionBy("metric").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("metric", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))  # RANGES rows a metric
+    inside = Window.partitionBy("metric", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(sums), ["metric", "range"])
+    at = F.col("base") + F.col("inside")
+    asked = ranked.select("metric", "value", at.alias("at"), (at + F.col("n")).alias("end"), "total", F.explode(F.array(*map(F.lit, shares))).alias("share"))
+    asked = asked.withColumn("rank", (F.col("total") - 1) * F.col("share"))
+    holds = lambda r: (F.col("at") <= r) & (r < F.col("end"))
+    low, high = F.floor("rank"), F.ceil("rank")
+    found = asked.where(holds(low) | holds(high)).groupBy("metric", "share", "rank").agg(F.max(F.when(holds(low), F.col("value"))).alias("a"), F.max(F.when(holds(high), F.col("value"))).alias("b"))
+    return found.select("metric", "share", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - low)).alias("value"))
+
+
 def blocks(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """One row of `block` for each named value: metric and its statistics. Values are counted first,
-    so that no task holds more than the different ones."""
+    """One row of `block` for each named value: metric and its statistics. Values are counted first."""
     named = F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()))
     counts = df.select(F.explode(named).alias("x")).select("x.*").groupBy("metric", "value").agg(F.count("value").alias("n"))
     n, v = F.col("n"), F.col("value")
-    parts = counts.groupBy("metric").agg(F.coalesce(F.sum(v * n) / F.sum(F.when(n > 0, n)), F.lit(0.0)).alias("mean"), F.coalesce(F.min(v), F.lit(0.0)).alias("min"), F.coalesce(F.max(v), F.lit(0.0)).alias("max"), F.sum(n).alias("count"))
-    ranked = counts.join(F.broadcast(parts.select("metric", "mean", "count")), "metric")  # a row for each metric
-    spread = ranked.groupBy("metric").agg(F.coalesce(F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.first("count")), F.lit(0.0)).alias("std"), F.coalesce(F.percentile(v, F.lit(0.5), n), F.lit(0.0)).alias("median"))
-    return parts.join(spread, "metric").select("metric", "mean", "std", "min", "max", "median", "count")
+    parts = counts.groupBy("metric").agg((F.sum(v * n) / F.sum(F.when(n > 0, n))).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(n).alias("count"))
+    off = v - F.col("mean")
+    spread = counts.join(F.broadcast(parts.select("metric", "mean", "count")), "metric").groupBy("metric").agg(F.sqrt(F.sum(n * off * off) / F.first("count")).alias("std"))
+    median = _quantiles(counts.where(n > 0), (0.5,)).select("metric", F.col("value").alias("median"))
+    out = parts.join(F.broadcast(spread), "metric").join(F.broadcast(median), "metric", "left")  # a row for each metric
+    return out.select("metric", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "std", "min", "max", "median")), "count")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
@@ -78,9 +103,9 @@ def pattern_top(df: DataFrame, text: Column, pattern: str, n: int = 20) -> DataF
 
 
 def percentiles(df: DataFrame, value: Column, shares: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row each."""
-    got = df.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("p"))
-    return got.select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("p").alias("value"))).alias("x")).select("x.share", "x.value")
+    """Exact percentiles with linear interpolation, one row each (none without values)."""
+    counts = df.select(F.lit("").alias("metric"), value.cast("double").alias("value")).where("value IS NOT NULL").groupBy("metric", "value").agg(F.count("*").alias("n"))
+    return _quantiles(counts, shares).select("share", "value")
 
 
 def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
