@@ -13,11 +13,16 @@ from claimlens.llm import frames, jaccard, mixing, packing, suffix_array, toxici
 from claimlens.llm.queries import tokenizer_path
 
 
+def free_name(docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    return "_" + max(docs.columns, key=len)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go. It is fitted on labelled rows of this input."""
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model)
-    return scored.where("score < 0.5").select(*docs.columns)
+    score = free_name(docs)
+    return toxicity.score(docs, model, name=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +34,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of long strings that occur earlier leave the texts; documents of which nothing is
     left go, those that were empty before stay. n_chars follows the text."""
     keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = suffix_array.dedup(docs, keep=keep, as_text=True).where("n_removed = 0 OR kept <> ''")
-    cut = cut.withColumn("text", F.col("kept"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    cut = suffix_array.dedup_rows(docs, keep=keep, as_text=True).where("n_removed = 0 OR kept <> ''")
+    length = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("own.n_chars")) if "n_chars" in keep else None
+    changed = {"text": F.col("kept"), "n_chars": length}
+    return cut.select(*(changed.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = frames.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            frames.drop(last)
+        last = docs
     return docs
