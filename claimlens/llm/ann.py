@@ -5,6 +5,11 @@ gives one Hilbert ordering of all vectors (each with a shift of its own). An
 ordering is range-partitioned into cells of equal frequency; a query visits the
 cells around its own place on every curve, and what it meets on all curves is
 merged and ranked by the exact measure. Equal vectors take one place together.
+
+How small cells may be depends on the vectors: a bounded sample is searched both
+ways, exactly and along the curves, and cells are the smallest that keep the
+recall asked for. Where vectors have structure, that share falls as their number
+grows, and so does the part of the table that a query visits.
 """
 
 from __future__ import annotations
@@ -19,10 +24,13 @@ from pyspark.sql import functions as F
 
 from . import frames, units
 
-#: Curves, dimensions of each, bits of a dimension, cells of a curve, cells visited to either side.
-CURVES, DIMS, BITS, CELLS, AROUND = 16, 4, 8, 64, 2
-#: Vectors that the rotation's scale and the cells' borders come from; vectors in one group of a join.
-SAMPLE, GROUP = 20_000, 20_000
+#: Curves, dimensions of each, bits of a dimension, cells visited to either side.
+CURVES, DIMS, BITS, AROUND = 16, 4, 8, 2
+#: Vectors that the rotation's scale and the cells' borders come from, those of them that are searched
+#: both ways, and the recall to keep; vectors in one group of a join, and queries.
+SAMPLE, TRIED, RECALL, GROUP, ASKED = 20_000, 300, 0.94, 20_000, 2_000
+#: Cells of a curve at least (if there are vectors enough) and at most.
+FEWEST, MOST = 32, 2048
 #: Different vectors that a cell has at least; small tables have fewer cells.
 LEAST = 8
 
@@ -96,7 +104,7 @@ def usable(vector: str = "embedding"):
     return v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0)
 
 
-def fit(vectors: np.ndarray, seed: int = 5, cells: int = CELLS) -> Index:
+def fit(vectors: np.ndarray, seed: int = 5, cells: int = FEWEST) -> Index:
     """An index from a sample of vectors; it only places cells, every vector gets a place."""
     dims = vectors.shape[1]
     rng = np.random.default_rng(seed)
@@ -106,9 +114,47 @@ def fit(vectors: np.ndarray, seed: int = 5, cells: int = CELLS) -> Index:
     y = unit @ rotation
     low, high = np.quantile(y, 0.001, axis=0), np.quantile(y, 0.999, axis=0)
     index = Index(rotation, low, np.maximum(high, low + 1e-9), rng.uniform(0, 1, y.shape[1]), [])
-    keys = np.sort(index.keys(vectors), axis=0)
+    index.borders = borders(np.sort(index.keys(vectors), axis=0), cells)
+    return index
+
+
+def borders(keys: np.ndarray, cells: int) -> list[np.ndarray]:
+    """Keys between cells of equal frequency, from sorted keys by curve."""
     at = np.arange(1, cells) * len(keys) // cells
-    index.borders = [keys[at, c] for c in range(CURVES)]
+    return [keys[at, c] for c in range(keys.shape[1])]
+
+
+def _kept(index: Index, unit: np.ndarray, keys: np.ndarray, k: int) -> int:
+    """The most cells for which searches among these vectors keep the recall."""
+    asked = np.arange(0, len(unit), max(1, len(unit) // TRIED))[:TRIED]
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    best = np.argpartition(-near, k, axis=1)[:, :k]
+    order = np.sort(keys, axis=0)
+    cells = FEWEST
+    while (more := cells * 5 // 4) <= min(MOST, len(unit) // LEAST):
+        tried = Index(index.rotation, index.low, index.high, index.shift, borders(order, more))
+        lo, hi = tried.around(keys[asked])
+        at = tried.cells(keys)
+        met = ((at[best] >= lo[:, None]) & (at[best] <= hi[:, None])).any(axis=2)
+        if met.mean() < RECALL:
+            break
+        cells = more
+    return cells
+
+
+def calibrated(vectors: np.ndarray, n: int, k: int) -> Index:
+    """An index of n vectors from a sample of them. Its cells are as many as keep the recall in the
+    sample, and grow beyond it as they did from a quarter of the sample to all of it."""
+    index = fit(vectors, cells=max(1, min(FEWEST, n // LEAST + 1)))
+    if len(vectors) <= 2 * FEWEST * LEAST:
+        return index
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    keys = index.keys(vectors)
+    few, cells = _kept(index, unit[::4], keys[::4], k), _kept(index, unit, keys, k)
+    power = float(np.clip(np.log(cells / few) / np.log(4), 0, 1))
+    cells = int(min(MOST, cells * max(1.0, n / len(vectors)) ** power))
+    index.borders = borders(np.sort(keys, axis=0), cells)
     return index
 
 
@@ -130,9 +176,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     classes = classes.select(F.col("ids")[0].alias("id"), "ids", "v")
     n = classes.count()
     sampled = classes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).select("v").collect()
-    cells = min(CELLS, n // LEAST + 1)
-    index = fit(np.array([r["v"] for r in sampled] or [[1.0] * size]), cells=cells)
+    index = calibrated(np.array([r["v"] for r in sampled] or [[1.0] * size]), n, k)
+    cells = len(index.borders[0]) + 1
     groups = n // (cells * GROUP) + 1
+    parts = clean[1].count() // (cells * ASKED) + 1
 
     def places(query: bool):
         def rows(batches):
@@ -159,7 +206,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                 for s in range(0, len(row), 20_000):
                     e = slice(s, s + 20_000)
                     held = {} if query else {"ids": rb.column("ids").take(pa.array(row[e]))}
-                    yield frames.batch(place=pa.array((curve[e] * CELLS + cell[e]) * groups + group[e]), id=pa.array(ids[row[e]]), **held, v=rb.column("v").take(pa.array(row[e])))
+                    part = (units.mix(ids[row[e]].astype(np.uint64)) % np.uint64(parts)).astype(np.int64) if query else np.zeros(0, np.int64)
+                    yield frames.batch(**({"part": pa.array(part)} if query else {}), place=pa.array((curve[e] * cells + cell[e]) * groups + group[e]), id=pa.array(ids[row[e]]), **held, v=rb.column("v").take(pa.array(row[e])))
 
         return rows
 
@@ -188,9 +236,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                     out["ids"].append(held[near][best])
         return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, object if c == "ids" else float) for c, x in out.items()}).astype({"query_id": "int64", "class": "int64"})
 
-    have = classes.mapInArrow(places(False), "place long, id long, ids array<long>, v array<double>")
-    want = clean[1].mapInArrow(places(True), "place long, id long, v array<double>")
-    found = have.groupBy("place").cogroup(want.groupBy("place")).applyInPandas(meet, "query_id long, class long, score double, ids array<long>")
+    have = classes.mapInArrow(places(False), "place long, id long, ids array<long>, v array<double>").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    want = clean[1].mapInArrow(places(True), "part long, place long, id long, v array<double>")
+    found = have.groupBy("place", "part").cogroup(want.groupBy("place", "part")).applyInPandas(meet, "query_id long, class long, score double, ids array<long>")
     found = found.dropDuplicates(["query_id", "class"])
     near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "class"))
     found = found.withColumn("near", near).where(F.col("near") <= k + 1).select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")

@@ -46,10 +46,85 @@ SENTENCES: dict[int, str] = {
     52: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     53: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
-# Other forms of known sentences.
-FORMS: dict[str, int] = {"licensed under the apache license version 2 0 the license": 2}
+# Names of licenses that the sentences above know too, by the id of one of these.
+NAMES: dict[int, tuple[str, ...]] = {
+    5: ("mit license", "expat license"),
+    2: ("apache license version 2 0", "apache license 2 0", "apache 2 0 license"),
+    3: ("gnu general public license version 3", "gnu gpl version 3", "gpl 3 0", "gplv3"),
+    4: ("creative commons attribution noncommercial 4 0 international license",),
+    6: ("creative commons attribution 4 0 international license", "cc by 4 0 license"),
+    7: ("creative commons attribution sharealike 4 0 international license", "cc by sa 4 0 license"),
+    14: ("bsd 3 clause license", "new bsd license", "modified bsd license"),
+}
+# Identifiers and names of further licenses.
+MORE: list[tuple[str, tuple[str, ...]]] = [
+    ("BSD-2-Clause", ("bsd 2 clause license", "simplified bsd license")),
+    ("0BSD", ("bsd zero clause license",)),
+    ("ISC", ("isc license",)),
+    ("Zlib", ("zlib license",)),
+    ("BSL-1.0", ("boost software license version 1 0", "boost software license 1 0")),
+    ("MPL-2.0", ("mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0")),
+    ("MPL-1.1", ("mozilla public license version 1 1",)),
+    ("GPL-2.0-only", ("gnu general public license version 2", "gplv2")),
+    ("GPL-2.0-or-later", ("gnu general public license version 2 or later",)),
+    ("LGPL-2.1-only", ("gnu lesser general public license version 2 1",)),
+    ("LGPL-2.1-or-later", ("gnu lesser general public license version 2 1 or later",)),
+    ("LGPL-3.0-only", ("gnu lesser general public license version 3", "lgplv3")),
+    ("LGPL-3.0-or-later", ("gnu lesser general public license version 3 or later",)),
+    ("AGPL-3.0-only", ("gnu affero general public license version 3", "agplv3")),
+    ("AGPL-3.0-or-later", ("gnu affero general public license version 3 or later",)),
+    ("EPL-1.0", ("eclipse public license version 1 0",)),
+    ("EPL-2.0", ("eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v 2 0")),
+    ("CDDL-1.0", ("common development and distribution license version 1 0",)),
+    ("EUPL-1.2", ("european union public licence version 1 2", "eupl v1 2")),
+    ("Artistic-2.0", ("artistic license 2 0",)),
+    ("Unlicense", ("unlicense",)),
+    ("WTFPL", ("do what the fuck you want to public license",)),
+    ("CC0-1.0", ("cc0 1 0 universal public domain dedication", "cc0 1 0 license", "creative commons zero v1 0 universal license")),
+    ("CC-BY-3.0", ("creative commons attribution 3 0 unported license", "creative commons attribution 3 0 license")),
+    ("CC-BY-SA-3.0", ("creative commons attribution sharealike 3 0 unported license", "creative commons attribution sharealike 3 0 license")),
+    ("CC-BY-ND-4.0", ("creative commons attribution noderivatives 4 0 international license",)),
+    ("CC-BY-NC-SA-4.0", ("creative commons attribution noncommercial sharealike 4 0 international license",)),
+    ("CC-BY-NC-ND-4.0", ("creative commons attribution noncommercial noderivatives 4 0 international license",)),
+    ("ODbL-1.0", ("open database license v1 0", "open data commons open database license")),
+    ("PDDL-1.0", ("open data commons public domain dedication and license",)),
+    ("OFL-1.1", ("sil open font license version 1 1", "sil open font license 1 1")),
+    ("Python-2.0", ("python software foundation license version 2",)),
+    ("PostgreSQL", ("postgresql license",)),
+    ("PHP-3.01", ("php license version 3 01",)),
+    ("Ruby", ("ruby license",)),
+    ("OpenSSL", ("openssl license",)),
+    ("Apache-1.1", ("apache software license version 1 1",)),
+    ("MS-PL", ("microsoft public license",)),
+]
+# Sentences that name a license, {} being its name.
+NAMING = (
+    "licensed under the {}", "licensed under {}", "released under the {}", "distributed under the {}", "available under the {}", "published under the {}",
+    "this work is licensed under the {}", "this work is licensed under a {}", "this file is licensed under the {}", "this project is licensed under the {}",
+    "this software is licensed under the {}", "this library is licensed under the {}", "this code is licensed under the {}", "this program is licensed under the {}",
+    "this project is licensed under the terms of the {}", "licensed under the terms of the {}", "released under the terms of the {}", "distributed under the terms of the {}",
+)
+#: Ids of sentences that name the licenses of MORE, in their order, start here.
+FIRST = 1000
+
+
+def forms() -> dict[str, int]:
+    """All known sentences, normalised: SENTENCES, and by rule those that name a license."""
+    out = {x: i for i, x in SENTENCES.items()} | {"licensed under the apache license version 2 0 the license": 2}
+    for i, names in NAMES.items():
+        for name in names:
+            for naming in NAMING:
+                out.setdefault(naming.format(name), i)
+    for k, (spdx, names) in enumerate(MORE):
+        out.setdefault("spdx license identifier " + "".join(c if c.isalnum() else " " for c in spdx.lower()), FIRST + k)
+        for name in names:
+            for naming in NAMING:
+                out.setdefault(naming.format(name), FIRST + k)
+    return out
+
+
 # Each known sentence holds one of these.
-KEYWORDS = ("licens", "permission", "copyright", "warrant", "redistribut", "free software")
+KEYWORDS = ("licens", "permission", "copyright", "warrant", "redistribut", "free software", "gpl", "eupl", "licenc", "cc0")
 # Rules in order: license and the ids that must follow one another, gaps allowed.
 RULES: list[tuple[str, tuple[int, ...]]] = [
     ("MIT-text", (20, 21, 22)),
@@ -85,8 +160,7 @@ def sentence_ids(text: Column) -> Column:
     likely = F.lit(False)
     for word in KEYWORDS:
         likely = likely | F.contains(low, F.lit(word))
-    forms = {x: i for i, x in SENTENCES.items()} | FORMS
-    known = F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))
+    known = F.map_from_arrays(F.split(F.lit("|".join(forms())), "[|]"), F.split(F.lit("|".join(map(str, forms().values()))), "[|]").cast("array<int>"))
 
     def clauses(sentence: Column) -> Column:
         clean = F.transform(F.split(sentence, _SOFT), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
@@ -94,7 +168,14 @@ def sentence_ids(text: Column) -> Column:
 
     # "| clause | clause |. | clause |": a known sentence stands between bars, and may hold some
     marked = F.concat(F.lit("| "), F.array_join(F.transform(F.split(low, _STOPS), clauses), " |. | "), F.lit(" |"))
-    any_known = "|".join(x.replace(" ", r"(?: \|)? ") for x in sorted(forms, key=len, reverse=True))
+    # what names a license is one of NAMING with one of the names
+    names = [name for _, some in (*NAMES.items(), *MORE) for name in some]
+    rest = [x for x in forms() if not any(x == naming.format(name) for naming in NAMING for name in names)]
+
+    def any_of(some: list[str]) -> str:
+        return "|".join(sorted(some, key=len, reverse=True))
+
+    any_known = rf"{any_of(rest)}|(?:{any_of([x.removesuffix(' {}') for x in NAMING])}) (?:{any_of(names)})".replace(" ", r"(?: \|)? ")
     found = F.regexp_extract_all(marked, F.lit(rf"(?<=\| )(?:{any_known})(?= \|)"), F.lit(0))
     return F.when(likely, F.transform(found, lambda s: known[F.replace(s, F.lit(" |"), F.lit(""))]))
 
@@ -109,15 +190,20 @@ def _matches(sequence: str) -> str:
     A license's text or header stands for its name as well."""
     names = list(dict.fromkeys(n for n, _ in RULES))
     parts = [f"CASE WHEN {' OR '.join(_holds(sequence, ids) for n, ids in RULES if n == name)} THEN '{name}' END" for name in names]
-    return f"concat_ws(',', {', '.join(parts)})"
+    return f"concat_ws(',', {', '.join(parts)}, named)"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_known (license sentences), sentence_ids (joined by a
-    comma, in the order of the text) and licenses (joined by a comma, in the order of RULES).
-    Null and empty texts have none: 0 and empty strings. Other columns are left out."""
+    comma, in the order of the text) and licenses (joined by a comma, in the order of RULES and
+    MORE). Null and empty texts have none: 0 and empty strings. Texts may be of any length; rows
+    that repeat are rows of their own; an empty table gives no rows. Other columns are left out."""
     ids = docs.select(F.col(id_col), sentence_ids(F.col(text_col).cast("string")).alias("ids"))
-    flat = ids.select(id_col, F.coalesce(F.size("ids"), F.lit(0)).alias("n"), F.array_join(F.transform("ids", lambda i: F.concat(F.lit(","), i.cast("string"), F.lit(","))), "").alias("sequence"))
+    # further licenses in the order of MORE; null, if there are none
+    further = F.array_sort(F.array_distinct(F.transform(F.filter("ids", lambda i: i >= FIRST), lambda i: i - FIRST)))
+    names = F.split(F.lit(",".join(n for n, _ in MORE)), ",")
+    named = F.when(F.size(further) > 0, F.array_join(F.transform(further, lambda i: F.get(names, i)), ","))
+    flat = ids.select(id_col, named.alias("named"), F.coalesce(F.size("ids"), F.lit(0)).alias("n"), F.array_join(F.transform("ids", lambda i: F.concat(F.lit(","), i.cast("string"), F.lit(","))), "").alias("sequence"))
     return flat.select(
         id_col,
         F.greatest(F.col("n"), F.lit(0)).cast("long").alias("n_known"),
@@ -129,14 +215,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def oracle() -> str:
     """For DuckDB, over documents whose known sentences each stand in one line and clause."""
     keys = " OR ".join(f"contains(low, '{w}')" for w in KEYWORDS)
-    known = ", ".join(f"'{s}': {i}" for i, s in SENTENCES.items())
-    some = ", ".join(f"'{s}'" for s in SENTENCES.values())
+    known = ", ".join(f"'{s}': {i}" for s, i in forms().items())
+    some = ", ".join(f"'{s}'" for s in forms())
+    names = ", ".join(f"'{n}'" for n, _ in MORE)
+    further = f"list_sort(list_distinct(list_transform(list_filter(ids, lambda i: i >= {FIRST}), lambda i: i - {FIRST})))"
     return f"""
     WITH low AS (SELECT doc_id, translate(text, '{_UPPER}', '{_LOWER}') AS low FROM documents),
     clean AS (SELECT doc_id, CASE WHEN {keys} THEN list_transform(regexp_split_to_array(low, '{_ENDS}'),
         lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) END AS ss FROM low),
     ids AS (SELECT doc_id, list_transform(list_filter(ss, lambda s: s IN ({some})), lambda s: MAP {{{known}}}[s]) AS ids FROM clean),
     flat AS (SELECT doc_id, coalesce(len(ids), 0) AS n_known, array_to_string(ids, ',') AS joined,
-        array_to_string(list_transform(ids, lambda i: ',' || i || ','), '') AS sequence FROM ids)
+        array_to_string(list_transform(ids, lambda i: ',' || i || ','), '') AS sequence,
+        CASE WHEN len({further}) > 0 THEN array_to_string(list_transform({further}, lambda i: ([{names}])[i + 1]), ',') END AS named FROM ids)
     SELECT doc_id, n_known::BIGINT AS n_known, coalesce(joined, '') AS sentence_ids, {_matches('sequence')} AS licenses FROM flat
     """

@@ -2,8 +2,9 @@
 
 Each task writes tar shards to a shared folder; a member is a PNG image of 8-bit
 grey samples, named by the payload's digest, and stands once in a shard. Rows
-carry shard, digest, offset and length. Metadata columns come from range reads
-of the members' first bytes; features from the samples read back.
+carry shard, digest, offset and length; all rows of one digest name the same
+member, the first of those that tasks have written. Metadata columns come from
+range reads of the members' first bytes; features from the samples read back.
 """
 
 from __future__ import annotations
@@ -91,7 +92,10 @@ def store(docs: DataFrame, root: str | None = None, id_col: str = "doc_id", text
     shard, offset and length (of the member's data in the shard).
 
     root: a folder that all machines share, by default one in spark.checkpoint.dir.
-    An attempt that is lost leaves a shard that no row names. Null texts are empty.
+    An attempt that is lost leaves a shard that no row names, and so may copies of one payload in
+    other tasks' shards. Null texts are empty and have a payload like any other; texts may be of any
+    length. Rows that repeat an id are rows of their own; equal texts have equal addresses, the
+    least by shard and offset. An empty table gives no rows. Other columns are left out.
     """
     root = root or f"{frames.checkpoint_root(docs.sparkSession)}/media-{uuid.uuid4().hex}"
 
@@ -130,11 +134,17 @@ def store(docs: DataFrame, root: str | None = None, id_col: str = "doc_id", text
     source = frames.small_batches(docs).select(F.col(id_col).alias("doc"), frames.text_column(text_col).cast("binary").alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
     rows = source.mapInArrow(write, f"doc {kind}, n_bytes long, digest string, shard string, offset long, length long")
-    return frames.staged(rows, "media-index").withColumn("root", F.lit(root)).withColumnRenamed("doc", id_col)
+    written = frames.staged(rows, "media-written")
+    first = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("first"))
+    index = written.select("doc", "n_bytes", "digest").join(first, "digest").select("doc", "n_bytes", "digest", "first.*")
+    index = frames.staged(index, "media-index")
+    frames.drop(written)
+    return index.withColumn("root", F.lit(root)).withColumnRenamed("doc", id_col)
 
 
 def _by_shard(stored: DataFrame, each, schema: str) -> DataFrame:
-    """Rows of each shard in the order of offsets, the shard open: each(file, rows) -> columns."""
+    """Members of each shard in the order of offsets, the shard open: each(file, members) -> columns.
+    Members are read once for all rows that name them."""
 
     def rows(batches):
         file, opened = None, None
@@ -148,45 +158,51 @@ def _by_shard(stored: DataFrame, each, schema: str) -> DataFrame:
     return stored.repartition("shard").sortWithinPartitions("shard", "offset").mapInPandas(rows, schema)
 
 
-def with_metadata(stored: DataFrame) -> DataFrame:
-    """Adds width, height, depth and colour, from each member's header alone."""
-    names, own = ["width", "height", "depth", "colour"], stored.columns[0]
-    kind = stored.schema[own].dataType
+_PLACE = ["root", "shard", "offset", "length", "digest"]
+
+
+def members(stored: DataFrame) -> DataFrame:
+    """The different members that rows of store() name."""
+    return stored.select(*_PLACE).distinct()
+
+
+def with_metadata(found: DataFrame) -> DataFrame:
+    """Adds width, height, depth and colour to members, each from a range read of its header alone."""
+    names = ["width", "height", "depth", "colour"]
 
     def each(file, group):
-        seen = {}
-        for at in group["offset"].unique():
+        heads = []
+        for at in group["offset"]:
             file.seek(int(at))
-            seen[at] = header(file.read(HEADER))
-        return group.assign(**{k: [seen[a][k] for a in group["offset"]] for k in names})
+            heads.append(header(file.read(HEADER)))
+        return group.assign(**{k: [h[k] for h in heads] for k in names})
 
-    stored = stored.withColumn(own, F.col(own).cast("string"))  # pandas has no null integers
-    out = _by_shard(stored, each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema) + ", width long, height long, depth long, colour long")
-    return out.withColumn(own, F.col(own).cast(kind))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    return _by_shard(found, each, f"{kinds}, width long, height long, depth long, colour long")
 
 
 def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Features of the stored bytes of each row: id, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32 (of the last 32 bytes), media_bytes, media_sha256 and feature. A payload
-    that isn't the one its row names raises."""
+    tail_crc32 (of the last 32 bytes), media_bytes, media_sha256, feature, and the metadata
+    columns. A payload that isn't the one its row names raises, as does one whose size isn't
+    what its header says."""
 
     def each(file, group):
-        seen = {}
-        for at, size, digest in group[["offset", "length", "digest"]].drop_duplicates("offset").itertuples(index=False):
+        rows = []
+        for at, size, digest, *head in group[["offset", "length", "digest", "width", "height", "depth", "colour"]].itertuples(index=False):
             file.seek(int(at))
             data = file.read(int(size))
             samples = decode(data)
             found = hashlib.sha256(samples).hexdigest()
-            if found != digest:
+            head = dict(zip(("width", "height", "depth", "colour"), head, strict=True))
+            if found != digest or len(samples) != head["width"] * head["height"]:
                 raise ValueError(f"{digest} reads back as {found}")
-            seen[at] = (len(samples), found, zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples, header(data[:HEADER])))
-        rows = [seen[a] for a in group["offset"]]
+            rows.append((len(samples), found, zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples, head)))
         out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-        out.insert(0, "n_bytes", group["n_bytes"].to_numpy())
-        out.insert(0, id_col, group[id_col].to_numpy())
+        for k in ("width", "height", "depth", "colour"):
+            out[k] = group[k].to_numpy()
         return out
 
-    kind = stored.schema[id_col].dataType
-    stored = stored.withColumn(id_col, F.col(id_col).cast("string"))  # pandas has no null integers
-    out = _by_shard(stored, each, f"`{id_col}` string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return out.withColumn(id_col, F.col(id_col).cast(kind))
+    read = _by_shard(with_metadata(members(stored)), each, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, depth long, colour long")
+    out = stored.select(F.col(id_col), "n_bytes", "digest").join(read, F.col("digest") == F.col("payload_sha256"))
+    return out.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "colour")

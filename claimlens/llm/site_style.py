@@ -67,7 +67,7 @@ def _node(tag: str, attributes: str, parent: Node) -> Node:
             if key in ("class", "id"):
                 if tag not in ("html", "body", "main"):
                     aside = aside or any(w in NAMES for w in _PARTS.findall(value))
-                name = name or value.split(" ")[0][:40]
+                name = name or value.split(" ")[0]
             elif key == "role":
                 aside = aside or value in ROLES
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
@@ -75,7 +75,9 @@ def _node(tag: str, attributes: str, parent: Node) -> Node:
     if tag == "header" and not parent.main:
         aside = True
     label = f"{tag}.{name}" if name else tag
-    return Node(tag, f"{parent.path}/{label}"[-400:], aside and tag != "article", parent.main or tag in ("article", "main"))
+    path = f"{parent.path}/{label}"
+    # long paths by their hash: different nodes stay different
+    return Node(tag, path if len(path) <= 400 else f"#{hash_of(path)}", aside and tag != "article", parent.main or tag in ("article", "main"))
 
 
 def parse(page: str) -> Node:

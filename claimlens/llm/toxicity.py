@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import frames, units
 
-#: Labelled rows of each class, by the order of a hash, and bytes of a text that is fitted on.
-SAMPLE, SAMPLE_BYTES = 2000, 1 << 15
+#: Labelled rows of each class that are fitted on at most, whole, by the order of a hash.
+SAMPLE = 2000
 #: Words of a window, bytes of a gram, texts that must share it.
 WORDS, GRAM, LEAST = 4, 5, 5
 #: Least log odds of a gram in toxic texts, and their z-value; the best calibrated pair is taken.
@@ -139,10 +139,11 @@ def shared_passages(toxic: list[bytes], ordinary: list[bytes]) -> dict[tuple[flo
                     mine.add(x[i : j + GRAM - 1])
                 i = j + 1
             held.update(mine)
-        passages: list[bytes] = []
-        for p in sorted((p for p, n in held.most_common(4000) if n >= 3), key=lambda p: (-len(p), p)):
-            if not any(p in q for q in passages):
+        passages, known = [], b""
+        for p in sorted((p for p, n in held.items() if n >= 3), key=lambda p: (-len(p), p)):
+            if p not in known:  # nor part of a longer one
                 passages.append(p)
+                known += p + b"\0"
         passages.sort(key=lambda p: (held[p], p))
         out[least] = b"".join(passages)
     return out
@@ -223,14 +224,16 @@ def fold(id_col: str = "doc_id") -> Column:
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the labelled rows that are not held out: SAMPLE of each class at most, in the
-    order of a hash, and of these the texts of at most SAMPLE_BYTES."""
+    order of a hash. An id that labels repeat is toxic if one row says so; of documents that
+    repeat an id the least text counts. Null texts are empty. Labels other than 0 and 1 don't
+    count; without any labelled row all scores are a half."""
     kept = labels.where((fold(id_col) != 0) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     counts = {r[0]: r[1] for r in kept.groupBy("label").count().collect()}
     order = F.xxhash64(id_col)
     some = [kept.where(F.col("label") == k).orderBy(order, id_col).limit(SAMPLE) for k in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 * SAMPLE rows at most
-    texts = docs.select(id_col, F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(chosen, id_col).select(order.alias("o"), "text", "label").limit(4 * SAMPLE).collect()
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(chosen, id_col)
+    rows = texts.groupBy(id_col, "label").agg(F.min("text").alias("text")).select(order.alias("o"), F.coalesce("text", F.lit("")).alias("text"), "label").collect()
     rows.sort(key=lambda r: (r["o"], r["text"]))
     return fit([r["text"] for r in rows], [r["label"] for r in rows], (counts.get(0, 0), counts.get(1, 0)))
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from claimlens.llm import mixing, packing
@@ -97,3 +98,18 @@ def test_sequences_hold_the_texts(spark):
     assert [ids[i] for i in range(4)] == [model.encode(t or "", add_special_tokens=False).ids + [packing.END_ID] for t in texts]
     for placed in filled.values():
         assert [o for o, _ in sorted(placed)] == np.cumsum([0] + [len(x) for _, x in sorted(placed)])[:-1].tolist()
+
+
+def test_stages_keep_columns_of_any_names(spark, folder):
+    """Columns that have the names of a stage's own, repeated rows and an empty table."""
+    from tests.llm.test_queries import CLASHES
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(30)
+    docs = docs.union(docs.limit(2)).select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASHES.split())))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.count() > 0, name
+        assert out.select(*CLASHES.split()).distinct().collect() == docs.select(*CLASHES.split()).distinct().collect()
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0

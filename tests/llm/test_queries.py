@@ -1,6 +1,8 @@
 """Operators on small tables: brute force, or the same in SQL, and odd rows."""
 
 import hashlib
+import os
+import random
 import re
 import struct
 import zlib
@@ -128,11 +130,21 @@ def test_licenses_in_wrapped_texts(spark):
     assert [got[i] for i in range(len(LICENSED))] == [want for _, want in LICENSED]
 
 
-@pytest.mark.parametrize("i", licenses.SENTENCES)
-def test_each_license_sentence_wrapped(spark, i):
-    words = licenses.SENTENCES[i].split(" ")
-    text = "Before.\n# " + "\n# ".join(" ".join(words[s : s + 5]) for s in range(0, len(words), 5)) + ".\n# After"
-    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["sentence_ids"] == str(i)
+def test_each_license_sentence_wrapped(spark):
+    known = licenses.forms()
+    assert len(known) > 800
+    rows = []
+    for i, sentence in enumerate(known):
+        words = sentence.split(" ")
+        rows.append((i, "Before.\n# " + "\n# ".join(" ".join(words[s : s + 5]) for s in range(0, len(words), 5)) + ".\n# After"))
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [str(k) for k in known.values()]
+
+
+def test_named_licenses(spark):
+    texts = ["This project is licensed under the Mozilla Public License, Version 2.0.\n# SPDX-License-Identifier: MIT", "SPDX-License-Identifier: ISC\nDistributed under the ISC License.\nLicensed under the zlib license; see there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["licenses"] for r in licenses.scan(df).orderBy("doc_id").collect()] == ["MIT,MPL-2.0", "ISC,Zlib"]
 
 
 def test_mixing(docs):
@@ -208,7 +220,7 @@ def test_media(docs, tmp_path):
         data = [media.payload((t or "").encode()) for t in texts]
         i = next(i for i, d in enumerate(data) if hashlib.sha256(d).hexdigest() == r["payload_sha256"])
         assert r["n_bytes"] == len((texts[i] or "").encode()) and r["payload_bytes"] == len(data[i]) and r["tail_crc32"] == zlib.crc32(data[i][-32:])
-    assert {r["width"] for r in media.with_metadata(stored).collect()} == {576}
+    assert {r["width"] for r in media.with_metadata(media.members(stored)).collect()} == {576}
     import tarfile
 
     for f in (tmp_path / "media").glob("*.tar"):
@@ -308,3 +320,153 @@ def test_toxicity_on_tables(spark, docs):
     scored = toxicity.score(docs, toxicity.fit_on(docs, labels)).collect()
     assert len(scored) == len(ROWS) and all(0 <= r[-1] <= 1 for r in scored)
     assert re.match(r"\d", str(scored[0][-1]))
+
+
+def test_recall_and_work_of_neighbours(spark):
+    """Vectors with structure: few are met, and nearly all nearest found; also along copies of a vector."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(40, 32))
+    v = base[r.integers(0, 40, 6000)] + 0.05 * r.normal(size=(6000, 32))
+    v[:500] = v[0]
+    index = ann.calibrated(v, len(v), 5)
+    lo, hi = index.around(index.keys(v[::50]))
+    at = index.cells(index.keys(v))
+    met = ((at[None] >= lo[:, None]) & (at[None] <= hi[:, None])).any(axis=2).mean()
+    assert met < 0.5 and len(index.borders[0]) + 1 > ann.FEWEST
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(len(v))], "vec_id long, embedding array<double>")
+    got = {}
+    for x in ann.search(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"]))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = wanted = 0
+    for q in range(0, 6000, 50):
+        score = np.round(unit @ unit[q], 12)
+        score[q] = -2
+        best = np.lexsort((np.arange(6000), -score))[:5]
+        found += len({i for _, i in got[q]} & set(best.tolist()))
+        wanted += 5
+        if q < 500:
+            assert [i for _, i in sorted(got[q])] == [i for i in range(6) if i != q][:5]
+    assert found >= 0.9 * wanted
+
+
+def test_rows_equal_in_id_and_text_keep_their_own_columns(spark):
+    rows = [(1, "a b c", "s1", 0), (1, "a b c", "s2", 1), (1, "a b c", "s2", 2), (None, None, None, 3), (2, "d " * 30, "s1", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repeats int")
+    got = mixing.repeated(df)
+    times = sorted(r["repeats"] for r in mixing.mix(df).collect())
+    by_row = {r["repeats"]: r["count"] for r in got.groupBy("repeats").count().collect()}
+    assert got.columns == df.columns and sorted([*by_row.values(), *([0] * (5 - len(by_row)))]) == times
+    assert {(r["source"], r["repeats"]) for r in got.collect()} <= {(s, k) for _, _, s, k in rows}
+
+
+def test_all_queries_on_empty_tables(spark, tmp_path):
+    for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("embeddings", "vec_id long, embedding array<float>, label int"), ("pages", "page_id long, url string, html string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.queries().items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
+CLASHES = "n_words n_removed kept n_bytes n_spans n_shingles component_id component score size source_size target taken repeats th did own spans bucket digest place c h label"
+
+
+def test_all_queries_with_clashing_columns_and_odd_rows(spark, tmp_path):
+    """Extra columns of the results' and inner names; null ids, texts and vectors, repeated rows, a long text."""
+    extra = CLASHES.split()
+    texts = [None, "", " ", "a", "one two three four five six", "x " * 60_000, "The same text. " * 20, "The same text. " * 20]
+    docs = [(i if i != 3 else None, t, "en", f"s{i % 2}" if i else None, 1, *(["z"] * len(extra))) for i, t in enumerate(texts)]
+    docs.append(docs[-1])
+    names = " string, ".join(extra) + " string"
+    spark.createDataFrame(docs, f"doc_id long, text string, lang string, source string, n_chars long, {names}").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (6, None, 1), (None, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    vectors = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (None, [1.0, 1.0]), (3, [1.0, None]), (4, [0.0, 2.0])]
+    spark.createDataFrame([(*v, *(["z"] * len(extra))) for v in vectors], f"vec_id long, embedding array<float>, {names}").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pages = [(1, "http://a/x", "<p>one</p>"), (None, None, None), (2, "", ""), (2, "", ""), (3, "::", "<div>" * 5000 + "deep")]
+    spark.createDataFrame([(*p, *(["z"] * len(extra))) for p in pages], f"page_id long, url string, html string, {names}").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {name: query(spark, str(tmp_path)).count() for name, query in queries.queries().items()}
+    assert rows["op4_html_extraction"] == len(pages) and rows["op3_nearest_neighbours"] == 4
+    assert {rows[n] for n in ("op1_substring_dedup", "op2_toxicity", "op6_suffix_array_dedup", "op7_jaccard_join", "op8_media_columns", "op9_license_scan", "op10_source_mix")} == {len(docs)}
+
+
+CONTRACT = {
+    "op1_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op2_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op3_nearest_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
+    "op4_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
+    "op5_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op6_suffix_array_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op7_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op8_media_columns": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op10_source_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+}
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tables"))
+    r = random.Random(21)
+    vocab = [f"w{i}" for i in range(300)]
+    shared = [" ".join(r.choice(vocab) for _ in range(n)) for n in (55, 80, 130)]
+    rows = [(None, None), (0, ""), (1, shared[2]), (2, shared[2]), (3, "few words")]
+    for i in range(4, 60):
+        own = [" ".join(r.choice(vocab) for _ in range(r.randint(0, 90))) for _ in range(2)]
+        rows.append((i, r.choice(["", r.choice(shared) + r.choice([" ", "\n"])]).join(own) + ("" if i % 6 else " moron scum")))
+    rows += [(100 + i, rows[i][1] + " more") for i in range(5, 25)]
+    spark.createDataFrame([(d, t, "en", f"s{i % 3}", 0) for i, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(d, 1, int(d % 6 == 0)) for d, _ in rows if d and 3 < d < 60], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    vectors = np.random.default_rng(2).normal(size=(120, 8))
+    spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(1, "http://a/x", "<article><p>One &amp; two</p></article>")], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return path, rows
+
+
+def test_queries_keep_their_contracts(spark, folder):
+    from tests.llm import test_jaccard, test_repeats
+
+    path, rows = folder
+    got = {}
+    for name, contract in CONTRACT.items():
+        df = queries.queries()[name](spark, path)
+        assert ", ".join(f"{c} {t}" for c, t in df.dtypes).startswith(contract), name
+        got[name] = df.collect()
+    by_id = lambda name: {r["doc_id"]: tuple(r)[1:] for r in got[name]}
+    words = by_id("op1_substring_dedup")
+    for (d, _), (n, gone, kept) in zip(rows, test_repeats.brute_words(rows, 50), strict=True):
+        assert words[d] == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+    assert any(gone for _, gone, _ in words.values())
+    left = by_id("op6_suffix_array_dedup")
+    assert [left[d] for d, _ in rows] == test_repeats.brute_bytes(rows, 100)
+    assert sorted((repr(r[0]), r[1], repr(r[2])) for r in got["op7_jaccard_join"]) == test_jaccard.brute(rows)
+    for r in got["op2_toxicity"]:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+    page = got["op4_html_extraction"][0]
+    assert (page["text"], page["n_chars"]) == ("One & two", 9)
+    for r in got["op8_media_columns"]:
+        text = dict(rows)[r["doc_id"]] or ""
+        assert r["payload_sha256"] == hashlib.sha256(media.payload(text.encode())).hexdigest() and r["n_bytes"] == len(text.encode())
+        assert r["media_bytes"] == len(media.encode(media.payload(text.encode()))) and r["feature"].startswith(f"{r['width']}x{r['height']}x")
+    assert len({r["media_sha256"] for r in got["op8_media_columns"] if r["doc_id"] in (1, 2)}) == 1
+
+
+def test_equal_payloads_have_one_address(spark, tmp_path):
+    df = spark.createDataFrame([(i, "text" if i % 2 else f"text {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    rows = media.store(df, f"file://{tmp_path}/media").collect()
+    assert len({(r["shard"], r["offset"], r["length"]) for r in rows if r["doc_id"] % 2}) == 1
+    assert len({(r["shard"], r["offset"]) for r in rows}) == 21
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no test tables")
+def test_ids_of_whole_texts():
+    """The faster encoder, part by part, against the tokenizer on all texts of a table."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    model, ids = Tokenizer.from_file(tokenizer_path()), packing._Ids(tokenizer_path())
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        if not len(raw):
+            continue
+        starts = packing._parts(raw, np.array([0, len(raw)]))
+        flat, _ = ids.look_up(raw, starts, np.append(starts[1:], len(raw)))
+        assert flat.tolist() == model.encode(text, add_special_tokens=False).ids
