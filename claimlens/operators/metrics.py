@@ -15,17 +15,22 @@ def relevant(claims: DataFrame, gold: DataFrame, claim: str = "claim_id") -> Dat
     return claims.where(F.coalesce(F.col("claim"), F.lit("")) != "").join(gold.select(claim).distinct(), claim, "left_semi")
 
 
-def at_k(articles: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS, claim: str = "claim_id", article: str = "article_id") -> DataFrame:
-    """For each claim with gold and each k: tp, precision (tp over k), recall (tp over gold) and
-    accuracy (1 if any). articles: ranked without repeats; gold: distinct."""
+def judged(articles: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS, claim: str = "claim_id", article: str = "article_id") -> DataFrame:
+    """at_k, and in each row the claim's reciprocal rank as rr: all from one ranking."""
     counts = gold.groupBy(claim).agg(F.count("*").alias("gold"))
     hits = articles.join(gold.select(claim, article), [claim, article]).select(claim, "rank")
     # only hits meet the ks; claims without any keep their rows
     ranks = hits.groupBy(claim).agg(F.collect_list("rank").alias("ranks"))
-    grid = counts.join(ranks, claim, "left").select(claim, "gold", "ranks", F.explode(F.array(*map(F.lit, ks))).alias("k"))
-    tp = F.coalesce(F.size(F.filter("ranks", lambda r: r <= F.col("k"))), F.lit(0))
-    grid = grid.withColumn("tp", F.when(F.col("ranks").isNull(), 0).otherwise(tp).cast("long"))
-    return grid.select(claim, "k", "tp", (F.col("tp") / F.col("k")).alias("precision"), F.coalesce(F.try_divide(F.col("tp"), F.col("gold")), F.lit(0.0)).alias("recall"), (F.col("tp") > 0).cast("int").alias("accuracy"))
+    grid = counts.join(ranks, claim, "left").select(claim, "gold", F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"), F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    grid = grid.withColumn("tp", F.size(F.filter("ranks", lambda r: r <= F.col("k"))).cast("long"))
+    rr = F.coalesce(F.lit(1.0) / F.array_min("ranks"), F.lit(0.0))
+    return grid.select(claim, "k", "tp", (F.col("tp") / F.col("k")).alias("precision"), F.coalesce(F.try_divide(F.col("tp"), F.col("gold")), F.lit(0.0)).alias("recall"), (F.col("tp") > 0).cast("int").alias("accuracy"), rr.alias("rr"))
+
+
+def at_k(articles: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS, claim: str = "claim_id", article: str = "article_id") -> DataFrame:
+    """For each claim with gold and each k: tp, precision (tp over k), recall (tp over gold) and
+    accuracy (1 if any). articles: ranked without repeats; gold: distinct."""
+    return judged(articles, gold, ks, claim, article).drop("rr")
 
 
 def reciprocal_rank(articles: DataFrame, gold: DataFrame, claim: str = "claim_id", article: str = "article_id") -> DataFrame:
@@ -35,8 +40,9 @@ def reciprocal_rank(articles: DataFrame, gold: DataFrame, claim: str = "claim_id
 
 
 def averages(rows: DataFrame) -> DataFrame:
-    """Means of at_k over claims."""
-    return rows.groupBy("k").agg(F.count("*").alias("claims"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("accuracy").alias("accuracy"))
+    """Means of at_k, or of judged (with mrr), over claims."""
+    mrr = [F.avg("rr").alias("mrr")] if "rr" in rows.columns else []
+    return rows.groupBy("k").agg(F.count("*").alias("claims"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("accuracy").alias("accuracy"), *mrr)
 
 
 def evaluation(articles: DataFrame, gold: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:

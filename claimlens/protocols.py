@@ -6,11 +6,12 @@ Models run behind Arrow; each Python worker makes its model once.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
+import numpy as np
+
 
 class Tokenizer(Protocol):
     def encode(self, text: str) -> list[int]: ...
@@ -63,15 +64,19 @@ class HashedEmbedder:
             b = self._known[token] = int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % self.dim
         return b
 
+    def encode_array(self, texts: list[str]) -> np.ndarray:
+        rows, places = [], []
+        for i, text in enumerate(texts):
+            mine = [self._bucket(t) for t in text.lower().split()]
+            places += mine
+            rows += [i] * len(mine)
+        cells = np.array(rows, np.int64) * self.dim + np.array(places, np.int64)
+        v = np.bincount(cells, minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(float)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return v / np.where(norm > 0, norm, 1)
+
     def encode(self, texts: list[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            v = [0.0] * self.dim
-            for t in text.lower().split():
-                v[self._bucket(t)] += 1
-            norm = math.sqrt(sum(x * x for x in v)) or 1.0
-            out.append([x / norm for x in v])
-        return out
+        return self.encode_array(texts).tolist()
 
 
 class RuleSegmenter:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import vectors as V
 from .operators import chunkers, metrics, prompts, retrieval, sampling, stats
-from .protocols import RuleSegmenter
+from .protocols import HashedEmbedder, RuleSegmenter
 from .sources import collections
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -465,20 +465,17 @@ def eval_summary(spark, sf):
 
 def _contained(spark, sf):
     """claim_id, article_id: documents that contain a benchmark item. The words of an item but the
-    first and the last are whole words of any text that holds it: items and texts meet in three of
-    these, or in the longest if there are fewer. Items without such words meet texts in their first
-    three characters. Where they meet, texts are searched."""
+    first and the last are whole words of any text that holds it: items and texts meet in the
+    longest of these. Items without such words meet texts in their first three characters. Where
+    they meet, texts are searched."""
     items = table(spark, sf, "benchmark").where("length(text) > 0").select(F.col("item_id").alias("claim_id"), F.col("text").alias("item"))
     docs = table(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL")
     inner = F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0)))
     keyed = T.materialised(items.withColumn("t", T.tokens(F.col("item"))), claim_id=F.col("claim_id"), item=F.col("item"), inner=inner)
     longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    words = F.when(F.size("inner") >= 3, F.concat_ws(" ", F.slice("inner", 1, 3))).otherwise(longest)
-    wide = keyed.where(F.size("inner") > 0).select("claim_id", "item", words.alias("key"))
+    wide = keyed.where(F.size("inner") > 0).select("claim_id", "item", longest.alias("key"))
     short = keyed.where(F.size("inner") == 0).select("claim_id", "item", F.substring("item", 1, 3).alias("key"))
-    tokens = T.materialised(docs, doc_id=F.col("doc_id"), t=T.tokens(F.col("text")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("t", i, 3)))
-    met = tokens.select("doc_id", F.explode(F.array_distinct(F.concat(grams, F.col("t")))).alias("key")).join(wide, "key").select("doc_id", "claim_id", "item")
+    met = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("key")).join(wide, "key").select("doc_id", "claim_id", "item")
     if not short.isEmpty():
         parts = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substr("text", i, n))))
         met = met.unionByName(docs.select("doc_id", F.explode(F.array_distinct(parts)).alias("key")).join(short, "key").select("doc_id", "claim_id", "item"))
@@ -508,21 +505,19 @@ _DOC_HITS = f"""{_CHARS}, {_GOLD}, pts AS (SELECT row_number() OVER (ORDER BY ar
 
 def _doc_hits(spark, sf):
     """The 20 nearest chunks (of 500 characters, hashed embeddings) of each claim with gold, and the gold."""
-    gold = _contained(spark, sf)
+    gold = _contained(spark, sf).persist()  # what the claims, the ranking and the metrics need
     # points are known by article and place, which is also the order of their ids
     point = F.concat("article_id", F.lit("/"), F.lpad(F.col("chunk_index").cast("string"), 10, "0"))
     points = chunkers.fixed_char(articles(spark, sf), entities=False).select(point.alias("point_id"), "article_id", "text")
     chosen = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim")).join(gold.select("claim_id").distinct(), "claim_id", "left_semi")
     claims = retrieval.embed(chosen, "claim", kind="double")
-    return retrieval.search(retrieval.embed(points, kind="double"), claims, retrieval.RetrievalConfig(k=20), digits=9), gold
+    return retrieval.search(points, claims, retrieval.RetrievalConfig(k=20), digits=9, embedder=HashedEmbedder), gold
 
 
 @query(f"WITH {_DOC_HITS}, {_AT_K} SELECT k, count(*) AS claims, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(accuracy), 6) AS accuracy, (SELECT round(avg(rr), 6) FROM rr) AS mrr FROM at_k GROUP BY k")
 def retrieval_docs_eval(spark, sf):
     hits, gold = _doc_hits(spark, sf)
-    ranked = retrieval.ranked_articles(hits)
-    mean = metrics.reciprocal_rank(ranked, gold).agg(F.round(F.avg("rr"), 6).alias("mrr"))  # one row
-    return _rounded(metrics.averages(metrics.at_k(ranked, gold))).join(F.broadcast(mean))
+    return _rounded(metrics.averages(metrics.judged(retrieval.ranked_articles(hits), gold)))
 
 
 # --- labels, classification -----------------------------------------------------------------
