@@ -28,7 +28,7 @@ from . import frames, units
 CURVES, DIMS, BITS, AROUND = 16, 4, 8, 2
 #: Vectors that the rotation's scale and the cells' borders come from, those of them that are searched
 #: both ways, and the recall to keep; vectors in one group of a join, and queries.
-SAMPLE, TRIED, RECALL, GROUP, ASKED = 20_000, 300, 0.94, 20_000, 2_000
+SAMPLE, TRIED, RECALL, GROUP, ASKED = 20_000, 300, 0.95, 20_000, 2_000
 #: Cells of a curve at least (if there are vectors enough) and at most.
 FEWEST, MOST = 32, 2048
 #: Different vectors that a cell has at least; small tables have fewer cells.
@@ -164,7 +164,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     zero or hold null or non-finite components take no part, nor do rows with null ids or of
     another length than most; rows that repeat an id count once, as the least vector.
     No rows if no vector is left."""
-    clean = [d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable("v") & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v")) for d in (vectors, queries)]
+    # floats travel as floats; all arithmetic is in double precision
+    kind = "float" if all(d.schema[vector_col].dataType.simpleString() == "array<float>" for d in (vectors, queries)) else "double"
+    clean = [d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where(usable("v") & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v")) for d in (vectors, queries)]
     n, size = clean[0].agg(F.count("*"), F.mode(F.size("v"))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
@@ -176,7 +178,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     classes = classes.select(F.col("ids")[0].alias("id"), "ids", "v")
     n = classes.count()
     sampled = classes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).select("v").collect()
-    index = calibrated(np.array([r["v"] for r in sampled] or [[1.0] * size]), n, k)
+    index = calibrated(np.array([r["v"] for r in sampled] or [[1.0] * size], float), n, k)
     cells = len(index.borders[0]) + 1
     groups = n // (cells * GROUP) + 1
     parts = clean[1].count() // (cells * ASKED) + 1
@@ -187,7 +189,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                 if not rb.num_rows:
                     continue
                 ids = rb.column("id").to_numpy(zero_copy_only=False)
-                v = rb.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                v = rb.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
                 keys = index.keys(v)
                 if query:
                     lo, hi = index.around(keys)
@@ -217,11 +219,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         few = k + 1
         if len(have) and len(want):
             have = have.sort_values("id")
-            ids, held, v = have["id"].to_numpy(), have["ids"].to_numpy(), np.stack(have["v"].to_numpy())
+            ids, held, v = have["id"].to_numpy(), have["ids"].to_numpy(), np.stack(have["v"].to_numpy()).astype(float)
             norms = np.sqrt((v * v).sum(axis=1))
             for s in range(0, len(want), 256):
                 part = want.iloc[s : s + 256]
-                q = np.stack(part["v"].to_numpy())
+                q = np.stack(part["v"].to_numpy()).astype(float)
                 own = np.sqrt((q * q).sum(axis=1))
                 rough = (q @ v.T) / (own[:, None] * norms)
                 for i, me in enumerate(part["id"].to_numpy()):
@@ -236,8 +238,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                     out["ids"].append(held[near][best])
         return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, object if c == "ids" else float) for c, x in out.items()}).astype({"query_id": "int64", "class": "int64"})
 
-    have = classes.mapInArrow(places(False), "place long, id long, ids array<long>, v array<double>").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    want = clean[1].mapInArrow(places(True), "part long, place long, id long, v array<double>")
+    have = classes.mapInArrow(places(False), f"place long, id long, ids array<long>, v array<{kind}>").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    want = clean[1].mapInArrow(places(True), f"part long, place long, id long, v array<{kind}>")
     found = have.groupBy("place", "part").cogroup(want.groupBy("place", "part")).applyInPandas(meet, "query_id long, class long, score double, ids array<long>")
     found = found.dropDuplicates(["query_id", "class"])
     near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "class"))
