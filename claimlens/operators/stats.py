@@ -121,6 +121,12 @@ def edge_cases(df: DataFrame, sentences: Column, lines: Column) -> DataFrame:
     return df.agg(F.count_if(sentences < 3).alias("very_short"), F.count_if(sentences > 200).alias("very_long"), F.count_if(T.strip(F.coalesce(lines, F.lit(""))) == "").alias("empty_lines"))
 
 
+def entity_links(df: DataFrame, lines: Column) -> DataFrame:
+    """Articles with a line that names an entity, and their percentage."""
+    linked = F.coalesce(F.exists(T.annotated_lines(lines), lambda x: F.exists(x["entities"], lambda e: e != "")), F.lit(False))
+    return df.agg(F.count_if(linked).alias("articles"), F.coalesce(100 * F.avg(linked.cast("int")), F.lit(0.0)).alias("percentage"))
+
+
 def artifacts(df: DataFrame, text: Column, names: tuple[str, ...] = T.PROFILED) -> DataFrame:
     """Articles that hold each artifact, and their percentage."""
     flags = df.select(F.explode(T.artifact_flags(text, names)).alias("artifact", "found"))

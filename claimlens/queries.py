@@ -86,9 +86,11 @@ def pattern_top20(spark, sf):
     return stats.pattern_top(table(spark, sf, "pages"), F.col("html"), "&[a-zA-Z]+;")
 
 
-@query("SELECT token, count(*) AS count FROM (SELECT unnest(regexp_extract_all(html, '-[A-Z]+-')) AS token FROM pages) GROUP BY token ORDER BY count DESC, token LIMIT 20")
+@query("SELECT token, count(*) AS count FROM (SELECT unnest(regexp_extract_all(replace(replace(html, '<p>', '-LRB-'), '</p>', '-RRB-'), '-[A-Z]+-')) AS token FROM pages) GROUP BY token ORDER BY count DESC, token LIMIT 20")
 def pattern_brackets_top20(spark, sf):
-    return stats.pattern_top(table(spark, sf, "pages"), F.col("html"), "-[A-Z]+-")
+    # pages hold no brackets in words; paragraphs stand for them
+    text = F.replace(F.replace("html", F.lit("<p>"), F.lit("-LRB-")), F.lit("</p>"), F.lit("-RRB-"))
+    return stats.pattern_top(table(spark, sf, "pages"), text, "-[A-Z]+-")
 
 
 @query(f"WITH {_SENTENCES} SELECT article_id, i::BIGINT AS sentence_id, text FROM sents")
@@ -326,6 +328,14 @@ def corpus_profile(spark, sf):
     return _rounded(stats.blocks(_profile(spark, sf), {"sentences": F.col("sentences"), "characters": F.col("chars")}))
 
 
+# lines with a comma name an entity
+@query("""WITH l AS (SELECT len(list_filter(string_split(text, chr(10)), lambda s: contains(s, ','))) > 0 AS linked FROM documents)
+    SELECT count(*) FILTER (linked) AS articles, round(100.0 * avg(linked::INT), 6) AS percentage FROM l""")
+def entity_links(spark, sf):
+    lines = F.transform(F.split("text", "\n"), lambda s, i: F.concat(i.cast("string"), F.lit("\t"), s, F.when(F.contains(s, F.lit(",")), "\tE").otherwise("")))
+    return _rounded(stats.entity_links(table(spark, sf, "documents"), F.array_join(lines, "\n")))
+
+
 @query(f"WITH {_PROFILE} SELECT q AS share, round(quantile_cont(chars, q), 6) AS value FROM p, (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95])::DOUBLE AS q) GROUP BY q".replace("quantile_cont(chars, q)", "CASE q " + " ".join(f"WHEN {x} THEN quantile_cont(chars, {x})" for x in (0.25, 0.5, 0.75, 0.9, 0.95)) + " END"))
 def percentiles(spark, sf):
     return _rounded(stats.percentiles(_profile(spark, sf), F.col("chars")))
