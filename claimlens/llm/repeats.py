@@ -137,7 +137,7 @@ def _filter_rows(spec: Spec, buckets: int):
             for _, at, a, text, pos, h, _, _ in _found(spec, raw, offsets):
                 used, index = np.unique(text, return_inverse=True)
                 docs.append((did[a + used], th[a + used]))
-                held.append((h >> np.uint64(16), (m + index).astype(np.uint32), (pos - at[text]).astype(np.int64)))
+                held.append((_name(h), (m + index).astype(np.uint32), (pos - at[text]).astype(np.int64)))
                 m += len(used)
                 n += len(h)
                 if n >= FLUSH_ANCHORS:
@@ -177,6 +177,11 @@ def _filter_flush(held, docs, buckets):
     return frames.batch(bucket=pa.array(out_b, pa.int64()), payload=pa.array(out_p, pa.binary()))
 
 
+def _name(grams: np.ndarray) -> np.ndarray:
+    """48 bits for each gram's hash. Anchors have small hashes, these are spread evenly."""
+    return units.mix(grams) >> np.uint64(16)
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of 48-bit hashes; rises with the hash."""
     return ((h >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -270,7 +275,7 @@ def _context_rows(spec: Spec, order: Order, buckets: int, hot: np.ndarray):
                     d, k = did[a + t], th[a + t]
                     bucket = order.route(ctx[:, spec.left :], gram)
                     if len(hot):
-                        often = np.isin(gram >> np.uint64(16), hot)
+                        often = np.isin(_name(gram), hot)
                         place = units.mix((d ^ k).view(np.uint64) + (local[some] >> 12).astype(np.uint64)) % np.uint64(buckets)
                         bucket = np.where(often, place.astype(np.int64), bucket)
                     else:
