@@ -88,7 +88,7 @@ def _filesystem(uri: str):
 
 
 def store(docs: DataFrame, root: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the payload of each row of docs; rows: id, n_bytes, digest (of the payload),
+    """Write the payload of each row of docs; rows: id, n_bytes, digest (sha256 of the payload),
     shard, offset and length (of the member's data in the shard).
 
     root: a folder that all machines share, by default one in spark.checkpoint.dir.
@@ -109,7 +109,7 @@ def store(docs: DataFrame, root: str | None = None, id_col: str = "doc_id", text
             for i in range(rb.num_rows):
                 text = texts[i].as_buffer().to_pybytes()
                 data = payload(text)
-                digest = hashlib.sha256(data).hexdigest()
+                digest = hashlib.sha256(data).digest()
                 if out is None or at >= SHARD_BYTES:
                     if out is not None:
                         out.write(bytes(1024))
@@ -118,7 +118,7 @@ def store(docs: DataFrame, root: str | None = None, id_col: str = "doc_id", text
                     out = files.open_output_stream(f"{base}/{name}")
                 if digest not in known:
                     image = encode(data)
-                    info = tarfile.TarInfo(f"{digest}.png")
+                    info = tarfile.TarInfo(f"{digest.hex()}.png")
                     info.size = len(image)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
                     known[digest] = (at + len(head), len(image))
@@ -126,14 +126,14 @@ def store(docs: DataFrame, root: str | None = None, id_col: str = "doc_id", text
                     at += len(head) + len(image) + -len(image) % 512
                 rows.append((len(text), digest, name, *known[digest]))
             n, digest, shard, offset, length = zip(*rows, strict=True) if rows else ((),) * 5
-            yield frames.batch(doc=ids, n_bytes=pa.array(n, pa.int64()), digest=pa.array(digest, pa.string()), shard=pa.array(shard, pa.string()), offset=pa.array(offset, pa.int64()), length=pa.array(length, pa.int64()))
+            yield frames.batch(doc=ids, n_bytes=pa.array(n, pa.int64()), digest=pa.array(digest, pa.binary()), shard=pa.array(shard, pa.string()), offset=pa.array(offset, pa.int64()), length=pa.array(length, pa.int64()))
         if out is not None:
             out.write(bytes(1024))
             out.close()
 
     source = frames.small_batches(docs).select(F.col(id_col).alias("doc"), frames.text_column(text_col).cast("binary").alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
-    rows = source.mapInArrow(write, f"doc {kind}, n_bytes long, digest string, shard string, offset long, length long")
+    rows = source.mapInArrow(write, f"doc {kind}, n_bytes long, digest binary, shard string, offset long, length long")
     written = frames.staged(rows, "media-written")
     first = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("first"))
     index = written.select("doc", "n_bytes", "digest").join(first, "digest").select("doc", "n_bytes", "digest", "first.*")
@@ -193,16 +193,16 @@ def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
             file.seek(int(at))
             data = file.read(int(size))
             samples = decode(data)
-            found = hashlib.sha256(samples).hexdigest()
+            found = hashlib.sha256(samples).digest()
             head = dict(zip(("width", "height", "depth", "colour"), head, strict=True))
-            if found != digest or len(samples) != head["width"] * head["height"]:
-                raise ValueError(f"{digest} reads back as {found}")
-            rows.append((len(samples), found, zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples, head)))
-        out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            if found != bytes(digest) or len(samples) != head["width"] * head["height"]:
+                raise ValueError(f"{bytes(digest).hex()} reads back as {found.hex()}")
+            rows.append((found, len(samples), found.hex(), zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples, head)))
+        out = pd.DataFrame(rows, columns=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
         for k in ("width", "height", "depth", "colour"):
             out[k] = group[k].to_numpy()
         return out
 
-    read = _by_shard(with_metadata(members(stored)), each, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, depth long, colour long")
-    out = stored.select(F.col(id_col), "n_bytes", "digest").join(read, F.col("digest") == F.col("payload_sha256"))
+    read = _by_shard(with_metadata(members(stored)), each, "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, depth long, colour long")
+    out = stored.select(F.col(id_col), "n_bytes", "digest").join(read, "digest")
     return out.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "colour")

@@ -79,8 +79,15 @@ def test_stages(spark, folder, tmp_path):
     assert sum(r[2] for r in packed) == tokens
 
 
-def test_run(spark, folder):
-    assert corpus_pipeline.run(spark, folder).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+def test_run(spark, folder, tmp_path):
+    """The stages one after the other; what a stage does is tested above."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    got = corpus_pipeline.run(spark, folder)
+    assert got.columns == docs.columns and corpus_pipeline.ORACLE_SQL is None
+    assert Counter(map(repr, got.collect())) == Counter(map(repr, docs.collect())) and docs.count() > 0
 
 
 @pytest.mark.skipif(not os.path.exists("/opt/tokenizers"), reason="no vocabulary files")
