@@ -18,7 +18,7 @@ HEADER = (
     "- REFUTES: The claim is refuted by evidence\n"
     "- NOT ENOUGH INFO: There is not enough information to verify\n\n"
 )
-NO_RETRIEVER, NOTHING_FOUND = "No evidence available.", "No evidence found."
+NOTHING_FOUND = "No evidence found."
 EXAMPLES, CLAIM, EVIDENCE, LABEL = "Examples:\n\n", "Claim: ", "Evidence:\n", "Label:"
 ITEM, SOURCE, RELEVANCE, UNKNOWN = "[Evidence ", "] (Source: ", ", Relevance: ", "Unknown"
 
