@@ -36,6 +36,8 @@ WORDS, GRAM, LEAST = 4, 5, 5
 #: Least log odds of a gram in toxic texts, and their z-value; the best calibrated pair is taken.
 CHOICES = ((1.0, 4.0), (1.0, 3.0), (2.5, 3.0), (2.5, 2.0))
 LEVEL = 12
+#: Saved bytes above the threshold from which windows are counted, too; features of a document.
+ABOVE, FEATURES = (0, 2, 4), 7
 #: Bytes of the two dictionaries' own parts; of the toxic one's sizes the best calibrated is taken.
 ORDINARY, TOXIC = 100, (512, 4096, 8192)
 PRIMER = bytes(range(1, 9))
@@ -94,10 +96,13 @@ class Model:
         return self.of(self.saved(windows))
 
     def of(self, saved: list[int]) -> list[float]:
+        """The most saved bytes, the windows that save threshold, and more, bytes and their shares, and the
+        saved bytes of a window."""
         if not saved:
-            return [0.0, 0.0, 0.0, 0.0]
-        over = sum(n >= self.threshold for n in saved)
-        return [float(max(max(saved), 0)), math.log1p(over), 100.0 * over / (len(saved) + 10), sum(saved) / (len(saved) + 2)]
+            return [0.0] * FEATURES
+        s, n = np.array(saved), len(saved)
+        over = [int((s >= self.threshold + k).sum()) for k in ABOVE]
+        return [float(max(s.max(), 0)), *map(math.log1p, over), 100.0 * over[0] / (n + 10), 100.0 * over[-1] / (n + 10), float(s.sum()) / (n + 2)]
 
     def score(self, features: list[float]) -> float:
         if not self.weights:
@@ -180,7 +185,7 @@ def fit(texts: list[str | None], labels: list[int], totals: tuple[int, int] | No
     ones = sum(y for _, y in data)
     if not ones or ones == len(data):
         share = (ones + 0.5) / (len(data) + 1)
-        return Model(b" " * 8, b" " * 8, [math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0], [1.0] * 4)
+        return Model(b" " * 8, b" " * 8, [math.log(share / (1 - share))] + [0.0] * FEATURES, [1.0] * FEATURES)
     side, seen = [], Counter()
     for _, k in data:  # every fourth text of each class calibrates
         side.append(seen[k] % 4 == 3)

@@ -119,4 +119,4 @@ def test_toxicity_separates():
     right = sum((score(t) >= 0.5) == bool(y) for t, y in zip(texts[500:], labels[500:], strict=True))
     assert right >= 85
     assert 0 <= score("") < 0.5
-    assert 0 <= toxicity.fit([], []).score([0.0] * 4) <= 1
+    assert 0 <= toxicity.fit([], []).score([0.0] * toxicity.FEATURES) <= 1

@@ -470,3 +470,23 @@ def test_ids_of_whole_texts():
         starts = packing._parts(raw, np.array([0, len(raw)]))
         flat, _ = ids.look_up(raw, starts, np.append(starts[1:], len(raw)))
         assert flat.tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="no test tables")
+def test_held_out_accuracy():
+    """Labelled rows of a table: learned from those of four folds, judged on the fifth."""
+    import pyarrow.parquet as pq
+
+    read = lambda name, *columns: pq.read_table(f"/root/testdata/sf0.1/{name}.parquet", columns=list(columns)).to_pylist()
+    label = {r["doc_id"]: r["toxic"] for r in read("labels", "doc_id", "toxic")}
+    rows = [(r["text"] or "", label[r["doc_id"]], zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in read("documents", "doc_id", "text") if label.get(r["doc_id"]) in (0, 1)]
+    model = toxicity.fit([t for t, _, held in rows if not held], [y for _, y, held in rows if not held])
+    scores = []
+    for text, y, held in rows:
+        if held:
+            raw = np.frombuffer(toxicity._whole(text), np.uint8)
+            spaced, cuts, _ = toxicity.spaced(raw, np.array([0, len(raw)]))
+            scores.append((model.score(model.features(spaced, cuts)), y))
+    toxic, other = [s for s, y in scores if y], [s for s, y in scores if not y]
+    assert np.mean([s > t for s in toxic for t in other]) + 0.5 * np.mean([s == t for s in toxic for t in other]) > 0.93
+    assert sum(s >= 0.5 for s in toxic) > 0.7 * len(toxic) and sum(s >= 0.5 for s in other) < 0.02 * len(other)
