@@ -46,9 +46,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all tasks at once, if its files are so small that they make fewer partitions (a file of
+    one row group is one task's work)."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.array_join(F.transform(F.split("text", "\n"), lambda s, i: F.concat(i.cast("string"), F.lit("\t"), s)), "\n")
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", lines.alias("lines"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("id"), "text", lines.alias("lines"))
 
 
 def joined(c: str):
@@ -60,7 +67,7 @@ def joined(c: str):
 
 @query(f"SELECT doc_id, {_CLEAN.format('text')} AS clean FROM documents")
 def text_clean_ws(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.clean(F.col("text"), entities=False).alias("clean"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.clean(F.col("text"), entities=False).alias("clean"))
 
 
 @query()
@@ -479,7 +486,7 @@ def _contained(spark, sf):
     longest of these. Items without such words meet texts in their first three characters. Where
     they meet, texts are searched."""
     items = table(spark, sf, "benchmark").where("length(text) > 0").select(F.col("item_id").alias("claim_id"), F.col("text").alias("item"))
-    docs = table(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL"))
     inner = F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0)))
     keyed = T.materialised(items.withColumn("t", T.tokens(F.col("item"))), claim_id=F.col("claim_id"), item=F.col("item"), inner=inner)
     longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
