@@ -271,3 +271,27 @@ def test_models_are_added_by_name():
     assert workflows.add_embedding_model("m", HashedEmbedder).add("n", HashedEmbedder)["n"] is HashedEmbedder
     with pytest.raises(ValueError):
         workflows.MODELS["none"]
+
+
+def _copies(n: int, dim: int) -> list[tuple[int, list[float]]]:
+    """n different vectors, each three times, far apart."""
+    r = np.random.default_rng(5)
+    return [(i, [float(x) for x in v]) for i, v in enumerate(np.tile(r.normal(size=(n, dim)), (3, 1)).tolist())]
+
+
+def test_native_search_of_many_claims(spark, monkeypatch):
+    """More than 10,000 claims, claims in blocks, copies, vectors too wide to be written out, and few points."""
+    points = spark.createDataFrame(_copies(150, 6), "point_id long, vector array<float>").repartition(3)
+    claims = points.where("point_id % 11 = 0").withColumnRenamed("point_id", "claim_id")
+    hits = lambda df: sorted((x["claim_id"], x["rank"], x["point_id"]) for x in df.collect())
+    for config in (retrieval.RetrievalConfig(k=4), retrieval.RetrievalConfig("threshold", threshold=0.9)):
+        want = hits(retrieval.search(points, claims, config))
+        assert hits(retrieval.search_native(points, claims, config)) == want and want
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "QUERY_CELLS", 150)
+            m.setattr(retrieval, "UNROLLED", 5)
+            assert hits(retrieval.search_native(points, claims, config)) == want
+    many = spark.range(10_001).select(F.col("id").alias("claim_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "point_id long, vector array<double>")
+    got = retrieval.search_native(two, many, retrieval.RetrievalConfig(k=1)).groupBy("point_id").count().collect()
+    assert {r["point_id"]: r["count"] for r in got} == {1: 2, 2: 9_999}
