@@ -1,5 +1,6 @@
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -295,3 +296,24 @@ def test_native_search_of_many_claims(spark, monkeypatch):
     two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "point_id long, vector array<double>")
     got = retrieval.search_native(two, many, retrieval.RetrievalConfig(k=1)).groupBy("point_id").count().collect()
     assert {r["point_id"]: r["count"] for r in got} == {1: 2, 2: 9_999}
+
+
+def test_search_holds_few_scores():
+    """Neither the claims nor the points of a batch decide how much a task holds; ties go to the smaller id."""
+    r = np.random.default_rng(7)
+    v, q = r.normal(size=(10_000, 8)), r.normal(size=(3_000, 8))
+    v[5_000:] = v[:5_000]
+    order = r.permutation(10_000).tolist()
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    tracemalloc.start()
+    for config in (retrieval.RetrievalConfig(k=3), retrieval.RetrievalConfig("threshold", threshold=0.99)):
+        for ids, places, scores in retrieval._best(v, order, list(range(3_000)), q, config, None):
+            if 0 in ids and config.strategy == "top_k":
+                unit = v[:5_000] / np.linalg.norm(v[:5_000], axis=1)[:, None]
+                exact = np.tile((unit * q[0]).sum(axis=1), 2)
+                want = sorted(range(10_000), key=lambda i: (-exact[i], order[i]))[:3]
+                assert [int(p) for i, p in zip(ids, places, strict=True) if i == 0] == want
+            del ids, places, scores
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
