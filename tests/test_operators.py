@@ -317,3 +317,14 @@ def test_search_holds_few_scores():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 100e6
+
+
+def test_hashed_weights_by_size(spark, monkeypatch):
+    """Tasks that count words grow in number with the texts, not in size."""
+    texts = spark.createDataFrame([(i % 90, f"a b{i} a c{i % 7} " * 20) for i in range(100)] + [(95, None), (96, "")], "doc_id long, text string")
+    want = sorted(map(tuple, retrieval.hashed_weights(texts, "doc_id", F.col("text")).collect()))
+    monkeypatch.setattr(retrieval, "TASK_BYTES", 400)
+    got = retrieval.hashed_weights(texts, "doc_id", F.col("text"))
+    assert sorted(map(tuple, got.collect())) == want and len({r[0] for r in want}) == 90
+    tasks = got.select(F.spark_partition_id()).distinct().count()
+    assert tasks > 30
