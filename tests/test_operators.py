@@ -328,3 +328,25 @@ def test_hashed_weights_by_size(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want and len({r[0] for r in want}) == 90
     tasks = got.select(F.spark_partition_id()).distinct().count()
     assert tasks > 30
+
+
+def test_edus_hold_few_rows(spark, tmp_path):
+    """Only some rows of a batch are Python objects at once."""
+    to = str(tmp_path / "most")
+
+    class Watching:
+        def __init__(self):
+            tracemalloc.start()
+
+        def boundaries(self, line):
+            if line.startswith("last"):
+                with open(to, "w") as f:
+                    f.write(str(tracemalloc.get_traced_memory()[1]))
+                tracemalloc.stop()
+            return []
+
+    lines = "\n".join(f"{i}\tsentence {i}" for i in range(50))
+    df = spark.range(4_000).coalesce(1).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("text"), F.when(F.col("id") == 3_999, "0\tlast").otherwise(lines).alias("lines"))
+    got = chunkers.edus(df, Watching, entities=False).agg(F.sum(F.size("edus")), F.count("*")).first()
+    assert tuple(got) == (3_999 * 50 + 1, 4_000)
+    assert int(open(to).read()) < 8e6
