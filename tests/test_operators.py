@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens import queries
+from claimlens.functions import text as T
 from claimlens.operators import chunkers, metrics, prompts, retrieval, sampling, stats
 from claimlens.plans import workflows
-from claimlens.protocols import HashedEmbedder, PredictedSegmenter
+from claimlens.protocols import HashedEmbedder, PredictedSegmenter, RuleSegmenter
 from claimlens.schemas import ARTICLE, CLAIM
 from claimlens.sources import collections, jsonl
 from claimlens.streaming import ingest
@@ -350,3 +351,16 @@ def test_edus_hold_few_rows(spark, tmp_path):
     got = chunkers.edus(df, Watching, entities=False).agg(F.sum(F.size("edus")), F.count("*")).first()
     assert tuple(got) == (3_999 * 50 + 1, 4_000)
     assert int(open(to).read()) < 8e6
+
+
+def test_text_is_only_cleaned_where_seen(spark):
+    """Sentences and units need to know whether cleaning leaves anything; at the ends any white space goes."""
+    spaces = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    texts = ["", None, "a", " -LRB- ", "-A-", "​", "".join(spaces), *spaces, *(c + "a b" + c + c for c in spaces)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    t = F.col("t")
+    old = F.regexp_replace(t, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+    for r in df.select((T.clean(t, False) != "").alias("a"), T.filled(t).alias("b"), old.alias("c"), T.strip(t).alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d)
+    plan = chunkers.sentence(spark.createDataFrame(ARTICLES, ARTICLE), entities=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(coalesce(text" not in plan and "(?U)^" not in plan
