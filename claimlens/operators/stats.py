@@ -40,9 +40,10 @@ def _quantiles(counts: DataFrame, shares: tuple[float, ...]) -> DataFrame:
 
 
 def blocks(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """One row of `block` for each named value: metric and its statistics. Values are counted first."""
+    """One row of `block` for each named value: metric and its statistics. Values are counted first,
+    once; the counts are kept."""
     named = F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()))
-    counts = df.select(F.explode(named).alias("x")).select("x.*").groupBy("metric", "value").agg(F.count("value").alias("n"))
+    counts = df.select(F.explode(named).alias("x")).select("x.*").groupBy("metric", "value").agg(F.count("value").alias("n")).persist()
     n, v = F.col("n"), F.col("value")
     parts = counts.groupBy("metric").agg((F.sum(v * n) / F.sum(F.when(n > 0, n))).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(n).alias("count"))
     off = v - F.col("mean")
@@ -67,12 +68,12 @@ def edu_stats(units: DataFrame) -> DataFrame:
     return blocks(flat, {"edu_characters": F.length("text"), "edu_tokens": F.size(T.tokens(F.col("text")))}).unionByName(blocks(per, {"edus_per_sentence": F.col("n")}))
 
 
-def edus_per_chunk(chunks: DataFrame, units: DataFrame, edus_per_chunk: int = 5, overlap: int = 2) -> DataFrame:
-    """Units of each chunk of chunkers.edu_windows, as one row of statistics."""
+def edus_per_chunk(units: DataFrame, edus_per_chunk: int = 5, overlap: int = 2) -> DataFrame:
+    """Units of each chunk of chunkers.edu_windows over units, as one row of statistics."""
     step = max(1, edus_per_chunk - overlap) if overlap else edus_per_chunk
-    n = units.select("article_id", F.size("edus").alias("n"))
-    held = chunks.select("article_id", "chunk_index").join(n, "article_id")
-    return blocks(held, {"edus_per_chunk": F.least(F.lit(edus_per_chunk), F.col("n") - F.col("chunk_index") * step)})
+    n = T.materialised(units, n=F.size("edus")).where("n > 0")
+    held = n.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step)), lambda i: F.least(F.lit(edus_per_chunk), F.col("n") - i))).alias("held"))
+    return blocks(held, {"edus_per_chunk": F.col("held")})
 
 
 def ingested(chunks: DataFrame) -> DataFrame:

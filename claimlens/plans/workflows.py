@@ -47,7 +47,7 @@ def statistics(spark: SparkSession, articles: DataFrame, points: DataFrame, kind
     out = stats.chunk_stats(points)
     if kind == "custom_edu":
         units = chunkers.edus(articles, *([options["segmenter"]] if "segmenter" in options else []))
-        return out.unionByName(stats.edu_stats(units)).unionByName(stats.edus_per_chunk(points, units, options.get("edus_per_chunk", 5), options.get("overlap", 2)))
+        return out.unionByName(stats.edu_stats(units)).unionByName(stats.edus_per_chunk(units, options.get("edus_per_chunk", 5), options.get("overlap", 2)))
     return out.unionByName(stats.sentence_stats(chunkers.sentence(articles)))
 
 

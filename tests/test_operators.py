@@ -353,6 +353,21 @@ def test_edus_hold_few_rows(spark, tmp_path):
     assert int(open(to).read()) < 8e6
 
 
+def test_units_of_chunks_cut_once(spark, articles):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Words:
+        def boundaries(self, line):
+            calls.add(1)
+            return [i + 1 for i, c in enumerate(line) if c == " "]
+
+    units = chunkers.edus(articles, Words)
+    r = stats.edus_per_chunk(units).first()
+    assert calls.value == 4
+    sizes = [len(w) for _, n in ((r["article_id"], len(r["edus"])) for r in units.collect()) for w in (range(i, min(i + 5, n)) for i in range(0, n, 3))]
+    assert (r["count"], r["mean"], r["min"], r["max"]) == (len(sizes), pytest.approx(sum(sizes) / len(sizes)), min(sizes), max(sizes))
+
+
 def test_text_is_only_cleaned_where_seen(spark):
     """Sentences and units need to know whether cleaning leaves anything; at the ends any white space goes."""
     spaces = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
