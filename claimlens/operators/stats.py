@@ -62,10 +62,16 @@ def sentence_stats(sentences: DataFrame) -> DataFrame:
 
 
 def edu_stats(units: DataFrame) -> DataFrame:
-    """units: article_id and edus, as from chunkers.edus."""
-    flat = units.select("article_id", F.explode("edus").alias("e")).select("article_id", "e.text", "e.sentence_id")
-    per = flat.groupBy("article_id", "sentence_id").agg(F.count("*").alias("n"))
-    return blocks(flat, {"edu_characters": F.length("text"), "edu_tokens": F.size(T.tokens(F.col("text")))}).unionByName(blocks(per, {"edus_per_sentence": F.col("n")}))
+    """units: article_id and edus, as from chunkers.edus, which are made once: a row of units gives
+    its units' texts and, from where its sentences begin, their numbers of units."""
+    df = T.materialised(units, edus=F.col("edus"), ids=F.col("edus.sentence_id")).where(F.size("edus") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("ids") - 1), lambda k: (k == 0) | (F.get("ids", k) != F.get("ids", k - 1)))
+    df = T.materialised(df, edus=F.col("edus"), begins=begins)
+    texts = F.transform("edus", lambda e: F.struct(e["text"].alias("text"), F.lit(None).cast("int").alias("n")))
+    numbers = F.transform("begins", lambda b, j: F.struct(F.lit(None).cast("string").alias("text"), (F.coalesce(F.get("begins", j + 1), F.size("edus")) - b).alias("n")))
+    flat = df.select(F.explode(F.concat(texts, numbers)).alias("e")).select("e.text", "e.n")
+    tokens = F.when(F.col("text").isNotNull(), F.size(T.tokens(F.col("text"))))
+    return blocks(flat, {"edu_characters": F.length("text"), "edu_tokens": tokens, "edus_per_sentence": F.col("n")})
 
 
 def edus_per_chunk(units: DataFrame, edus_per_chunk: int = 5, overlap: int = 2) -> DataFrame:

@@ -353,6 +353,21 @@ def test_edus_hold_few_rows(spark, tmp_path):
     assert int(open(to).read()) < 8e6
 
 
+def test_unit_statistics_cut_once(spark, articles):
+    """Units are made once for all statistics of them."""
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(RuleSegmenter):
+        def boundaries(self, line):
+            calls.add(1)
+            return super().boundaries(line)
+
+    got = {r["metric"]: r for r in stats.edu_stats(chunkers.edus(articles, Counting)).collect()}
+    assert calls.value == 4
+    assert [got["edus_per_sentence"][c] for c in ("mean", "min", "max", "median", "count")] == [1.25, 1, 2, 1, 4]
+    assert [got["edu_tokens"][c] for c in ("mean", "min", "max", "count")] == [4.8, 3, 8, 5]
+
+
 def test_units_of_chunks_cut_once(spark, articles):
     calls = spark.sparkContext.accumulator(0)
 
