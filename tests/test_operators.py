@@ -383,6 +383,15 @@ def test_units_of_chunks_cut_once(spark, articles):
     assert (r["count"], r["mean"], r["min"], r["max"]) == (len(sizes), pytest.approx(sum(sizes) / len(sizes)), min(sizes), max(sizes))
 
 
+def test_points_without_sentences(spark):
+    """Chunks whose sentences nobody asks for don't look for them; the chunks are the same."""
+    df = spark.createDataFrame([("x", "ab cd  ef gh " * 9, "0\tab cd\n1\tef gh"), ("y", " \x1c ", "0\ta"), ("z", None, None)], ARTICLE)
+    want = [r[:3] for r in rows(chunkers.fixed_char(df, 10, 2, entities=False))]
+    got = chunkers.fixed_char(df, 10, 2, entities=False, sentence_ids=False)
+    assert rows(got) == want and want
+    assert "split" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_text_is_only_cleaned_where_seen(spark):
     """Sentences and units need to know whether cleaning leaves anything; at the ends any white space goes."""
     spaces = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
